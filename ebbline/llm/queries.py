@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbline.llm.decontaminate import contamination
 from ebbline.llm.minhash import near_duplicates
+from ebbline.llm.quality import BASE_RULES, quality_report
 from ebbline.llm.substring import substring_dedup
 from ebbline.llm.suffix import suffix_array_dedup
 
@@ -16,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -30,9 +37,59 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_report(table(spark, sf_dir, "documents"))
+    failed = BASE_RULES[0].rejects(F.col) | BASE_RULES[1].rejects(F.col)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_minhash_near_dedup, op4_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_minhash_near_dedup, op4_suffix_array_dedup, op10_quality_rules)}
+
+
+#: The same words as ebbline.llm.text and ebbline.llm.quality, in DuckDB's terms.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[c + 1 : c + 10], ' ') AS p
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS c FROM b WHERE len(w) > 0)
+),
+dw AS (
+  SELECT doc_id, c, m, array_to_string(w[c + 1 : c + m], ' ') AS p
+  FROM (SELECT doc_id, w, m, unnest(range(len(w) - m + 1)) AS c FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)
+),
+hit AS (SELECT doc_id, c, dw.m, item_id FROM dw JOIN bw ON dw.p = bw.p AND dw.m = bw.m),
+pos AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(c, c + m)) AS x FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n, array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS ids FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x : regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM d
+),
+g AS (SELECT doc_id, c, array_to_string(w[c + 1 : c + 8], ' ') AS p FROM (SELECT doc_id, w, unnest(range(len(w) - 7)) AS c FROM m WHERE len(w) >= 8)),
+r AS (SELECT doc_id, unnest(list(c)) AS c FROM g GROUP BY doc_id, p HAVING count(*) > 1),
+n AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(c, c + 8)) AS x FROM r) GROUP BY doc_id),
+a AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+    CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n.n, 0) AS BIGINT) AS n_repeat_words
+  FROM m LEFT JOIN n USING (doc_id)
+),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * word_chars < 5 * n_words OR word_chars > 10 * n_words OR 10 * n_dup_lines > 4 * n_lines) AS kept
+FROM f
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op10_quality_rules": OP10_SQL}
