@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ebbline.llm.decontaminate import contamination
 from ebbline.llm.minhash import near_duplicates
+from ebbline.llm.mixing import mix
 from ebbline.llm.quality import BASE_RULES, quality_report
+from ebbline.llm.sharding import shard_documents
 from ebbline.llm.substring import substring_dedup
 from ebbline.llm.suffix import suffix_array_dedup
 
@@ -37,6 +39,21 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Weights of sources in order, repeating.
+MIX_WEIGHTS = [3, 1, 2]
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, budget_percent=150, max_epochs=2)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    out = shard_documents(docs, 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_report(table(spark, sf_dir, "documents"))
     failed = BASE_RULES[0].rejects(F.col) | BASE_RULES[1].rejects(F.col)
@@ -44,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_minhash_near_dedup, op4_suffix_array_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_minhash_near_dedup, op4_suffix_array_dedup, op7_source_mixing, op9_vector_sharding, op10_quality_rules)}
 
 
 #: The same words as ebbline.llm.text and ebbline.llm.quality, in DuckDB's terms.
@@ -67,6 +84,26 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS B
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS weight, 2 * source_size AS cap FROM s),
+l AS (
+  SELECT *, cap / weight AS ratio,
+    (CAST(sum(source_size) OVER () * 150 AS DOUBLE) / 100 - coalesce(CAST(sum(cap) OVER o AS DOUBLE), 0)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS DOUBLE) AS level
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+o AS (SELECT arg_min(level, ratio) AS level FROM l WHERE cap > level * weight),
+t AS (SELECT l.source, source_size, CASE WHEN cap <= l.level * weight THEN CAST(cap AS DOUBLE) ELSE o.level * weight END AS target FROM l LEFT JOIN o ON true),
+x AS (SELECT *, least(CAST(floor(target / greatest(source_size, 1)) AS BIGINT), 2) AS whole FROM t),
+r AS (
+  SELECT d.doc_id, d.size, source_size, target, whole,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 < target - whole * source_size AS more
+  FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source
+)
+SELECT doc_id, size, source_size, target, CAST((whole + CAST(more AS BIGINT)) * size AS BIGINT) AS taken FROM r
+"""
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (
@@ -92,4 +129,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op7_source_mixing": OP7_SQL, "op10_quality_rules": OP10_SQL}
