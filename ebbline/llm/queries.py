@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbline.llm.decontaminate import contamination
+from ebbline.llm.lm import score_documents
 from ebbline.llm.minhash import near_duplicates
 from ebbline.llm.mixing import mix
 from ebbline.llm.quality import BASE_RULES, quality_report
@@ -48,6 +49,11 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_class_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
 def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
     out = shard_documents(docs, 16)
@@ -61,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_minhash_near_dedup, op4_suffix_array_dedup, op7_source_mixing, op9_vector_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_minhash_near_dedup, op4_suffix_array_dedup, op7_source_mixing, op8_class_lm_scoring, op9_vector_sharding, op10_quality_rules)}
 
 
 #: The same words as ebbline.llm.text and ebbline.llm.quality, in DuckDB's terms.
