@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbline.llm.chat import format_chats
 from ebbline.llm.decontaminate import contamination
+from ebbline.llm.html import extract_main_text
 from ebbline.llm.lm import score_documents
 from ebbline.llm.minhash import near_duplicates
 from ebbline.llm.mixing import mix
@@ -40,6 +42,16 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = format_chats(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "n_turns", "n_copies", F.char_length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 #: Weights of sources in order, repeating.
 MIX_WEIGHTS = [3, 1, 2]
 
@@ -67,7 +79,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_minhash_near_dedup, op4_suffix_array_dedup, op7_source_mixing, op8_class_lm_scoring, op9_vector_sharding, op10_quality_rules)}
+    every = (
+        op1_benchmark_decontamination,
+        op2_substring_dedup,
+        op3_minhash_near_dedup,
+        op4_suffix_array_dedup,
+        op5_html_extraction,
+        op6_chat_formatting,
+        op7_source_mixing,
+        op8_class_lm_scoring,
+        op9_vector_sharding,
+        op10_quality_rules,
+    )
+    return {f.__name__: f for f in every}
 
 
 #: The same words as ebbline.llm.text and ebbline.llm.quality, in DuckDB's terms.
@@ -90,6 +114,17 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS B
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER w AS pos, '<|im_start|>' || coalesce(role, '') || chr(10) || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS line
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, ''))
+),
+p AS (SELECT conv_id, pos, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY pos) AS r, max(pos) OVER (PARTITION BY conv_id) AS n FROM t),
+e AS (SELECT min(conv_id) AS conv_id, n, r, count(*) AS n_copies FROM p WHERE pos = n GROUP BY n, r)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, CAST(n_copies AS BIGINT) AS n_copies, CAST(length(r) AS BIGINT) AS n_chars, sha256(r) AS rendered_sha256
+FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n AND p.pos = e.n AND p.r = e.r)
+"""
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -135,4 +170,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL, "op7_source_mixing": OP7_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op6_chat_formatting": OP6_SQL, "op7_source_mixing": OP7_SQL, "op10_quality_rules": OP10_SQL}
