@@ -15,7 +15,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 #: Texts are handled in slices of about so many bytes, which bounds a worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: ASCII white space: a space and the bytes 9 to 13.
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 ASCII_LOWER = np.arange(256, dtype=np.uint8)

@@ -129,7 +129,7 @@ def decide(table: pa.Table) -> pa.Table:
     sizes = np.frombuffer(joined("sizes"), np.int32)
     judged = np.zeros(len(h), bool)
     judged[least_of_each(h, g, ids)] = True
-    entry = np.repeat(np.arange(len(h)), sizes)
+    entry = np.repeat(np.arange(len(h), dtype=np.int32), sizes)
     kept = np.flatnonzero(judged[entry])
     doc = ids[entry]
     order = kept[np.lexsort((doc[kept], span[kept], key[kept]))]
