@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ebbline.operators import backtest, diagnostics, econo, macro, micro, risk, rolling, rules, stress
+from ebbline.operators import backtest, diagnostics, econo, learning, macro, micro, models, risk, rolling, rules, stress
 from ebbline.operators import series as ts
 from ebbline.sources import market
 
@@ -484,3 +484,117 @@ def normalised_tickers(spark, d):
     return micro.normalised_tickers(names)
 
 
+
+
+@query
+def student_var(spark, d):
+    return models.student_var(returns(spark, d))
+
+
+@query
+def evt_var(spark, d):
+    return models.evt_var(returns(spark, d))
+
+
+@query
+def garch(spark, d):
+    return models.garch(returns(spark, d))
+
+
+@query
+def garch_filtered_var(spark, d):
+    return models.garch_filtered_var(returns(spark, d))
+
+
+def simulated(spark, d, nu) -> DataFrame:
+    r = returns(spark, d)
+    return models.monte_carlo_var(ts.pair_moments(r), ts.aligned(r).groupBy("asset").agg(F.avg("r").alias("mean")), ts.equal_weights(r), nu=nu)
+
+
+@query
+def monte_carlo_var(spark, d):
+    return simulated(spark, d, None)
+
+
+@query
+def monte_carlo_student_var(spark, d):
+    return simulated(spark, d, 5.0)
+
+
+@query
+def es_bootstrap(spark, d):
+    return models.es_bootstrap(backtest.rolling_backtest(returns(spark, d), confidence=0.975))
+
+
+@query
+def compare_methods(spark, d):
+    """VaR and ES of every estimator for each asset."""
+    r = returns(spark, d)
+    parts = {"historical": risk.historical_var(r), "normal": risk.normal_var(r), "student": models.student_var(r), "filtered": risk.filtered_var(r), "evt": models.evt_var(r)}
+    out = None
+    for name, part in parts.items():
+        rows = part.select("asset", F.lit(name).alias("method"), "var", "es")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def shrunk_covariance(spark, d):
+    return models.shrunk_covariance(returns(spark, d))
+
+
+@query
+def cleaned_correlation(spark, d):
+    return models.cleaned_correlation(ts.pair_moments(ts.log_returns(market.daily_orders(spark, d))))
+
+
+@query
+def entropy_portfolio(spark, d):
+    return models.entropy_portfolio(ts.pair_moments(returns(spark, d)))
+
+
+@query
+def spectral_cycles(spark, d):
+    return models.cycles(market.bars(spark, d))
+
+
+@query
+def tsallis_fit(spark, d):
+    return models.tsallis(econo.histogram(returns(spark, d)))
+
+
+@query
+def bubble_fit(spark, d):
+    return models.bubble(market.damped_bars(spark, d))
+
+
+@query
+def quantum_well(spark, d):
+    return models.quantum_well(returns(spark, d))
+
+
+@query
+def hurst_consensus(spark, d):
+    return econo.hurst_consensus(returns(spark, d))
+
+
+@query
+def long_signal(spark, d):
+    b = market.damped_bars(spark, d)
+    return econo.long_signal(econo.hurst_consensus(ts.log_returns(b)), models.bubble(b), risk.asset_statistics(b))
+
+
+@query
+def walk_forward_model(spark, d):
+    """Predictions of a forest that is trained on the past only, every 500 rows."""
+    return learning.walk_forward(learning.labelled(market.damped_bars(spark, d)), first=750, step=500)
+
+
+@query
+def model_backtest(spark, d):
+    return models.backtest_engine(learning.walk_forward(learning.labelled(market.damped_bars(spark, d)), first=750, step=500))
+
+
+@query
+def feature_importance(spark, d):
+    return learning.importance(learning.labelled(market.damped_bars(spark, d)))
