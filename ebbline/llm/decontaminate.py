@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.llm.storage import broadcast_up_to, materialize
-from ebbline.llm.text import ALNUM_WORD, ascii_lower, words
+from ebbline.llm.text import NOT_ALNUM, ascii_lower
 
 #: Rows of a fingerprint or window table of the benchmark that may be broadcast (about 100 MB at most); beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
@@ -19,7 +19,8 @@ BROADCAST_ROWS = 500_000
 
 def word_table(table: DataFrame, keys: list[str]) -> DataFrame:
     """Keys, words, n (their number) and hashes (one for each word); a null text has none."""
-    out = table.select(*keys, words(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), ALNUM_WORD).alias("words"))
+    lowered = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = table.select(*keys, F.array_remove(F.split(lowered, NOT_ALNUM), "").alias("words"))
     return out.withColumns({"n": F.size("words"), "hashes": F.transform("words", lambda w: F.xxhash64(w))})
 
 
@@ -30,11 +31,13 @@ def phrase(at: Column, length: Column | int) -> Column:
 def fingerprints(table: DataFrame, keys: list[str], window: int, gram: int) -> DataFrame:
     """Keys, n, words, at (of the kept gram) and mark (its hash); and a row with at = -1 for each text."""
     w = window - gram + 1
-    rows = table.select(*keys, "n", "words", "hashes", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n") - window, F.lit(-1)))).alias("s"))
     # A hash's low six bits give way to its place, so that the least one also tells where it stands.
-    gram_at = lambda j: (F.xxhash64(*[F.get("hashes", F.col("s") + (j + i)) for i in range(gram)]).bitwiseAND(F.lit(-64))).bitwiseOR((F.col("s") + j).bitwiseAND(F.lit(63)).cast("long"))
-    rows = rows.withColumns({f"g{j}": gram_at(j) for j in range(w)} | {"before": F.when(F.col("s") > 0, gram_at(-1))})
-    rows = rows.withColumns({"kept": F.least(*[f"g{j}" for j in range(w)]), "kept_before": F.when(F.col("s") > 0, F.least("before", *[f"g{j}" for j in range(w - 1)]))})
+    gram_at = lambda i: F.xxhash64(*[F.get("hashes", i + j) for j in range(gram)]).bitwiseAND(F.lit(-64)).bitwiseOR(i.bitwiseAND(F.lit(63)).cast("long"))
+    marks = F.when(F.col("n") >= window, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - gram, F.lit(0))), gram_at))
+    rows = table.select(*keys, "n", "words", marks.alias("marks"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n") - window, F.lit(-1)))).alias("s"))
+    least = lambda shift: F.least(*[F.get("marks", F.col("s") + (j + shift)) for j in range(w)])
+    rows = rows.select(*keys, "n", "words", "s", least(0).alias("kept"), F.when(F.col("s") > 0, least(-1)).alias("kept_before"))
     rows = rows.filter((F.col("s") < 0) | F.col("kept_before").isNull() | (F.col("kept") != F.col("kept_before")))
     at = F.col("s") + F.pmod(F.col("kept").bitwiseAND(F.lit(63)) - F.col("s"), F.lit(64)).cast("int")
     return rows.select(*keys, "n", "words", F.when(F.col("s") < 0, F.lit(-1)).otherwise(at).alias("at"), F.when(F.col("s") >= 0, F.col("kept").bitwiseAND(F.lit(-64))).alias("mark"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Runs of digits, letters and anything beyond ASCII, in lower-cased text.
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between runs of digits, letters and anything beyond ASCII, in lower-cased text.
+NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text: Column) -> Column:
