@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ebbline.operators.diagnostics import expected_max_sharpe
 from ebbline.operators.rules import STRATEGIES
 from ebbline.operators.stress import SHOCKS
 
@@ -138,7 +139,11 @@ SQL["stress_hypothetical"] = f"WITH {RETS}{BOOK}{FACTORS}{HYPO} SELECT scenario,
 SQL["stress_reverse"] = f"WITH {RETS}{BOOK}{FACTORS}{HYPO} SELECT shocks.scenario, factor, round(-0.10 / pnl, 4) AS scale, round(move * (-0.10 / pnl), 4) AS scaled_move FROM shocks JOIN hypo ON shocks.scenario = hypo.scenario WHERE pnl < 0"
 MOMENTS = ", mo AS (SELECT asset, count(*) AS n, avg(r) AS mean, stddev_samp(r) AS sd, avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5) AS g1, avg(pow(r - m, 4)) / pow(avg(pow(r - m, 2)), 2) AS g2 FROM (SELECT *, avg(r) OVER (PARTITION BY asset) AS m FROM rets) GROUP BY asset HAVING count(*) >= 20), sr AS (SELECT *, mean / sd AS sr, sqrt(1 - g1 * (mean / sd) + (g2 - 1) / 4 * (mean / sd) * (mean / sd)) AS se FROM mo)"
 SQL["probabilistic_sharpe"] = f"WITH {RETS}{MOMENTS}, z AS (SELECT *, sr * sqrt(n - 1) / se AS z FROM sr) SELECT asset, n, round(sr * sqrt(252.0), 6) AS sharpe, round({cdf('z')}, 6) AS psr FROM z"
-THRESHOLD = 0.5 / 252**0.5 * ((1 - 0.5772156649015329) * 1.6448536269514715 + 0.5772156649015329 * 2.0867880953432755)
+THRESHOLD = expected_max_sharpe(20, 0.5 / 252**0.5)
+SQL["deflated_sharpe"] = f"WITH {RETS}{MOMENTS}, z AS (SELECT *, (sr - {THRESHOLD!r}) * sqrt(n - 1) / se AS z FROM sr), p AS (SELECT *, {cdf('z')} AS dsr FROM z) SELECT asset, n, round(sr * sqrt(252.0), 6) AS sharpe, round({THRESHOLD!r} * sqrt(252.0), 6) AS threshold, round(dsr, 6) AS dsr, CASE WHEN dsr >= 0.95 THEN 'credible' WHEN dsr >= 0.5 THEN 'inconclusive' ELSE 'likely overfit' END AS verdict FROM p"
+EWM = "list_reduce(list({0}) OVER f, lambda a, x : a * 13 / 14.0 + x / 14.0)"
+ADX = f", dm AS (SELECT asset, date, high - lag(high) OVER w AS up, lag(low) OVER w - low AS dn, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM dohlc WINDOW w AS (PARTITION BY asset ORDER BY date)), d1 AS (SELECT asset, date, CAST(CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS DOUBLE) AS p, CAST(CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS DOUBLE) AS m, tr FROM dm), d2 AS (SELECT asset, date, 100 * {EWM.format('p')} / ({EWM.format('tr')} + 1e-10) AS pd, 100 * {EWM.format('m')} / ({EWM.format('tr')} + 1e-10) AS md FROM d1 WINDOW f AS (PARTITION BY asset ORDER BY date)), d3 AS (SELECT *, 100 * abs(pd - md) / (pd + md + 1e-10) AS dx FROM d2), adx AS (SELECT asset, date, {EWM.format('dx')} AS adx, pd - md AS di_diff FROM d3 WINDOW f AS (PARTITION BY asset ORDER BY date))"
+SQL["directional_index"] = f"WITH {DAMPED_OHLC}{ADX} SELECT asset, date, round(adx, 6) AS adx, round(di_diff, 6) AS di_diff FROM adx"
 BLOCK = "CASE " + " ".join(f"WHEN t >= floor({i} * len / 6) THEN {i}" for i in range(5, 0, -1)) + " ELSE 0 END"
 PNL = "tp AS (SELECT l_linenumber AS asset, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / sum(l_quantity) AS price FROM lineitem GROUP BY 1, 2), rets AS (SELECT * FROM (SELECT asset, date, ln(price / lag(price) OVER (PARTITION BY asset ORDER BY date)) AS r FROM tp) WHERE r IS NOT NULL)"
 PBO = f"{PNL}{BOOK}, td AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t, count(*) OVER () AS len FROM full_days), pn AS (SELECT asset AS trial, r AS pnl, {BLOCK} AS block FROM aligned JOIN td USING (date)), ch AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS choice, [a, b, c] AS ins FROM range(6) x(a), range(6) y(b), range(6) z(c) WHERE a < b AND b < c), sh AS (SELECT choice, trial, list_contains(ins, block) AS inside, coalesce(avg(pnl) / nullif(stddev_samp(pnl), 0), 0) AS s FROM pn, ch GROUP BY 1, 2, 3), pr AS (SELECT choice, trial, max(s) FILTER (inside) AS i, max(s) FILTER (NOT inside) AS o FROM sh GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY choice ORDER BY i DESC, trial) AS place, count(*) OVER (PARTITION BY choice) AS trials, rank() OVER (PARTITION BY choice ORDER BY o) + (count(*) OVER (PARTITION BY choice, o) - 1) / 2.0 AS rank FROM pr), sp AS (SELECT choice, trial AS best_trial, rank, ln(rank / (trials + 1) / (1 - rank / (trials + 1))) AS logit FROM rk WHERE place = 1)"
@@ -196,3 +201,6 @@ SQL["breadth"] = f"WITH {RETS}, g AS (SELECT date AS day, count(*) FILTER (r > 0
 SQL["parsed_klines"] = f"WITH {OHLC} SELECT asset AS symbol, date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, round(volume, 4) AS volume FROM ohlc"
 SQL["parsed_props"] = "WITH p AS (SELECT event_type, unnest(json_keys(props)) AS key, props FROM events) SELECT event_type, key, count(*) AS n, round(avg(try_cast(json_extract_string(props, '$.' || key) AS DOUBLE)), 4) AS mean FROM p GROUP BY 1, 2"
 SQL["normalised_tickers"] = "WITH t AS (SELECT DISTINCT ' ' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || CASE WHEN p_size % 2 = 0 THEN '-usd' ELSE '' END AS ticker FROM part), u AS (SELECT ticker, upper(trim(ticker)) AS u FROM t) SELECT ticker, regexp_matches(u, '(-USD|USDT)$') AS is_crypto, CASE WHEN regexp_matches(u, '(-USD|USDT)$') THEN regexp_replace(u, '(-USD|USDT)$', '') || 'USDT' ELSE u END AS symbol, CASE WHEN regexp_matches(u, '(-USD|USDT)$') THEN regexp_replace(u, '(-USD|USDT)$', '') || '-USD' ELSE u END AS yahoo FROM u"
+SQL["trade_summary"] = "SELECT o_orderpriority AS asset, count(*) AS trades, count(*) FILTER (o_orderstatus = 'O') AS bought, count(*) FILTER (o_orderstatus = 'F') AS sold, max(CAST(o_orderdate AS DATE)) AS last FROM orders GROUP BY 1"
+SQL["last_trades"] = "WITH o AS (SELECT o_orderpriority AS asset, CAST(o_orderdate AS DATE) AS ts, count(*) AS n FROM orders GROUP BY 1, 2) SELECT asset, ts, n, CAST(row_number() OVER (PARTITION BY asset ORDER BY ts DESC) AS INTEGER) AS place FROM o QUALIFY row_number() OVER (PARTITION BY asset ORDER BY ts DESC) <= 15"
+SQL["style_factors"] = f"WITH {ORDERS}{RET.format('panel')}, m AS (SELECT date, r AS m FROM rets WHERE asset = '1-URGENT') SELECT date, 'MKT' AS factor, round(m, 6) AS r FROM m UNION ALL SELECT rets.date, asset, round(r - m, 6) FROM rets JOIN m ON rets.date = m.date WHERE asset <> '1-URGENT'"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ebbline.operators import backtest, diagnostics, econo, learning, macro, micro, models, risk, rolling, rules, stress
 from ebbline.operators import series as ts
-from ebbline.sources import market
+from ebbline.sources import market, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -598,3 +598,24 @@ def model_backtest(spark, d):
 @query
 def feature_importance(spark, d):
     return learning.importance(learning.labelled(market.damped_bars(spark, d)))
+
+
+@query
+def trade_summary(spark, d):
+    """Orders as trades: open ones bought, filled ones sold."""
+    orders = market.table(spark, d, "orders")
+    action = F.when(F.col("o_orderstatus") == "O", "COMPRAR").when(F.col("o_orderstatus") == "F", "VENDER").otherwise("ESPERAR")
+    return sinks.trade_summary(orders.select(F.col("o_orderpriority").alias("asset"), F.to_date("o_orderdate").alias("ts"), action.alias("action")))
+
+
+@query
+def last_trades(spark, d):
+    orders = market.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("asset"), F.to_date("o_orderdate").alias("ts")).agg(F.count("*").alias("n"))
+    return sinks.last_trades(orders, 15)
+
+
+@query
+def style_factors(spark, d):
+    from ebbline.sources.factors import excess_over_market
+
+    return rounded(excess_over_market(ts.log_returns(market.daily_orders(spark, d)), "1-URGENT"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.functions.frames import series
+from ebbline.functions.frames import last_known, series
 
 #: Power that turns the synthetic prices' changes into market-like ones, for rules with percent limits.
 DAMPING = 0.02
@@ -60,5 +60,4 @@ def read_bars(spark: SparkSession, path: str, kind: str = "parquet") -> DataFram
     schema = "asset string, date date, price double"
     reader = spark.read.schema(schema)
     rows = reader.option("header", True).csv(path) if kind == "csv" else reader.format(kind).load(path)
-    filled = F.last("price", ignorenulls=True).over(series().rowsBetween(-(2**31), 0))
-    return rows.withColumn("price", filled).dropna(subset=["price"])
+    return rows.withColumn("price", last_known(series(), F.col("price"))).dropna(subset=["price"])
