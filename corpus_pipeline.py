@@ -32,16 +32,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words (or all, if fewer) of a benchmark item."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated")
-    bad = materialize(found.select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = materialize(found.select(F.col("doc_id").alias("__bad_id")).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     copies = mix(docs, WEIGHTS, BUDGET_PERCENT, MAX_EPOCHS).filter("copies > 0")
-    copies = materialize(copies.groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("copies")), "copies")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    copies = materialize(copies.groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("copies").alias("__copies")), "copies")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,13 +59,13 @@ def shard_documents(docs: DataFrame, shards: int = 16, importance=IMPORTANCE) ->
     placed["shard"] = pack(placed[["bytes", "tokens", "rows"]].to_numpy(float), shards, np.array(importance)) if len(placed) else []
     spark: SparkSession = docs.sparkSession
     plan = materialize(spark.createDataFrame(placed[["__h", "__g", "bundle", "shard"]].astype("int64"), "__h long, __g long, bundle long, shard long"), "plan")
-    large = plan.filter("bundle < 0").select(F.col("__h").alias("lh"), F.col("__g").alias("lg"), F.col("shard").alias("large_shard"))
-    small = plan.filter("bundle >= 0").select("bundle", F.col("shard").alias("bundle_shard"))
-    rows = rows.join(F.broadcast(large), (F.col("__h") == F.col("lh")) & (F.col("__g") == F.col("lg")), "left").withColumn("bundle", bundle)
-    rows = rows.join(F.broadcast(small), "bundle", "left").withColumn("shard", F.coalesce("large_shard", "bundle_shard").cast("int"))
+    large = plan.filter("bundle < 0").select(F.col("__h").alias("__lh"), F.col("__g").alias("__lg"), F.col("shard").alias("__large_shard"))
+    small = plan.filter("bundle >= 0").select(F.col("bundle").alias("__bundle"), F.col("shard").alias("__bundle_shard"))
+    rows = rows.join(F.broadcast(large), (F.col("__h") == F.col("__lh")) & (F.col("__g") == F.col("__lg")), "left").withColumn("__bundle", bundle)
+    rows = rows.join(F.broadcast(small), "__bundle", "left").withColumn("shard", F.coalesce("__large_shard", "__bundle_shard").cast("int"))
     rows = rows.withColumn("__range", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_RANGES)))
-    counts = rows.groupBy("shard", "__range").count()
-    offset = F.sum("count").over(Window.partitionBy("shard").orderBy("__range")) - F.col("count")
+    counts = rows.groupBy("shard", "__range").agg(F.count("*").alias("__count"))
+    offset = F.sum("__count").over(Window.partitionBy("shard").orderBy("__range")) - F.col("__count")
     offsets = materialize(counts.select(F.col("shard").alias("__s"), F.col("__range").alias("__r"), offset.alias("__offset")), "offsets")
     within = F.row_number().over(Window.partitionBy("shard", "__range").orderBy("doc_id", "__h", "size"))
     rows = rows.withColumn("__n", within).join(F.broadcast(offsets), (F.col("shard") == F.col("__s")) & (F.col("__range") == F.col("__r")))
