@@ -114,29 +114,39 @@ def estimated_pairs(k: int, least: float):
     return run
 
 
-def pairs_within(k: int, least: float):
-    """For one long list: pairs of different components whose sketches are similar enough; all in numpy, only those leave."""
+def links_within(percent: int):
+    """For sets that share a hub: exact links between different components, one for each set and component it meets.
+
+    Rows of two blocks are compared across the blocks only, rows of one block with each other.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        reps, comps, sizes = (np.asarray(table.column(c)) for c in ("rep", "component", "n_shingles"))
-        data, at = utf8(table.column("sketch"))
-        values = np.ascontiguousarray(data).view(np.uint64)
-        names, ids = np.unique(values, return_inverse=True)
-        doc = np.repeat(np.arange(len(reps)), np.diff(at) // 8)
-        first = at[:-1] // 8
-        mark = np.zeros(len(names), bool)
+        table = table.combine_chunks()
+        reps, comps, block = (np.asarray(table.column(c)) for c in ("rep", "component", "block"))
+        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        data, at = utf8(table.column("hashes"))
+        names, ids = np.unique(np.ascontiguousarray(data).view(np.uint64), return_inverse=True)
+        at = at // 8
+        sizes, mark = np.diff(at), np.zeros(len(names), np.int64)
+        # A pair of two components has a member outside the largest one, so only those are compared with the rest.
+        _, of, members = np.unique(comps, return_inverse=True, return_counts=True)
+        outside = of != int(np.argmax(members))
         out_a, out_b = [], []
-        for i in range(len(reps) - 1):
-            own = ids[first[i] : at[i + 1] // 8]
-            mark[own] = True
-            shared = np.add.reduceat(mark[ids], first)
-            mark[own] = False
-            # No more than what both retain can be shared, so this is above the estimate.
-            j = np.flatnonzero((shared >= least * np.minimum(k, np.minimum(len(own), np.diff(at) // 8)) - 1) & (comps != comps[i]) & (np.arange(len(reps)) > i))
-            j = j[[estimate(values[first[i] : at[i + 1] // 8], values[first[x] : at[x + 1] // 8], k) >= least for x in j.tolist()]] if len(j) else j
-            out_a.append(np.full(len(j), reps[i]))
-            out_b.append(reps[j])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+        for x in np.flatnonzero(outside).tolist():
+            ok = (of != of[x]) & (~outside | (np.arange(len(reps)) > x))
+            if across:
+                ok &= block != block[x]
+            if not ok.any():
+                continue
+            own = ids[at[x] : at[x + 1]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[ids], at[:-1])
+            mark[own] = 0
+            found = np.flatnonzero(ok & (100 * both >= percent * (sizes + len(own) - both)))
+            found = found[np.unique(of[found], return_index=True)[1]]
+            out_a.append(np.full(len(found), reps[x]))
+            out_b.append(reps[found])
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
@@ -167,6 +177,8 @@ def verified_pairs(percent: int):
     return run
 
 
+#: Sets of a hub in one block; a task compares two blocks.
+BLOCK = 1000
 #: Lists of up to so many sets give all their pairs; longer ones are compared inside a task.
 SHORT_LIST = 12
 
@@ -180,10 +192,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     Needs doc_id and text; other columns are ignored.
 
     1. Sketches; equal sets fall together first, so that groups of copies cost one row each.
-    2. Inverted lists of retained values (see list_keys). Each list gives pairs of its least member with the others;
-       those that pass the estimate are verified on whole sets, and components form.
+    2. Inverted lists of retained values (see list_keys). Each list gives pairs of its hub, the member that meets most
+       others over all its lists, with the others; those that pass the estimate are verified on whole sets, and
+       components form. The hub of a group of copies is near their common source, so one round joins most of them.
     3. Lists that still join different components give all other pairs between components: short ones by a join,
-       long ones inside a task by their sketches. These too are estimated and verified.
+       long ones of one hub by their whole sets, block by block inside tasks, of which only links leave.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     least = least_estimate(k, percent)
@@ -192,8 +205,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     reps = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     distinct = filled.join(reps.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").dropDuplicates(["set_a", "set_b"])
     keys = distinct.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").mapInArrow(key_batches(k, percent), "key long, rep long, n_shingles long")
-    hubs = keys.groupBy("key").agg(F.min(F.struct("rep", "n_shingles")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(keys.join(hubs, "key").select("key", "rep", "n_shingles", "hub", "n"), "lists")
+    long_enough = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = materialize(keys.join(long_enough, "key").select("key", "rep", "n_shingles", "n"), "lists")
+    met = members.groupBy("rep").agg(F.sum("n").alias("met"))
+    hubs = members.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("first"), "rep", "n_shingles")).alias("hub"))
+    members = materialize(members.join(hubs, "key").select("key", "rep", "n_shingles", "n", F.col("hub.rep").alias("hub"), F.col("hub.n_shingles").alias("hub_size")), "hubs")
 
     listed = members.select("rep").distinct()
     sketches = materialize(sketched.select(F.col("doc_id").alias("rep"), "sketch").join(listed, "rep", "left_semi").dropDuplicates(["rep"]), "listed")
@@ -210,12 +226,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
         both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("set_b")), "b")
         return both.select("a", "b", "set_a", "set_b").mapInArrow(verified_pairs(percent), "a long, b long")
 
-    starred = members.filter((F.col("rep") != F.col("hub.rep")) & similar_sizes(F.col("n_shingles"), F.col("hub.n_shingles")))
-    tried = starred.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    starred = members.filter((F.col("rep") != F.col("hub")) & similar_sizes(F.col("n_shingles"), F.col("hub_size")))
+    tried = materialize(starred.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "tried")
     links = materialize(verified(estimated(tried)), "links")
     labels = components(links, "a", "b")
 
-    marked = members.select("key", "rep", "n_shingles", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    marked = members.select("key", "rep", "n_shingles", "n", "hub").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     # A list of two has had its only pair tried.
     marked = materialize(marked.filter("n > 2").join(mixed, "key", "left_semi"), "mixed")
@@ -223,10 +239,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     x, y = short.alias("x"), short.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & similar_sizes(F.col("x.n_shingles"), F.col("y.n_shingles")))
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    long = marked.filter(F.col("n") > SHORT_LIST).join(sketches, "rep").select("key", "rep", "component", "n_shingles", "sketch")
-    met = long.groupBy("key").applyInArrow(pairs_within(k, least), "a long, b long").distinct()
-    more = verified(estimated(pairs).union(met).distinct())
-    labels = components(materialize(links.union(more), "links"), "a", "b")
+    more = verified(estimated(pairs))
+
+    # Lists of one hub hold much the same sets, so a set goes once to each of its hubs, not to each of its lists.
+    long = materialize(marked.filter(F.col("n") > SHORT_LIST).select("hub", "rep", "component").distinct(), "long")
+    blocks = long.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = long.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component").join(sets, "rep")
+    found = dealt.select("hub", "i", "j", "block", "rep", "component", "hashes").groupBy("hub", "i", "j").applyInArrow(links_within(percent), "a long, b long")
+    labels = components(materialize(links.union(more).union(found).distinct(), "links"), "a", "b")
 
     named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     named = materialize(named, "named")

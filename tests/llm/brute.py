@@ -4,7 +4,7 @@ import itertools
 import random
 import re
 
-VOCABULARY = "ba de fi go hu ja ke li mo nu pa ra se ti vo wu xa yo zé Ñu".split()
+VOCABULARY = "bara deto fimu gola hune jari keso lipa mona nuvo pari rabe seto tiva vole wuna xari yodo zéla Ñuro".split()
 
 
 def sentence(rng, n):

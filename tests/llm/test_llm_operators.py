@@ -15,7 +15,7 @@ from tests.llm import brute
 SCHEMA = "doc_id long, text string, lang string, source string"
 ROWS = brute.documents()
 PLAIN = [(r[0], r[1]) for r in ROWS]
-CLASHING = "h g bucket key span marks hits copy rep component n words hashes salt size shard slot tokens draw range away least_id".split()
+CLASHING = "h g bucket key span marks hits copy rep component n words hashes salt size shard slot tokens draw range away least_id bundle lh lg count large_shard copies mix_id bad_id".split()
 
 
 @pytest.fixture(scope="module")
@@ -87,13 +87,15 @@ def test_near_duplicates(wide, n):
     assert len(got) == len(ROWS)
 
 
-def test_long_lists_lose_no_link(spark):
+@pytest.mark.parametrize("changes,block", [(12, 1000), (18, 1000), (18, 20)])
+def test_long_lists_lose_no_link(spark, monkeypatch, changes, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(300)]
     rows = []
     for d in range(60):
         words = list(base)
-        for i in rng.sample(range(300), 12):
+        for i in rng.sample(range(300), rng.randint(changes - 6, changes + 6)):
             words[i] = f"x{rng.random()}"
         rows.append((d, " ".join(words)))
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
@@ -107,7 +109,7 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
-ITEMS = [(1, "Ba, de FI go hu ja ke li mo nu pa ra"), (2, None), (3, "!!!"), (4, "one"), (5, brute.sentence(random.Random(5), 70)), (10, "zé Ñu zé"), (None, "two words"), (7, "ba " * 15)]
+ITEMS = [(1, "Bara, deto FIMU gola hune jari keso lipa mona nuvo pari rabe"), (2, None), (3, "!!!"), (4, "one"), (5, brute.sentence(random.Random(5), 70)), (10, "zéla Ñuro zéla"), (None, "two words"), (7, "bara " * 15)]
 
 
 @pytest.mark.parametrize("limit", [1000, 0])

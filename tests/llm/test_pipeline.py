@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ebbline.llm.text import NOT_ALNUM
 from tests.llm import brute
@@ -8,7 +10,7 @@ from tests.llm import brute
 def test_stages_follow_each_other(spark, tmp_path):
     rows = brute.documents()
     items = [(1, rows[20][1])]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(1) for c in ("copies", "bundle", "n", "mix_id")}).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns, left = docs.columns, [(r[0], r[1]) for r in rows]
