@@ -17,31 +17,45 @@ WEIGHTS, BUDGET_PERCENT, MAX_EPOCHS = [3, 1, 2], 150, 2
 SHARDS = 16
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Documents with a row id, written, so that a decision goes back to its row and not to all rows of one doc_id (or of none)."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that every rule lets pass."""
     return quality_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles (similarity 0.8 or more) the least doc_id; rows without one stay."""
-    kept = materialize(near_duplicates(docs, shingle=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    known = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Of each group of documents linked by five-word shingles (similarity 0.8 or more) one with the least doc_id, of equal rows one; rows without a doc_id stay."""
+    rows = numbered(docs)
+    named = rows.filter("doc_id is not null")
+    found = near_duplicates(named.select(F.col("__row").alias("doc_id"), "text"), shingle=5, percent=80).withColumnRenamed("doc_id", "__row")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = found.join(named.select("__row", "doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("2"), text).alias("h2")), "__row")
+    # Texts without a word link with nothing: there only rows of one doc_id and text are copies of each other.
+    alone = lambda c: F.when(F.col("n_shingles") == 0, F.col(c)).alias(f"own_{c}")
+    groups = found.groupBy(F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"), alone("doc_id"), alone("h1"), alone("h2"))
+    kept = materialize(groups.agg(F.min(F.struct("doc_id", "h1", "h2", "__row")).alias("least")).select("least.__row"), "kept")
+    return named.join(kept, "__row", "left_semi").unionByName(rows.filter("doc_id is null")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words (or all, if fewer) of a benchmark item."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated")
-    bad = materialize(found.select(F.col("doc_id").alias("__bad_id")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")), "left_anti")
+    rows = numbered(docs)
+    found = contamination(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = materialize(found.filter("contaminated").select(F.col("doc_id").alias("__row")), "contaminated")
+    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mix(docs, WEIGHTS, BUDGET_PERCENT, MAX_EPOCHS).filter("copies > 0")
-    copies = materialize(copies.groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("copies").alias("__copies")), "copies")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*docs.columns)
+    rows = numbered(docs)
+    copies = mix(rows, WEIGHTS, BUDGET_PERCENT, MAX_EPOCHS, keep=["__row"]).filter("copies > 0")
+    copies = materialize(copies.select("__row", F.col("copies").cast("int").alias("__copies")), "copies")
+    taken = rows.join(copies, "__row")
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ def water_fill(sources: DataFrame, budget: Column, max_epochs: int) -> DataFrame
     return rows.withColumn("target", target).drop("cap", "budget", "left_caps", "left_weight", "level", "full", "open_level")
 
 
-def mix(docs: DataFrame, weights: list[int], budget_percent: int = 150, max_epochs: int = 2, seed: str = SEED, ranges: int = RANGES) -> DataFrame:
-    """One row per document: doc_id, source, size (words), source_size, target (words of its source), copies, taken.
+def mix(docs: DataFrame, weights: list[int], budget_percent: int = 150, max_epochs: int = 2, seed: str = SEED, ranges: int = RANGES, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size (words), source_size, target (words of its source), copies, taken; and the columns to keep.
 
     Every document is taken floor(target / source_size) times; then whole documents in the order of a seeded hash, as
     long as that brings the source nearer to its target (half a document is the most that it misses by). The hash is of the id alone, so reruns agree. Null texts have size 0;
@@ -50,7 +52,7 @@ def mix(docs: DataFrame, weights: list[int], budget_percent: int = 150, max_epoc
     copies are of nothing, and go along with the hash order. Needs doc_id, text, source; other columns are ignored.
     """
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *keep)
     docs = docs.withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     digits = len(f"{ranges - 1:x}")
     docs = docs.withColumn("range", F.conv(F.substring("draw", 1, digits), 16, 10).cast("long"))
@@ -74,8 +76,8 @@ def mix(docs: DataFrame, weights: list[int], budget_percent: int = 150, max_epoc
     edge = ~inside & (F.col("earlier") < F.col("rest"))
     # Only the range in which a source's fraction ends is put in order: 1 in `ranges` of its documents.
     sure = docs.filter(~edge).withColumn("extra", inside.cast("long"))
-    running = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy("source").orderBy("draw", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("earlier") + F.sum("size").over(running) - F.col("size") / 2
     drawn = docs.filter(edge).withColumn("extra", (middle < F.col("rest")).cast("long"))
     out = sure.unionByName(drawn).withColumn("copies", F.col("whole") + F.col("extra"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
