@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ebbline.llm.storage import broadcast_up_to, materialize
 from ebbline.llm.text import NOT_ALNUM, ascii_lower
 
-#: Rows of a fingerprint or window table of the benchmark that may be broadcast (about 100 MB at most); beyond it joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes of a fingerprint or window table of the benchmark that may be broadcast; beyond it joins shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def word_table(table: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,7 +43,7 @@ def fingerprints(table: DataFrame, keys: list[str], window: int, gram: int) -> D
     return rows.select(*keys, "n", "words", F.when(F.col("s") < 0, F.lit(-1)).otherwise(at).alias("at"), F.when(F.col("s") >= 0, F.col("kept").bitwiseAND(F.lit(-64))).alias("mark"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside an occurrence of an item's window), item_ids (sorted
     strings of the items whose windows occur), contaminated (n_hit > 0).
 
@@ -58,7 +58,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     phrases = phrases.union(short.select("item_id", phrase(F.lit(0), window).alias("phrase")))
     phrases = materialize(phrases.groupBy("phrase").agg(F.collect_set("item_id").alias("items")), "phrases")
     marks = materialize(fingerprints(long, ["item_id"], window, gram).filter("at >= 0").select("mark").distinct(), "marks")
-    marks, known = broadcast_up_to(marks, broadcast_rows), broadcast_up_to(phrases, broadcast_rows)
+    marks, known = broadcast_up_to(marks, broadcast_bytes), broadcast_up_to(phrases, broadcast_bytes)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     texts = word_table(docs, ["doc_id", "h"])
@@ -70,7 +70,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
 
     lengths = sorted(r.n for r in short.select("n").distinct().collect())  # fewer than `window` numbers
     if lengths:
-        heads = broadcast_up_to(materialize(short.select(F.col("n").alias("length"), F.array_join("words", " ").alias("phrase")).distinct(), "short"), broadcast_rows)
+        heads = broadcast_up_to(materialize(short.select(F.col("n").alias("length"), F.array_join("words", " ").alias("phrase")).distinct(), "short"), broadcast_bytes)
         places = texts.select("doc_id", "h", "n", "words", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("c"))
         places = places.select("doc_id", "h", "n", "words", "c", F.explode(F.array(*map(F.lit, lengths))).alias("length")).filter("c + length <= n")
         places = places.select("doc_id", "h", "n", "c", "length", phrase(F.col("c"), F.col("length")).alias("phrase"))

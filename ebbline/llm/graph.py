@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.storage import materialize
+from ebbline.llm.storage import discard, materialize
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (the least node reachable) for every node with an edge. The driver sees a checksum a round only."""
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    before = None
+    before, written = None, None
     while True:
         both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -19,6 +19,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).filter("u <> v").distinct()
         pairs = materialize(small, "stars")
+        if written is not None:
+            discard(written)
+        written = pairs
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == before:
             break

@@ -20,8 +20,8 @@ from ebbline.llm.storage import broadcast_up_to, materialize
 #: A subtree is template from so many pages of a host on, and from such a share of its pages.
 LEAST_PAGES = 5
 LEAST_SHARE = 0.3
-#: Rows (hosts) of the template table that may be broadcast; beyond it the join shuffles, pages of a host dealt SALT ways.
-BROADCAST_HOSTS = 50_000
+#: Bytes of the template table that may be broadcast; beyond it the join shuffles, pages of a host dealt SALT ways.
+BROADCAST_BYTES = 64 << 20
 SALT = 64
 #: Counts that a task holds before it passes them on.
 HELD = 200_000
@@ -198,7 +198,7 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share
     return recurring.groupBy("host").agg(F.collect_list("subtree").alias("template"))
 
 
-def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per page: page_id, url, host, text (empty if none).
 
     Main text: what articles hold (else main, else the whole page), less template and ruled-out elements. Character
@@ -209,7 +209,7 @@ def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_sh
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
     templates = materialize(site_templates(pages.select("host", "html"), least_pages, least_share), "templates")
-    known = broadcast_up_to(templates, broadcast_hosts)
+    known = broadcast_up_to(templates, broadcast_bytes)
     if known is templates:
         pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))
         salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))

@@ -7,13 +7,13 @@ import math
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.llm.graph import components
 from ebbline.llm.kernels import Prefixes, mix, slices, utf8, word_hashes
 from ebbline.llm.spans import binaries
-from ebbline.llm.storage import materialize
+from ebbline.llm.storage import discard, materialize
 
 #: Values that a sketch retains.
 SKETCH = 64
@@ -77,77 +77,147 @@ def list_keys(sketch: np.ndarray, at: np.ndarray, sizes: np.ndarray, k: int, per
     return np.concatenate(docs), np.concatenate(keys)
 
 
-def key_batches(k: int, percent: int):
+def least_estimate(k: int, percent: int) -> float:
+    """Six standard deviations below the limit: a pair at the limit falls short about once in 10**9."""
+    p = percent / 100
+    return p - 6 * math.sqrt(p * (1 - p) / k)
+
+
+def local_lists(batches, k: int, percent: int):
+    """The inverted lists of up to HELD sketches at a time: (rep, size, doc of each entry, key of each entry, where lists begin).
+
+    Entries stand by list, and in a list the document first that meets most others over all these lists (its hub).
+    """
+
+    def lists(held):
+        sketch = np.concatenate([np.ascontiguousarray(utf8(b.column("sketch"))[0]).view(np.uint64) for b in held])
+        sizes, reps = (np.concatenate([np.asarray(b.column(c)) for b in held]) for c in ("n_shingles", "rep"))
+        at = np.append(0, np.cumsum(np.minimum(sizes, k)))
+        doc, key = list_keys(sketch, at, sizes, k, percent)
+        _, place, n = np.unique(key, return_inverse=True, return_counts=True)
+        met = np.bincount(doc, weights=n[place] - 1, minlength=len(reps)).astype(np.int64)
+        order = np.lexsort((reps[doc], -met[doc], key))
+        return reps, sizes, met, doc[order], key[order], np.append(0, np.cumsum(n))
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= HELD:
+            yield lists(held)
+            held, size = [], 0
+    if size:
+        yield lists(held)
+
+
+def hub_batches(k: int, percent: int):
+    """One row per list and task, so that a list with a third of all documents is small before it is shuffled."""
+
     def run(batches):
-        for batch in batches:
-            data, at = utf8(batch.column("sketch"))
-            sizes = np.asarray(batch.column("n_shingles"))
-            doc, key = list_keys(np.ascontiguousarray(data).view(np.uint64), at // 8, sizes, k, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.asarray(batch.column("rep"))[doc]), pa.array(sizes[doc])], ["key", "rep", "n_shingles"])
+        for reps, sizes, met, doc, key, at in local_lists(batches, k, percent):
+            hub = doc[at[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[at[:-1]].view(np.int64)), pa.array(reps[hub]), pa.array(sizes[hub]), pa.array(met[hub]), pa.array(np.diff(at))], ["key", "rep", "size", "met", "n"])
 
     return run
 
 
-def least_estimate(k: int, percent: int) -> float:
-    """Six standard deviations below the limit: a pair at the limit falls short about once in 10**9."""
-    p = percent / 100
-    return p - 6 * math.sqrt(p * (1 - p) / k)
+def star_batches(k: int, percent: int):
+    """Pairs of a task's hubs with the other members of their lists, and how many lists each pair shares so."""
+
+    def run(batches):
+        for reps, sizes, _, doc, _, at in local_lists(batches, k, percent):
+            n = np.diff(at)
+            hub = np.repeat(doc[at[:-1]], n)
+            other = doc != hub
+            pair, shared = np.unique(hub[other] * len(reps) + doc[other], return_counts=True)
+            a, b = pair // len(reps), pair % len(reps)
+            differ = reps[a] != reps[b]
+            a, b, shared = a[differ], b[differ], shared[differ]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (reps[a], sizes[a], reps[b], sizes[b], shared)], ["hub", "hub_size", "rep", "size", "shared"])
+
+    return run
+
+
+def estimates(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Jaccard similarity of each pair of rows by the bottom k of the union's sketch (exact if the union has no more). Rows are padded with the greatest value."""
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    real = both != np.iinfo(both.dtype).max
+    twin = np.zeros(both.shape, bool)
+    twin[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(real & ~twin, axis=1)
+    return (twin & (rank <= k)).sum(axis=1) / np.clip(rank[:, -1], 1, k)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
-    """Jaccard similarity by the bottom k of the union's sketch (exact if the union has no more)."""
-    both = np.intersect1d(a, b, assume_unique=True)
-    union = np.union1d(a, b)
-    if len(union) <= k:
-        return len(both) / max(len(union), 1)
-    return int(np.count_nonzero(both <= union[k - 1])) / k
+def padded(column, k: int) -> np.ndarray:
+    """Sketches of 32-bit values as rows of k."""
+    data, at = utf8(column)
+    values, n = np.ascontiguousarray(data).view(np.uint32), np.diff(at) // 4
+    out = np.full((len(n), k), np.iinfo(np.uint32).max, np.uint32)
+    out[np.arange(k) < n[:, None]] = values
+    return out
 
 
 def estimated_pairs(k: int, least: float):
     def run(batches):
         for batch in batches:
-            (da, ta), (db, tb) = utf8(batch.column("sketch_a")), utf8(batch.column("sketch_b"))
-            da, db, ta, tb = np.ascontiguousarray(da).view(np.uint64), np.ascontiguousarray(db).view(np.uint64), ta // 8, tb // 8
-            keep = [estimate(da[ta[i] : ta[i + 1]], db[tb[i] : tb[i + 1]], k) >= least for i in range(batch.num_rows)]
+            keep = estimates(padded(batch.column("sketch_a"), k), padded(batch.column("sketch_b"), k), k) >= least
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def links_within(percent: int):
-    """For sets that share a hub: exact links between different components, one for each set and component it meets.
+def high_halves(batches):
+    """Sketches of the upper 32 bits of each value: the order stays, and for an estimate they tell values apart well enough."""
+    for batch in batches:
+        data, at = utf8(batch.column("sketch"))
+        values = (np.ascontiguousarray(data).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), binaries(values.view(np.uint8), at // 2)], ["rep", "sketch"])
+
+
+def repeated_shingles(n: int):
+    """Shingles that two sets of one slice have, and how many."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                values, count = np.unique(shingle_sets(part, n)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values[count > 1].view(np.int64)), pa.array(count[count > 1])], ["shingle", "n"])
+
+    return run
+
+
+def prefix_batches(n: int, percent: int, names: np.ndarray, counts: np.ndarray):
+    """The first shingles of each set in one order of all shingles (frequent ones last): sets of similarity percent or more share one.
 
-    Rows of two blocks are compared across the blocks only, rows of one block with each other.
+    A set of x shingles shares at least percent % of x with any set that it links with, and 2 p / (1 + p) of its x
+    with any that isn't smaller. So of two linked sets the smaller has one of its first x - ceil(2 p x / (1 + p)) + 1
+    among the first x - ceil(p x) + 1 of the other.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        reps, comps, block = (np.asarray(table.column(c)) for c in ("rep", "component", "block"))
-        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        data, at = utf8(table.column("hashes"))
-        names, ids = np.unique(np.ascontiguousarray(data).view(np.uint64), return_inverse=True)
-        at = at // 8
-        sizes, mark = np.diff(at), np.zeros(len(names), np.int64)
-        # A pair of two components has a member outside the largest one, so only those are compared with the rest.
-        _, of, members = np.unique(comps, return_inverse=True, return_counts=True)
-        outside = of != int(np.argmax(members))
-        out_a, out_b = [], []
-        for x in np.flatnonzero(outside).tolist():
-            ok = (of != of[x]) & (~outside | (np.arange(len(reps)) > x))
-            if across:
-                ok &= block != block[x]
-            if not ok.any():
-                continue
-            own = ids[at[x] : at[x + 1]]
-            mark[own] = 1
-            both = np.add.reduceat(mark[ids], at[:-1])
-            mark[own] = 0
-            found = np.flatnonzero(ok & (100 * both >= percent * (sizes + len(own) - both)))
-            found = found[np.unique(of[found], return_index=True)[1]]
-            out_a.append(np.full(len(found), reps[x]))
-            out_b.append(reps[found])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                values, at = shingle_sets(part, n)
+                place = np.minimum(np.searchsorted(names, values), max(len(names) - 1, 0))
+                often = np.where(names[place] == values, counts[place], 0) if len(names) else np.zeros(len(values), np.int64)
+                sizes = np.diff(at)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((values, often, doc))
+                pos = np.arange(len(values)) - np.repeat(at[:-1], sizes)
+                probed, indexed = (sizes - -(-percent * sizes // 100) + 1)[doc], (sizes - -(-2 * percent * sizes // (100 + percent)) + 1)[doc]
+                keep = pos < probed
+                doc = doc[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(values[order][keep].view(np.int64)),
+                        part.column("rep").take(pa.array(doc)),
+                        part.column("component").take(pa.array(doc)),
+                        pa.array(sizes[doc]),
+                        pa.array(pos[keep]),
+                        pa.array((pos < indexed)[keep]),
+                    ],
+                    ["shingle", "rep", "component", "size", "pos", "indexed"],
+                )
 
     return run
 
@@ -177,10 +247,10 @@ def verified_pairs(percent: int):
     return run
 
 
-#: Sets of a hub in one block; a task compares two blocks.
-BLOCK = 1000
-#: Lists of up to so many sets give all their pairs; longer ones are compared inside a task.
-SHORT_LIST = 12
+#: Sketches whose lists a task joins before it passes them on.
+HELD = 20_000
+#: A shingle in more than 1 / FREQUENT of the sets in question is put last in the order of prefixes; at most FREQUENT * (mean size of a set) are.
+FREQUENT = 500
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -188,69 +258,94 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
 
     Links: 100 * intersection >= percent * union of the sets of lower-cased (A-Z) white-space words' shingles; fewer
     words than a shingle make one shingle, no words make an empty set that links with nothing. percent: 80 or more.
-    Null texts are empty. Rows with a null id: component null, kept. Rows of one id count as one document.
-    Needs doc_id and text; other columns are ignored.
+    Null texts are empty. Rows with a null id: component null, kept. Rows of one id and one set are one document; of one
+    id and different sets, each row is in the component of its own set. Needs doc_id and text; other columns are ignored.
 
     1. Sketches; equal sets fall together first, so that groups of copies cost one row each.
-    2. Inverted lists of retained values (see list_keys). Each list gives pairs of its hub, the member that meets most
-       others over all its lists, with the others; those that pass the estimate are verified on whole sets, and
-       components form. The hub of a group of copies is near their common source, so one round joins most of them.
-    3. Lists that still join different components give all other pairs between components: short ones by a join,
-       long ones of one hub by their whole sets, block by block inside tasks, of which only links leave.
+    2. Inverted lists of retained values (see list_keys), joined inside each task first. A list gives pairs of its hub,
+       the member that meets most others, with the rest; each set is tried with the hub that shares most lists with
+       it, then with its others between components. Pairs that pass the union sketch's estimate are verified on whole sets.
+    3. Lists that still join different components could hide links between two members that aren't the hub. Their
+       sets meet by the prefixes of their shingles in an order of rarity, which loses no link and needs no pair for
+       each two members; estimate and verification follow as before.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     least = least_estimate(k, percent)
     sketched = materialize(docs.mapInArrow(sketch_batches(shingle, k), "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"), "sketches")
     filled = sketched.filter("n_shingles > 0 and doc_id is not null")
-    reps = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    distinct = filled.join(reps.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").dropDuplicates(["set_a", "set_b"])
-    keys = distinct.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").mapInArrow(key_batches(k, percent), "key long, rep long, n_shingles long")
-    long_enough = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(keys.join(long_enough, "key").select("key", "rep", "n_shingles", "n"), "lists")
-    met = members.groupBy("rep").agg(F.sum("n").alias("met"))
-    hubs = members.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("first"), "rep", "n_shingles")).alias("hub"))
-    members = materialize(members.join(hubs, "key").select("key", "rep", "n_shingles", "n", F.col("hub.rep").alias("hub"), F.col("hub.n_shingles").alias("hub_size")), "hubs")
-
-    listed = members.select("rep").distinct()
-    sketches = materialize(sketched.select(F.col("doc_id").alias("rep"), "sketch").join(listed, "rep", "left_semi").dropDuplicates(["rep"]), "listed")
-    sets = materialize(docs.select(F.col("doc_id").alias("rep"), "text").join(listed, "rep", "left_semi").mapInArrow(set_batches(shingle), "rep long, hashes binary"), "sets")
-
-    def similar_sizes(x, y):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    reps = materialize(filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "representatives")
+    distinct = filled.join(reps.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "set_a", "set_b")
+    distinct = materialize(distinct.dropDuplicates(["set_a", "set_b"]).drop("set_a", "set_b"), "distinct")
+
+    lists = distinct.mapInArrow(hub_batches(k, percent), "key long, rep long, size long, met long, n long")
+    all_of = Window.partitionBy("key")
+    lists = lists.withColumn("hub", F.max(F.struct("met", (-F.col("rep")).alias("first"), "rep", "size")).over(all_of)).withColumn("all", F.sum("n").over(all_of))
+    stars = lists.filter("rep <> hub.rep").select("hub.rep", "hub.size", "rep", "size", "all").toDF("hub", "hub_size", "rep", "size", "all")
+    stars = stars.groupBy("hub", "hub_size", "rep", "size").agg(F.count("*").alias("shared"), (F.max("all") > 2).alias("hidden"))
+    local = distinct.mapInArrow(star_batches(k, percent), "hub long, hub_size long, rep long, size long, shared long").withColumn("hidden", F.lit(True))
+    stars = stars.union(local).groupBy("hub", "hub_size", "rep", "size").agg(F.sum("shared").alias("shared"), F.max("hidden").alias("hidden"))
+    stars = materialize(stars.withColumn("alike", 100 * F.least("hub_size", "size") >= percent * F.greatest("hub_size", "size")), "stars")
+    sketches = distinct.select("rep", "sketch").mapInArrow(high_halves, "rep long, sketch binary")
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+        both = pairs.join(sketches.withColumnsRenamed({"rep": "a", "sketch": "sketch_a"}), "a").join(sketches.withColumnsRenamed({"rep": "b", "sketch": "sketch_b"}), "b")
         return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(estimated_pairs(k, least), "a long, b long")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("set_b")), "b")
-        return both.select("a", "b", "set_a", "set_b").mapInArrow(verified_pairs(percent), "a long, b long")
+    def texts(ids: DataFrame) -> DataFrame:
+        return docs.withColumnRenamed("doc_id", "rep").join(ids, "rep")
 
-    starred = members.filter((F.col("rep") != F.col("hub")) & similar_sizes(F.col("n_shingles"), F.col("hub_size")))
-    tried = materialize(starred.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "tried")
-    links = materialize(verified(estimated(tried)), "links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "estimated")
+        named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "named")
+        sets = materialize(texts(named).select("rep", "text").mapInArrow(set_batches(shingle), "rep long, hashes binary"), "sets")
+        both = pairs.join(sets.withColumnsRenamed({"rep": "a", "hashes": "set_a"}), "a").join(sets.withColumnsRenamed({"rep": "b", "hashes": "set_b"}), "b")
+        links = materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(verified_pairs(percent), "a long, b long"), "links")
+        discard(pairs, named, sets)
+        return links
+
+    def labelled(pairs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            pairs = pairs.join(labels.withColumnsRenamed({"node": c, "component": f"{c}_component"}), c, "left").withColumn(f"{c}_component", F.coalesce(f"{c}_component", c))
+        return pairs
+
+    best = materialize(stars.filter("alike").groupBy("rep").agg(F.max(F.struct("shared", (-F.col("hub")).alias("first"), "hub")).alias("best")).select(F.col("best.hub").alias("a"), F.col("rep").alias("b")), "best")
+    links = verified(estimated(best))
+    rest = labelled(stars.filter("alike"), components(links, "a", "b"), "hub", "rep").filter("hub_component <> rep_component").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    links = materialize(links.union(verified(estimated(rest.join(best, ["a", "b"], "left_anti")))), "links")
     labels = components(links, "a", "b")
 
-    marked = members.select("key", "rep", "n_shingles", "n", "hub").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    # A list of two has had its only pair tried.
-    marked = materialize(marked.filter("n > 2").join(mixed, "key", "left_semi"), "mixed")
-    short = marked.filter(F.col("n") <= SHORT_LIST)
-    x, y = short.alias("x"), short.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & similar_sizes(F.col("x.n_shingles"), F.col("y.n_shingles")))
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(estimated(pairs))
-
-    # Lists of one hub hold much the same sets, so a set goes once to each of its hubs, not to each of its lists.
-    long = materialize(marked.filter(F.col("n") > SHORT_LIST).select("hub", "rep", "component").distinct(), "long")
-    blocks = long.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = long.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component").join(sets, "rep")
-    found = dealt.select("hub", "i", "j", "block", "rep", "component", "hashes").groupBy("hub", "i", "j").applyInArrow(links_within(percent), "a long, b long")
-    labels = components(materialize(links.union(more).union(found).distinct(), "links"), "a", "b")
+    # A list is its members' pairs with their task's hubs and those with the list's hub, so all are within three steps of a pair that didn't join.
+    open_pairs = materialize(labelled(stars.filter("hidden"), labels, "hub", "rep").select("hub", "rep", (F.col("hub_component") != F.col("rep_component")).alias("apart")), "pairs")
+    hard = materialize(open_pairs.filter("apart").select(F.explode(F.array("hub", "rep")).alias("rep")).distinct(), "hard")
+    for _ in range(3):
+        near = open_pairs.join(hard, "rep", "left_semi").select("hub").union(open_pairs.join(hard.withColumnRenamed("rep", "hub"), "hub", "left_semi").select("rep"))
+        hard = materialize(hard.union(near).distinct(), "hard")
+    number = hard.count()
+    if number:
+        with_text = texts(labelled(hard, labels, "rep").withColumnRenamed("rep_component", "component"))
+        often = with_text.select("text").mapInArrow(repeated_shingles(shingle), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > number / FREQUENT).toPandas()
+        names = often["shingle"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(names)
+        first = with_text.select("rep", "component", "text").mapInArrow(
+            prefix_batches(shingle, percent, names[order], often["n"].to_numpy(np.int64)[order]), "shingle long, rep long, component long, size long, pos long, indexed boolean"
+        )
+        first = materialize(first, "prefixes")
+        x, y = first.filter("indexed").drop("indexed").alias("x"), first.drop("indexed").alias("y")
+        # x is the smaller set (or of equal ones the one with the smaller id); what follows a shared shingle bounds how many more are shared.
+        col = F.col
+        smaller = (col("x.size") < col("y.size")) | (col("x.size") == col("y.size")) & (col("x.rep") < col("y.rep"))
+        bound = F.least(col("x.size") - col("x.pos"), col("y.size") - col("y.pos"))
+        enough = (100 + percent) * bound >= percent * (col("x.size") + col("y.size"))
+        met = x.join(y, (col("x.shingle") == col("y.shingle")) & smaller & enough & (col("x.component") != col("y.component")))
+        pairs = met.select(col("x.rep").alias("a"), col("y.rep").alias("b")).distinct()
+        links = links.union(verified(estimated(pairs)))
+        discard(first)
+        labels = components(links, "a", "b")
+    discard(best, open_pairs, hard)
 
     named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     named = materialize(named, "named")
+    discard(stars, distinct, reps)
     out = sketched.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

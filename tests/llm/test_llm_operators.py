@@ -87,22 +87,39 @@ def test_near_duplicates(wide, n):
     assert len(got) == len(ROWS)
 
 
-@pytest.mark.parametrize("changes,block", [(12, 1000), (18, 1000), (18, 20)])
-def test_long_lists_lose_no_link(spark, monkeypatch, changes, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)
+@pytest.mark.parametrize("changes,held,frequent", [(12, 20_000, 500), (18, 7, 500), (30, 16, 3)])
+def test_lists_of_many_sets_lose_no_link(spark, monkeypatch, changes, held, frequent):
+    """Sets around a source that isn't there: some link with the hub, some only with each other, most with nothing."""
+    monkeypatch.setattr(minhash, "HELD", held)
+    monkeypatch.setattr(minhash, "FREQUENT", frequent)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(300)]
     rows = []
-    for d in range(60):
+    for d in range(90):
         words = list(base)
-        for i in rng.sample(range(300), rng.randint(changes - 6, changes + 6)):
+        for i in rng.sample(range(300), max(0, rng.randint(changes - 6, changes + 6))):
             words[i] = f"x{rng.random()}"
         rows.append((d, " ".join(words)))
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+        if d % 9 == 0:  # a near copy of a set that need not be near the source
+            words[rng.randrange(300)] = "other"
+            rows.append((1000 + d, " ".join(words)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 2).collect()
     want = brute.components(rows, 2)
     assert {r.doc_id: r.component_id for r in got} == {d: c for d, (_, c) in want.items()}
 
 
+def test_estimates_are_of_the_union():
+    rng = np.random.default_rng(3)
+    for size in (10, 40, 300):
+        x = rng.choice(2**31, size, replace=False).astype(np.uint32)
+        y = np.unique(np.append(x[: size * 4 // 5], rng.choice(2**31, size // 5).astype(np.uint32)))
+        k = 64
+        rows = [np.pad(np.sort(s)[:k], (0, max(0, k - len(s))), constant_values=2**32 - 1)[None] for s in (x, y)]
+        union = sorted({*x.tolist(), *y.tolist()})[:k]
+        want = len({*x.tolist()} & {*y.tolist()} & set(union)) / len(union)
+        assert minhash.estimates(*rows, k)[0] == pytest.approx(want)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in graph.components(edges, "a", "b").collect()}
@@ -112,10 +129,10 @@ def test_components_of_a_long_path(spark):
 ITEMS = [(1, "Bara, deto FIMU gola hune jari keso lipa mona nuvo pari rabe"), (2, None), (3, "!!!"), (4, "one"), (5, brute.sentence(random.Random(5), 70)), (10, "zéla Ñuro zéla"), (None, "two words"), (7, "bara " * 15)]
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_contamination(spark, wide, limit):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontaminate.contamination(wide, items, broadcast_rows=limit).collect()
+    got = decontaminate.contamination(wide, items, broadcast_bytes=limit).collect()
     assert order([(r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in got]) == order(brute.hits(PLAIN, ITEMS))
     assert all(r.contaminated == (r.n_hit > 0) for r in got)
 
@@ -148,8 +165,8 @@ def test_html_extraction(spark):
     rows += [(20, "http://b.example/", "<body><div>Only <i>here</i></div><aside>no</aside>", ""), (21, None, None, ""), (22, "http://c.example", "", ""), (23, "http://d.example", "plain & simple < text", ""), (0, "https://A.example/x", PAGE.format("page 0 &lt;3"), "")]
     rows += [(30 + i, "https://plain.example/x", f"<body><div class=x>Same part</div><div>Own {i}</div>", "") for i in range(6)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, template string")
-    for hosts in (1000, 0):
-        got = html.extract_main_text(pages, broadcast_hosts=hosts).collect()
+    for hosts in (1 << 20, 0):
+        got = html.extract_main_text(pages, broadcast_bytes=hosts).collect()
         by = {r.page_id: r.text for r in got}
         assert len(got) == len(rows)
         assert by[3] == "A & B First boldtext. page 3 <3" and by[0] == "A & B First boldtext. page 0 <3"
