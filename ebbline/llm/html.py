@@ -1,7 +1,8 @@
 """Main text of web pages by site template removal.
 
-Every element's subtree is hashed. Spark counts, per host, on how many pages each hash occurs; subtrees that recur on
-many pages of a host are its template and are deleted, as are elements that are no article text by their tag or class.
+Every element's subtree is hashed. Spark counts, per host, on how many different pages each hash occurs; subtrees that
+recur on many pages of a host are its template and are deleted, as are elements that are no article text by their tag or
+class. What an article holds is protected: there only lists of links can be template, and class names count only whole.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ebbline.llm.storage import broadcast_up_to, materialize
 
-#: A subtree is template from so many pages of a host on, and from such a share of its pages.
+#: A subtree is template from so many different pages of a host on, and from such a share of its pages: blocks, and single lines of text.
 LEAST_PAGES = 5
-LEAST_SHARE = 0.3
+LEAST_SHARE = 0.05
+LEAST_TEXT_SHARE = 0.3
 #: Bytes of the template table that may be broadcast; beyond it the join shuffles, pages of a host dealt SALT ways.
 BROADCAST_BYTES = 64 << 20
 SALT = 64
@@ -39,6 +41,9 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter subscribe signup popup modal "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer masthead comment comments respond disqus share sharing social related login toolbar widget pagination".split()
 )
+#: Inside an article, names are marks if all their parts are marks or these.
+HELPERS = frozenset("area bar block box button buttons container form inner items link links list panel post posts section slot stories unit wrap wrapper".split())
+CONTAINERS = frozenset("div section ul ol dl table details figure aside".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog".split())
 KEPT_TAGS = frozenset("html body article main".split())
 
@@ -48,13 +53,20 @@ WORD = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
+def marked(name: str) -> bool:
+    """Whether a class name of an element inside an article says that it's no article text: comment-list does, post-header and related-work don't."""
+    parts = WORD.findall(name)
+    ours = MARKS - {"header", "masthead"}
+    return any(p in ours for p in parts) and all(p in ours or i and p in HELPERS for i, p in enumerate(parts))
+
+
 class Page:
     """Elements of one page: tag, whether tag or class rule it out, parent; and its texts with the element each is in."""
 
     def __init__(self, html: str):
         self.tags, self.out, self.parents, self.marks = ["#"], [False], [-1], [""]
         self.texts: list[tuple[int, str]] = []
-        self._open = [0]
+        self._open, self._count = [0], Counter()
         at = 0
         while at < len(html):
             m = TAG.search(html, at)
@@ -73,17 +85,23 @@ class Page:
                 if tag in RAW and not attributes.endswith("/"):
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                     at = end.start() if end else len(html)
+        # Parents come before children: what is in a ruled-out element is ruled out.
+        for i in range(1, len(self.out)):
+            self.out[i] = self.out[i] or self.out[self.parents[i]]
 
     def _text(self, text: str) -> None:
         if text:
             self.texts.append((self._open[-1], references.unescape(text) if "&" in text else text))
 
     def _close(self, tags, scopes) -> None:
+        if not any(self._count[t] for t in tags):
+            return
         for i in range(len(self._open) - 1, 0, -1):
             tag = self.tags[self._open[i]]
             if tag in tags:
                 if tag not in INLINE:
                     self.texts.append((self._open[i], " "))
+                self._count.subtract(self.tags[x] for x in self._open[i:])
                 del self._open[i:]
                 return
             if tag in scopes:
@@ -94,29 +112,37 @@ class Page:
             self._close({"p"}, SCOPES)
         if tag in CLOSES_SAME:
             self._close(CLOSES_SAME[tag], SCOPES)
-        marks, out = "", tag in NEVER
+        inside = self._count["article"] > 0
+        marks, out = "", tag in NEVER or tag == "header" and not inside
         if attributes and "=" in attributes:
             for name, *values in MARKED.findall(attributes):
-                value = "".join(values).lower()
-                marks += f" {name.lower()}={value}"
+                name, value = name.lower(), "".join(values).lower()
+                marks += f" {name}={value}"
                 found = set(WORD.findall(value))
-                out = out or tag not in KEPT_TAGS and bool(found & (ROLES if name.lower() == "role" else MARKS)) or tag == "article" and bool(found & {"comment", "comments"})
+                if tag == "article":
+                    out = out or bool(found & {"comment", "comments"})
+                elif tag not in KEPT_TAGS and name == "role":
+                    out = out or bool(found & ROLES)
+                elif tag not in KEPT_TAGS and not inside:
+                    out = out or bool(found & MARKS)
+                elif tag in CONTAINERS and name == "class":
+                    out = out or any(map(marked, value.split()))
         node = len(self.tags)
         self.tags.append(tag)
         self.parents.append(self._open[-1])
         self.marks.append(marks)
-        inside = any(self.tags[x] == "article" for x in self._open)
-        self.out.append(out or tag == "header" and not inside)
+        self.out.append(out)
         if tag not in INLINE:
             self.texts.append((node, " "))
         if tag not in VOID:
             self._open.append(node)
+            self._count[tag] += 1
 
-    def inside(self, *tags: str) -> list[bool]:
-        """Of each element: whether it or one around it has such a tag (parents come before children)."""
+    def inside(self, tag: str) -> list[bool]:
+        """Of each element: whether it or one around it has the tag and isn't ruled out."""
         found = []
-        for i, tag in enumerate(self.tags):
-            found.append(tag in tags and not self.out[i] or i > 0 and found[self.parents[i]])
+        for i, own in enumerate(self.tags):
+            found.append(own == tag and not self.out[i] or i > 0 and found[self.parents[i]])
         return found
 
     def hashes(self) -> list[bytes]:
@@ -139,40 +165,63 @@ class Page:
             out[i] = hashlib.blake2b(b"\x00".join([self.tags[i].encode(), self.marks[i].encode(), *parts[i]]), digest_size=8).digest()
         return out
 
+    def link_lists(self) -> list[bool]:
+        """Of each element: whether at least half of its text is in links."""
+        size, linked = [0] * len(self.tags), [0] * len(self.tags)
+        for i, text in self.texts:
+            size[i] += len(text.strip())
+        for i in range(len(self.tags) - 1, 0, -1):
+            if self.tags[i] == "a":
+                linked[i] = size[i]
+            size[self.parents[i]] += size[i]
+            linked[self.parents[i]] += linked[i]
+        return [n > 0 and 2 * k >= n for n, k in zip(size, linked, strict=True)]
+
     def countable(self) -> list[int]:
-        """Elements that template removal may take: text elements inside an article are its text, however often they recur."""
-        inside = self.inside("article")
-        return [i for i, tag in enumerate(self.tags) if i and tag not in KEPT_TAGS and not (inside[i] and tag in TEXT_ELEMENTS)]
+        """Elements that template removal may take: inside an article only blocks of links, as an article's own text may recur."""
+        article, links = self.inside("article"), self.link_lists()
+        return [i for i, tag in enumerate(self.tags) if i and not self.out[i] and tag not in KEPT_TAGS and (not article[i] or tag not in TEXT_ELEMENTS and links[i])]
 
     def main_text(self, template: frozenset[int]) -> str:
         gone = list(self.out)
         if template:
             hashes = self.hashes()
             for i in self.countable():
-                gone[i] = gone[i] or int.from_bytes(hashes[i], "little", signed=True) in template
-        for i in range(1, len(gone)):
-            gone[i] = gone[i] or gone[self.parents[i]]
-        for tags in (("article",), ("main",), ("#",)):
-            within = self.inside(*tags)
-            if any(within):
-                break
-        return SPACE.sub(" ", "".join(text for i, text in self.texts if within[i] and not gone[i])).strip(" ")
+                gone[i] = int.from_bytes(hashes[i], "little", signed=True) in template
+            for i in range(1, len(gone)):
+                gone[i] = gone[i] or gone[self.parents[i]]
+        return self._joined(gone) or self._joined(self.out)
+
+    def _joined(self, gone: list[bool]) -> str:
+        """Texts of the articles in main, else of main, else of articles, else of the page: the first that has any."""
+        article, main = self.inside("article"), self.inside("main")
+        for within in ([a and b for a, b in zip(article, main, strict=True)], main, article, [True] * len(gone)):
+            text = SPACE.sub(" ", "".join(t for i, t in self.texts if within[i] and not gone[i])).strip(" ")
+            if text:
+                return text
+        return ""
 
 
 def subtree_counts(batches):
+    """Of each host and subtree: the number of different pages (equal pages share a weight of 1) that a task has seen it on."""
+
     def passed(held):
         keys = list(held)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([held[k] for k in keys], pa.int64())], ["host", "subtree", "n"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([held[k] for k in keys], pa.float64())],
+            ["host", "subtree", "line", "n"],
+        )
 
-    held: Counter = Counter()
+    held: dict = {}
     for batch in batches:
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+        for host, html, copies in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("copies").to_pylist(), strict=True):
             page = Page(html.as_py() or "")
             hashes = page.hashes()
-            held.update((host, x) for x in {int.from_bytes(hashes[i], "little", signed=True) for i in page.countable()})
+            for x, line in {(int.from_bytes(hashes[i], "little", signed=True), page.tags[i] in TEXT_ELEMENTS) for i in page.countable()}:
+                held[host, x, line] = held.get((host, x, line), 0.0) + 1 / copies
             if len(held) > HELD:
                 yield passed(held)
-                held = Counter()
+                held = {}
     yield passed(held)
 
 
@@ -189,11 +238,16 @@ def extracted(batches):
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host and template (hashes of the subtrees that recur). pages: host, html."""
-    counted = pages.mapInArrow(subtree_counts, "host string, subtree long, n long").groupBy("host", "subtree").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_pages)
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    recurring = counted.join(sizes, "host").filter(F.col("n") >= F.col("pages") * least_share)
+def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """host and template (hashes of the subtrees that recur). pages: host, html. Equal pages of one host count as one page."""
+    pages = pages.withColumns({"h": F.xxhash64("html"), "g": F.xxhash64(F.lit(1), "html")})
+    same = materialize(pages.groupBy("host", "h", "g").agg(F.count("*").alias("copies")), "pages")
+    several = materialize(same.filter("copies > 1"), "copies")
+    weighed = pages.join(broadcast_up_to(several, broadcast_bytes), ["host", "h", "g"], "left").select("host", "html", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
+    counted = weighed.mapInArrow(subtree_counts, "host string, subtree long, line boolean, n double").groupBy("host", "subtree", "line").agg(F.round(F.sum("n")).alias("n")).filter(F.col("n") >= least_pages)
+    sizes = same.groupBy("host").agg(F.count("*").alias("pages"))
+    share = F.when(F.col("line"), F.greatest(F.lit(LEAST_TEXT_SHARE), F.lit(least_share))).otherwise(F.lit(least_share))
+    recurring = counted.join(sizes, "host").filter(F.col("n") >= F.col("pages") * share)
     # At most (elements of a page) / least_share hashes for a host, whatever the number of its pages.
     return recurring.groupBy("host").agg(F.collect_list("subtree").alias("template"))
 
@@ -201,14 +255,15 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share
 def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per page: page_id, url, host, text (empty if none).
 
-    Main text: what articles hold (else main, else the whole page), less template and ruled-out elements. Character
-    references are decoded, white space becomes one space, blocks are joined by one space. Null html is empty; a null
-    url has host ''. Repeated rows give a row each and count as pages each. Needs page_id, url, html; other columns
-    are ignored.
+    Main text: what the articles in main hold (else main, else articles, else the whole page), less template and
+    ruled-out elements; template removal never empties a page that has text. Character references are decoded, white
+    space becomes one space, blocks are joined by one space. Null html is empty; a null url has host ''. Repeated rows,
+    and different pages of a host with equal html, give a row each and count as one page of the host. Needs page_id,
+    url, html; other columns are ignored.
     """
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    templates = materialize(site_templates(pages.select("host", "html"), least_pages, least_share), "templates")
+    templates = materialize(site_templates(pages.select("host", "html"), least_pages, least_share, broadcast_bytes), "templates")
     known = broadcast_up_to(templates, broadcast_bytes)
     if known is templates:
         pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))

@@ -153,6 +153,16 @@ SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0)
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: For pages whose main text is one article, as in the given tables; references as html.escape writes them, and the named ones of the tables.
+OP5_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?is)<article[^>]*>(.*?)(</article>|<footer|$)', 1) AS h FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '(?i)</?(b|a|i|em|strong|span)( [^>]*)?>', '', 'g'), '(?i)</?[a-z][^>]*>', ' ', 'g') AS h FROM a),
+c AS (
+  SELECT page_id, url, replace(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS h FROM b
+)
+SELECT page_id, url, trim(regexp_replace(h, '[ \t\n\r\f\v]+', ' ', 'g')) AS text, CAST(length(trim(regexp_replace(h, '[ \t\n\r\f\v]+', ' ', 'g'))) AS BIGINT) AS n_chars FROM c
+"""
+
 OP6_SQL = r"""
 WITH t AS (
   SELECT conv_id, row_number() OVER w AS pos, '<|im_start|>' || coalesce(role, '') || chr(10) || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS line
@@ -214,6 +224,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring_dedup": OP2_SQL,
         "op3_minhash_near_dedup": OP3_SQL,
         "op4_suffix_array_dedup": OP4_SQL,
+        "op5_html_extraction": OP5_SQL,
         "op6_chat_formatting": OP6_SQL,
         "op7_source_mixing": OP7_SQL,
         "op10_quality_rules": OP10_SQL,

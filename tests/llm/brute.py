@@ -3,6 +3,8 @@
 import itertools
 import random
 import re
+from collections import Counter
+from html.parser import HTMLParser
 
 VOCABULARY = "bara deto fimu gola hune jari keso lipa mona nuvo pari rabe seto tiva vole wuna xari yodo zéla Ñuro".split()
 
@@ -93,3 +95,61 @@ def hits(rows, items, length=10):
                     met |= found
         out.append((d, len(w), len(hit), sorted(str(m) for m in met if m is not None)))
     return out
+
+
+class Tree(HTMLParser):
+    """A nested list of (tag, children) for well-formed pages."""
+
+    def __init__(self, text):
+        super().__init__(convert_charrefs=True)
+        self.root = ("#", [])
+        self.stack = [self.root]
+        self.feed(text)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, [])
+        self.stack[-1][1].append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][1].append(data)
+
+
+def below(node):
+    yield node
+    for x in node[1]:
+        if not isinstance(x, str):
+            yield from below(x)
+
+
+def plain(node, gone):
+    if node[0] in ("nav", "footer") or repr(node) in gone:
+        return ""
+    inner = "".join(x if isinstance(x, str) else plain(x, gone) for x in node[1])
+    return inner if node[0] == "b" else f" {inner} "
+
+
+def main_texts(pages, least_pages, share, text_share):
+    """page_id -> text, for pages of nav, article, div, p, b and footer with a host before the first dot."""
+    trees, seen, counts, sizes = {}, set(), Counter(), Counter()
+    for page, url, text in pages:
+        tree = trees[page] = Tree(text).root
+        host = url.split("/")[2]
+        if (host, text) in seen:
+            continue
+        seen.add((host, text))
+        sizes[host] += 1
+        articles = {id(y) for x in below(tree) if x[0] in ("article", "nav", "footer") for y in below(x)}
+        counts.update({(host, x[0] in ("p", "b"), repr(x)) for x in below(tree) if id(x) not in articles and x[0] in ("div", "p", "b")})
+    out = {}
+    for page, url, _ in pages:
+        host = url.split("/")[2]
+        gone = {r for (h, line, r), n in counts.items() if h == host and n >= least_pages and n >= sizes[h] * (text_share if line else share)}
+        parts = [x for x in below(trees[page]) if x[0] == "article"]
+        found = " ".join("".join(plain(x, set() if parts else gone) for x in parts or [trees[page]]).split())
+        out[page] = found or " ".join(plain(trees[page], set()).split())
+    return out

@@ -174,6 +174,51 @@ def test_html_extraction(spark):
         assert by[32] == "Own 2"  # what recurs on the host's pages is gone
 
 
+def texts_of(spark, *htmls, url="https://one.example/x"):
+    pages = spark.createDataFrame([(i, url, h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r.text for r in sorted(html.extract_main_text(pages).collect(), key=lambda r: r.page_id)]
+
+
+def test_html_keeps_the_text_of_articles(spark):
+    assert texts_of(spark, *["<main><h1>Head</h1><p>All of it.</p></main>"] * 6) == ["Head All of it."] * 6
+    assert texts_of(spark, *['<article><div class="body"><p>All of it.</p></div></article>'] * 6) == ["All of it."] * 6
+    assert texts_of(spark, *[f"<article><div><p>Same opening.</p></div><p>Page {i}</p></article>" for i in range(6)]) == [f"Same opening. Page {i}" for i in range(6)]
+    inner = '<div class="post-header"><h1>H</h1></div><p class="social">S</p><div id="notice-period"><p>N</p></div><section class="related-work"><h2 id="related-work">R</h2></section><header>T</header>'
+    assert texts_of(spark, f"<article>{inner}</article>") == ["H S N R T"]
+    gone = '<div class="comment-list">x</div><section class="comments">x</section><div class="ad">x</div><ul class="share-buttons"><li>x</ul><div class="cookie-notice">x</div><aside>x</aside><footer>x</footer><form>x</form>'
+    assert texts_of(spark, f"<article><p>A</p>{gone}<article class=comment>x</article></article>") == ["A"]
+
+
+def test_html_finds_the_article(spark):
+    teaser = "<article><h2>Teaser</h2></article>"
+    assert texts_of(spark, f"<div><p>Text</p></div><aside>{teaser}</aside>") == ["Text"]
+    assert texts_of(spark, f"<main><p>Text</p></main><div>{teaser}</div>") == ["Text"]
+    assert texts_of(spark, f"<main><div>x</div><article>Text</article></main><div>{teaser}</div>") == ["Text"]
+    menus = [f"<div><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul></div><div><p>Own text {i} of the page</p></div>" if i % 10 == 0 else f"<div><p>Own text {i}</p></div>" for i in range(60)]
+    assert texts_of(spark, *menus) == [f"Own text {i} of the page" if i % 10 == 0 else f"Own text {i}" for i in range(60)]
+
+
+def test_html_of_deep_and_long_pages(spark):
+    deep = "<div>" * 20_000 + "deep" + "</b>" * 20_000
+    long = "<article>" + "<p>word &amp; word</p>" * 50_000 + "</article>"
+    assert texts_of(spark, deep, long) == ["deep", " ".join(["word & word"] * 50_000)]
+
+
+def test_html_equals_a_plain_walk(spark):
+    """Against html.parser with a counter per host, on well-formed pages of random blocks."""
+    rng = random.Random(8)
+    pages = []
+    for i in range(80):
+        host = rng.choice("abc")
+        body = [f"<nav><a href=/>{w}</a></nav>" for w in rng.sample(brute.VOCABULARY, 2)]
+        body += [f"<div class=x><p>site {host} block</p></div>"] * rng.randint(0, 1)
+        body += ["<article>" + "".join(f"<p>{brute.sentence(rng, rng.randint(1, 9))} <b>x</b>&lt;</p>" for _ in range(rng.randint(1, 4))) + "</article>"] if rng.random() < 0.6 else [f"<div><p>{brute.sentence(rng, 12)}</p></div>"]
+        pages.append((i, f"https://{host}.example/{i}", "<html><body>" + "".join(body) + "<footer>f</footer></body></html>"))
+    pages += [(100 + i, "https://a.example/", pages[0][2]) for i in range(9)]
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == brute.main_texts(pages, html.LEAST_PAGES, html.LEAST_SHARE, html.LEAST_TEXT_SHARE)
+
+
 def test_chat_formatting(spark):
     convs = {1: "abc", 2: "ab", 3: "abd", 4: "abc", 5: "x", 6: "xy", 7: "", 8: "b"}
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", x, "n") for c, s in convs.items() for t, x in enumerate(s)]
