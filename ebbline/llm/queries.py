@@ -158,7 +158,7 @@ OP5_SQL = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?is)<article[^>]*>(.*?)(</article>|<footer|$)', 1) AS h FROM pages),
 b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '(?i)</?(b|a|i|em|strong|span)( [^>]*)?>', '', 'g'), '(?i)</?[a-z][^>]*>', ' ', 'g') AS h FROM a),
 c AS (
-  SELECT page_id, url, replace(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS h FROM b
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#(x27|39);', chr(39), 'g'), '&amp;?', '&', 'g') AS h FROM b
 )
 SELECT page_id, url, trim(regexp_replace(h, '[ \t\n\r\f\v]+', ' ', 'g')) AS text, CAST(length(trim(regexp_replace(h, '[ \t\n\r\f\v]+', ' ', 'g'))) AS BIGINT) AS n_chars FROM c
 """
