@@ -32,7 +32,7 @@ def fingerprints(table: DataFrame, keys: list[str], window: int, gram: int) -> D
     """Keys, n, words, at (of the kept gram) and mark (its hash); and a row with at = -1 for each text."""
     w = window - gram + 1
     # A hash's low six bits give way to its place, so that the least one also tells where it stands.
-    gram_at = lambda i: F.xxhash64(*[F.get("hashes", i + j) for j in range(gram)]).bitwiseAND(F.lit(-64)).bitwiseOR(i.bitwiseAND(F.lit(63)).cast("long"))
+    gram_at = lambda i: F.xxhash64(F.slice("hashes", i + 1, gram)).bitwiseAND(F.lit(-64)).bitwiseOR(i.bitwiseAND(F.lit(63)).cast("long"))
     marks = F.when(F.col("n") >= window, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - gram, F.lit(0))), gram_at))
     rows = table.select(*keys, "n", "words", marks.alias("marks"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n") - window, F.lit(-1)))).alias("s"))
@@ -58,15 +58,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     phrases = phrases.union(short.select("item_id", phrase(F.lit(0), window).alias("phrase")))
     phrases = materialize(phrases.groupBy("phrase").agg(F.collect_set("item_id").alias("items")), "phrases")
     marks = materialize(fingerprints(long, ["item_id"], window, gram).filter("at >= 0").select("mark").distinct(), "marks")
+    written = marks
     marks, known = broadcast_up_to(marks, broadcast_bytes), broadcast_up_to(phrases, broadcast_bytes)
+    small = marks is not written
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     texts = word_table(docs, ["doc_id", "h"])
-    found = fingerprints(texts, ["doc_id", "h"], window, gram).join(marks.withColumn("met", F.lit(True)), "mark", "left").filter("at < 0 or met")
+    places = fingerprints(texts, ["doc_id", "h"], window, gram)
+    if small:
+        found = places.join(marks.withColumn("met", F.lit(True)), "mark", "left").filter("at < 0 or met").select("doc_id", "h", "n", "words", "at")
+    else:
+        # Only places and marks are shuffled; those that meet are collected per document and go back to its words once.
+        met = places.filter("at >= 0").select("doc_id", "h", "at", "mark").join(marks, "mark", "left_semi")
+        met = met.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("at").alias("ats"))
+        found = texts.join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+        found = found.select("doc_id", "h", "n", "words", F.explode(F.concat(F.array(F.lit(-1)), F.coalesce("ats", F.array().cast("array<int>")))).alias("at"))
     around = F.sequence(F.greatest(F.col("at") - (window - gram), F.lit(0)), F.least("at", F.col("n") - window))
     around = F.when(F.col("at") < 0, F.array(F.lit(-1))).otherwise(around)
     seen = found.select("doc_id", "h", "n", "words", F.explode(around).alias("c"))
-    seen = seen.select("doc_id", "h", "n", "c", F.lit(window).alias("length"), F.when(F.col("c") >= 0, phrase(F.col("c"), window)).alias("phrase"))
+    # Each document's own row (c = -1) has a key of its own that no phrase equals, so that they don't meet in one partition.
+    own = F.concat(F.lit("\n"), F.hex("h"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    seen = seen.select("doc_id", "h", "n", "c", F.lit(window).alias("length"), F.when(F.col("c") >= 0, phrase(F.col("c"), window)).otherwise(own).alias("phrase"))
 
     lengths = sorted(r.n for r in short.select("n").distinct().collect())  # fewer than `window` numbers
     if lengths:

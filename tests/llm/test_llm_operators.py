@@ -137,8 +137,9 @@ def test_contamination(spark, wide, limit):
     assert all(r.contaminated == (r.n_hit > 0) for r in got)
 
 
-def test_quality_rules(docs):
-    got = quality.quality_report(docs).collect()
+def test_quality_rules(docs, wide):
+    got = quality.quality_report(wide).collect()
+    assert quality.quality_filter(wide.withColumns({"row": F.lit(1), "failed_rule": F.lit("x")})).columns == [*wide.columns, "row", "failed_rule"]
     kept = sorted(str(r.doc_id) for r in quality.quality_filter(docs).collect())
     assert kept == sorted(str(r.doc_id) for r in got if r.kept)
     texts = Counter()
@@ -152,7 +153,7 @@ def test_quality_rules(docs):
 
 
 def test_order_of_rules_is_by_rejection_per_cost(docs):
-    order = quality.measured_order(docs.select("text"))
+    order = quality.measured_order(docs)
     ratios = [share / max(cost, 1e-6) for _, cost, share in order]
     assert ratios == sorted(ratios, reverse=True) and len(order) == len(quality.RULES)
 
