@@ -293,7 +293,9 @@ def test_class_language_model(spark):
     texts = [" ".join(rng.choice(kinds[(i + d) % 2]) for i in range(rng.randint(5, 60))) for d in range(300)] + [None, "", "New a1 unseen"]
     rows = [(i, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([(*r, 1, "n") for r in rows], "doc_id long, text string, n int, word string")
-    got = {r.doc_id: r for r in lm.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, clustered=62, classes=6, counted=61).collect()}
+    # counted=20: most words must be joined; clustered=12: the others join by their contexts
+    model, scored = lm.train_and_score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, clustered=12, classes=6, counted=20)
+    got = {r.doc_id: r for r in scored.collect()}
     tokens = {i: (t or "").encode().lower().split() + [None] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
     counts = Counter(w for i, x in tokens.items() if not held[i] for w in x)
@@ -305,6 +307,37 @@ def test_class_language_model(spark):
     out = [i for i in tokens if held[i]]
     assert sum(got[i].score for i in out) > sum(got[i].base_score for i in out) + 0.2 * sum(len(tokens[i]) for i in out)
 
+    # The score, word by word, from counts of the classes that the model learned.
+    size, last = 6 + lm.LENGTHS + 1, 6 + lm.LENGTHS
+    words = sorted(w for w in counts if w)
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    hashes = dict(zip(words, lm.Prefixes(flat).of(np.append(0, ends[:-1]), ends).view(np.int64).tolist(), strict=True))
+    learned = {r.word: r["class"] for r in model.words.collect()}
+    of = lambda w: last if w is None else learned.get(hashes.get(w)) if learned.get(hashes.get(w)) is not None else 6 + min(len(w), lm.LENGTHS) - 1
+    assert {learned[hashes[w]] is not None for w in words if counts[w] >= lm.LEAST_COUNT} == {True}
+    steps, totals, distinct = Counter(), Counter(), Counter()
+    for i, x in tokens.items():
+        if not held[i]:
+            steps.update(zip([last, *map(of, x)], map(of, x), strict=False))
+    for w, k in counts.items():
+        totals[of(w)] += k
+        distinct[of(w)] += 1
+    overall = {c: (sum(steps[b, c] for b in range(size)) + 1) / (sum(steps.values()) + size) for c in range(size)}
+    step = {(b, c): (steps[b, c] + lm.PRIOR * overall[c]) / (sum(steps[b, x] for x in range(size)) + lm.PRIOR) for b in range(size) for c in range(size)}
+    emit = lambda w: 1.0 if w is None else counts[w] / totals[of(w)] if of(w) < 6 else (counts[w] + 1) / (totals[of(w)] + distinct[of(w)] + 1)
+    for i, x in tokens.items():
+        assert got[i].score == pytest.approx(sum(math.log10(step[b, of(w)] * emit(w)) for b, w in zip([last, *map(of, x)], x, strict=False)))
+    # From each class, all words (and one unseen word of each length) have a probability of one together.
+    in_class = Counter()
+    for w in counts:
+        in_class[of(w)] += emit(w)
+    for c in range(6, last):
+        in_class[c] += 1 / (totals[c] + distinct[c] + 1)
+    used = [c for c in range(size) if totals[c] or c >= 6]
+    assert all(in_class[c] == pytest.approx(1) for c in used)
+    assert np.allclose((10**model.transition).sum(axis=1), 1)
+
 
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
