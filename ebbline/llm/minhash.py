@@ -84,9 +84,10 @@ def least_estimate(k: int, percent: int) -> float:
 
 
 def local_lists(batches, k: int, percent: int):
-    """The inverted lists of up to HELD sketches at a time: (rep, size, doc of each entry, key of each entry, where lists begin).
+    """The inverted lists of up to HELD sketches at a time: reps, sizes, met, and of each entry document, key, hub of its list in this task.
 
-    Entries stand by list, and in a list the document first that meets most others over all these lists (its hub).
+    met: how many other entries a document meets over all these lists; the hub of a list meets most. A list with at
+    most LONG_LIST entries here goes on as it is: then every entry is its own hub.
     """
 
     def lists(held):
@@ -97,7 +98,10 @@ def local_lists(batches, k: int, percent: int):
         _, place, n = np.unique(key, return_inverse=True, return_counts=True)
         met = np.bincount(doc, weights=n[place] - 1, minlength=len(reps)).astype(np.int64)
         order = np.lexsort((reps[doc], -met[doc], key))
-        return reps, sizes, met, doc[order], key[order], np.append(0, np.cumsum(n))
+        doc, key, place = doc[order], key[order], place[order]
+        first = np.append(0, np.cumsum(n))[:-1]
+        hub = np.where(n[place] > LONG_LIST, doc[first[place]], doc)
+        return reps, sizes, met, doc, key, hub
 
     held, size = [], 0
     for batch in batches:
@@ -111,24 +115,23 @@ def local_lists(batches, k: int, percent: int):
 
 
 def hub_batches(k: int, percent: int):
-    """One row per list and task, so that a list with a third of all documents is small before it is shuffled."""
+    """Rows of lists; of a list that is long in a task only its hub, so that a list with a third of all documents is small before it is shuffled."""
 
     def run(batches):
-        for reps, sizes, met, doc, key, at in local_lists(batches, k, percent):
-            hub = doc[at[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(key[at[:-1]].view(np.int64)), pa.array(reps[hub]), pa.array(sizes[hub]), pa.array(met[hub]), pa.array(np.diff(at))], ["key", "rep", "size", "met", "n"])
+        for reps, sizes, met, doc, key, hub in local_lists(batches, k, percent):
+            own = hub == doc
+            doc, key = doc[own], key[own]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(reps[doc]), pa.array(sizes[doc]), pa.array(met[doc])], ["key", "rep", "size", "met"])
 
     return run
 
 
 def star_batches(k: int, percent: int):
-    """Pairs of a task's hubs with the other members of their lists, and how many lists each pair shares so."""
+    """Pairs of a task's hubs with the other members of their long lists, and how many lists each pair shares so."""
 
     def run(batches):
-        for reps, sizes, _, doc, _, at in local_lists(batches, k, percent):
-            n = np.diff(at)
-            hub = np.repeat(doc[at[:-1]], n)
-            other = doc != hub
+        for reps, sizes, _, doc, _, hub in local_lists(batches, k, percent):
+            other = hub != doc
             pair, shared = np.unique(hub[other] * len(reps) + doc[other], return_counts=True)
             a, b = pair // len(reps), pair % len(reps)
             differ = reps[a] != reps[b]
@@ -222,6 +225,31 @@ def prefix_batches(n: int, percent: int, names: np.ndarray, counts: np.ndarray):
     return run
 
 
+def links_of_queries(percent: int):
+    """Exact links of a block of queries with a block of members of one hub's lists, one for each query and component it meets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        reps, comps, query = np.asarray(table.column("rep")), np.asarray(table.column("component")), np.asarray(table.column("query").to_numpy())
+        data, at = utf8(table.column("hashes"))
+        names, ids = np.unique(np.ascontiguousarray(data).view(np.uint64), return_inverse=True)
+        at = at // 8
+        sizes, mark = np.diff(at), np.zeros(len(names), np.int64)
+        out_a, out_b = [reps[:0]], [reps[:0]]
+        for x in np.flatnonzero(query).tolist():
+            own = ids[at[x] : at[x + 1]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[ids], at[:-1])
+            mark[own] = 0
+            found = np.flatnonzero(~query & (comps != comps[x]) & (100 * both >= percent * (sizes + len(own) - both)))
+            found = found[np.unique(comps[found], return_index=True)[1]]
+            out_a.append(np.full(len(found), reps[x]))
+            out_b.append(reps[found])
+        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    return run
+
+
 def set_batches(n: int):
     def run(batches):
         for batch in batches:
@@ -247,8 +275,12 @@ def verified_pairs(percent: int):
     return run
 
 
-#: Sketches whose lists a task joins before it passes them on.
+#: Sketches whose lists a task joins before it passes them on, and entries from which on it passes on a list's hub alone.
 HELD = 20_000
+LONG_LIST = 64
+#: Documents that share a shingle of their prefixes give all their pairs up to so many; more are compared inside tasks, in blocks of so many shingles.
+SHORT_LIST = 32
+BLOCK = 1 << 21
 #: A shingle in more than 1 / FREQUENT of the sets in question is put last in the order of prefixes; at most FREQUENT * (mean size of a set) are.
 FREQUENT = 500
 
@@ -266,8 +298,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
        the member that meets most others, with the rest; each set is tried with the hub that shares most lists with
        it, then with its others between components. Pairs that pass the union sketch's estimate are verified on whole sets.
     3. Lists that still join different components could hide links between two members that aren't the hub. Their
-       sets meet by the prefixes of their shingles in an order of rarity, which loses no link and needs no pair for
-       each two members; estimate and verification follow as before.
+       sets meet by the prefixes of their shingles in an order of rarity, which loses no link; estimate and
+       verification follow as before. Where very many sets share the rarest shingles that they have (edits of one
+       text that are about as far from each other as the limit), only the sets of one hub's lists meet, in blocks
+       inside tasks: those outside its largest component are queries against all.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     least = least_estimate(k, percent)
@@ -277,13 +311,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     distinct = filled.join(reps.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "set_a", "set_b")
     distinct = materialize(distinct.dropDuplicates(["set_a", "set_b"]).drop("set_a", "set_b"), "distinct")
 
-    lists = distinct.mapInArrow(hub_batches(k, percent), "key long, rep long, size long, met long, n long")
+    lists = distinct.mapInArrow(hub_batches(k, percent), "key long, rep long, size long, met long")
     all_of = Window.partitionBy("key")
-    lists = lists.withColumn("hub", F.max(F.struct("met", (-F.col("rep")).alias("first"), "rep", "size")).over(all_of)).withColumn("all", F.sum("n").over(all_of))
-    stars = lists.filter("rep <> hub.rep").select("hub.rep", "hub.size", "rep", "size", "all").toDF("hub", "hub_size", "rep", "size", "all")
-    stars = stars.groupBy("hub", "hub_size", "rep", "size").agg(F.count("*").alias("shared"), (F.max("all") > 2).alias("hidden"))
-    local = distinct.mapInArrow(star_batches(k, percent), "hub long, hub_size long, rep long, size long, shared long").withColumn("hidden", F.lit(True))
-    stars = stars.union(local).groupBy("hub", "hub_size", "rep", "size").agg(F.sum("shared").alias("shared"), F.max("hidden").alias("hidden"))
+    lists = lists.withColumn("hub", F.max(F.struct("met", (-F.col("rep")).alias("first"), "rep", "size")).over(all_of)).withColumn("n", F.count("*").over(all_of))
+    stars = lists.filter("rep <> hub.rep").select("hub.rep", "hub.size", "rep", "size", "n").toDF("hub", "hub_size", "rep", "size", "n")
+    stars = stars.groupBy("hub", "hub_size", "rep", "size").agg(F.count("*").alias("shared"), F.max("n").alias("n")).withColumn("local", F.lit(False))
+    local = distinct.mapInArrow(star_batches(k, percent), "hub long, hub_size long, rep long, size long, shared long").withColumns({"n": F.lit(LONG_LIST).cast("long"), "local": F.lit(True)})
+    stars = stars.unionByName(local).groupBy("hub", "hub_size", "rep", "size").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"), F.max("local").alias("local"), F.min("local").alias("only_local"))
+    # In a list of two, the only pair is tried; a longer one can hide others.
+    stars = stars.withColumn("hidden", F.col("n") > 2)
     stars = materialize(stars.withColumn("alike", 100 * F.least("hub_size", "size") >= percent * F.greatest("hub_size", "size")), "stars")
     sketches = distinct.select("rep", "sketch").mapInArrow(high_halves, "rep long, sketch binary")
 
@@ -330,16 +366,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
             prefix_batches(shingle, percent, names[order], often["n"].to_numpy(np.int64)[order]), "shingle long, rep long, component long, size long, pos long, indexed boolean"
         )
         first = materialize(first, "prefixes")
-        x, y = first.filter("indexed").drop("indexed").alias("x"), first.drop("indexed").alias("y")
+        shared = first.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("indexed").alias("met")).filter("low < high and met")
+        mixed = materialize(first.join(shared.select("shingle", "n"), "shingle"), "mixed")
+        short = mixed.filter(F.col("n") <= SHORT_LIST).drop("n")
+        x, y = short.filter("indexed").drop("indexed").alias("x"), short.drop("indexed").alias("y")
         # x is the smaller set (or of equal ones the one with the smaller id); what follows a shared shingle bounds how many more are shared.
         col = F.col
         smaller = (col("x.size") < col("y.size")) | (col("x.size") == col("y.size")) & (col("x.rep") < col("y.rep"))
         bound = F.least(col("x.size") - col("x.pos"), col("y.size") - col("y.pos"))
         enough = (100 + percent) * bound >= percent * (col("x.size") + col("y.size"))
         met = x.join(y, (col("x.shingle") == col("y.shingle")) & smaller & enough & (col("x.component") != col("y.component")))
-        pairs = met.select(col("x.rep").alias("a"), col("y.rep").alias("b")).distinct()
-        links = links.union(verified(estimated(pairs)))
-        discard(first)
+        links = links.union(verified(estimated(met.select(col("x.rep").alias("a"), col("y.rep").alias("b")).distinct())))
+
+        # A list's members stand with its hub, or with a task's hub that stands with it.
+        edges = stars.filter("hidden").select("hub", "rep", "local", "only_local")
+        inner = edges.filter("local").select(F.col("hub").alias("rep"), F.col("rep").alias("member"))
+        of_hub = edges.select("hub", "rep").union(edges.filter("not only_local").join(inner, "rep").select("hub", "member")).union(edges.select("hub", F.col("hub").alias("rep")))
+        heavy = materialize(mixed.filter(F.col("n") > SHORT_LIST).select("rep", "component", "size").distinct(), "heavy")
+        groups = of_hub.distinct().join(heavy, "rep")
+        largest = groups.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")).filter("components > 1")
+        groups = groups.join(largest.select("hub", F.col("most.component").alias("largest")), "hub").withColumn("outside", F.col("component") != F.col("largest"))
+        blocks = groups.groupBy("hub").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("members"), F.ceil(F.sum(F.when(F.col("outside"), F.col("size"))) / BLOCK).cast("int").alias("queries"))
+        groups = groups.join(blocks, "hub").withColumns({"i": F.pmod(F.xxhash64("rep"), F.col("queries")).cast("int"), "j": F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("members")).cast("int")})
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        dealt = groups.filter("outside").withColumn("j", every("members")).withColumn("query", F.lit(True)).union(groups.withColumn("i", every("queries")).withColumn("query", F.lit(False)))
+        sets = materialize(texts(heavy.select("rep")).select("rep", "text").mapInArrow(set_batches(shingle), "rep long, hashes binary"), "sets")
+        found = dealt.select("hub", "i", "j", "rep", "component", "query").join(sets, "rep").groupBy("hub", "i", "j").applyInArrow(links_of_queries(percent), "a long, b long")
+        links = materialize(links.union(found.distinct()), "links")
+        discard(first, mixed, heavy, sets)
         labels = components(links, "a", "b")
     discard(best, open_pairs, hard)
 
