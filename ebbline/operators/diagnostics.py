@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,9 +35,9 @@ def deflated_sharpe(returns: DataFrame, trials: int = 20, trials_sd: float | Non
     return out.withColumn("verdict", F.when(F.col("dsr") >= 0.95, "credible").when(F.col("dsr") >= 0.5, "inconclusive").otherwise("likely overfit"))
 
 
-def overfitting_splits(pnl: DataFrame, blocks: int = 6) -> DataFrame:
+def overfitting_splits(pnl: DataFrame, blocks: int = 16) -> DataFrame:
     """Combinatorially symmetric cross-validation. pnl: t (from 0, gapless), trial, pnl. One row per choice of half of the
-    blocks: best trial inside, its rank outside, logit. Sums per block and trial are all that is combined, so the cost
+    blocks (bit b of choice: block b is inside): best trial inside, its rank outside, logit. Sums per block and trial are all that is combined, so the cost
     beyond one pass doesn't depend on the rows."""
     spark = pnl.sparkSession
     length = pnl.agg((F.max("t") + 1).alias("length"))
@@ -49,8 +48,8 @@ def overfitting_splits(pnl: DataFrame, blocks: int = 6) -> DataFrame:
     for i in range(1, blocks):
         block = F.when(F.col("t") >= bound(i), i).otherwise(block)
     moments = rows.groupBy(block.alias("block"), "trial").agg(F.count("*").alias("n"), F.sum("pnl").alias("s"), F.sum(F.col("pnl") * F.col("pnl")).alias("ss"))
-    chosen = [(c, b, b in inside) for c, inside in enumerate(combinations(range(blocks), blocks // 2)) for b in range(blocks)]
-    choices = spark.createDataFrame(chosen, "choice int, block int, inside boolean")
+    choices = spark.range(2**blocks).filter(F.bit_count("id") == blocks // 2)
+    choices = choices.select(F.col("id").alias("choice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).withColumn("inside", F.expr("shiftright(choice, block) & 1") == 1)
     both = moments.join(F.broadcast(choices), "block").groupBy("choice", "trial", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     variance = (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     both = both.withColumn("sharpe", F.coalesce(F.when(variance > 1e-300, F.col("s") / F.col("n") / F.sqrt(variance)), F.lit(0.0)))
@@ -64,7 +63,7 @@ def overfitting_splits(pnl: DataFrame, blocks: int = 6) -> DataFrame:
     return best.select("choice", F.col("trial").alias("best_trial"), "rank", F.ln(F.col("w") / (1 - F.col("w"))).alias("logit"))
 
 
-def overfitting_probability(pnl: DataFrame, blocks: int = 6) -> DataFrame:
+def overfitting_probability(pnl: DataFrame, blocks: int = 16) -> DataFrame:
     s = overfitting_splits(pnl, blocks)
     return s.agg(F.avg((F.col("logit") < 0).cast("int")).alias("pbo"), F.count("*").alias("n_combinations"), F.percentile("logit", F.lit(0.5)).alias("median_logit"))
 

@@ -152,10 +152,10 @@ def decided(x: DataFrame, kelly: float) -> DataFrame:
     })
 
 
-def adaptive_agents(context: DataFrame, regimes: DataFrame, market: Column, positions: int = 0, max_vol: float = 100.0, min_consensus: float = 0.15, kelly: float = 0.25, min_edge: float = 0.15) -> DataFrame:
+def adaptive_agents(context: DataFrame, regimes: DataFrame, market: Column | str, positions: int = 0, max_vol: float = 100.0, min_consensus: float = 0.15, kelly: float = 0.25, min_edge: float = 0.15) -> DataFrame:
     """The rule set whose weights and limits follow the asset's regime and the market's. context and regimes join on asset."""
     c = F.col
-    reg = with_strategy(regimes.select("asset", "regime", "confidence", "drawdown"), market)
+    reg = with_strategy(regimes.select("asset", "regime", "confidence", "drawdown", *([market] if isinstance(market, str) else [])), market)
     x = context.join(reg, "asset")
     calm, side, wm, wv, wr = c("stress") == "CALMA", c("regime") == "SIDEWAYS", c("w_momentum"), c("w_reversion"), c("w_risk")
     ml = c("ml_prob") * 2

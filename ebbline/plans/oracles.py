@@ -144,10 +144,10 @@ SQL["deflated_sharpe"] = f"WITH {RETS}{MOMENTS}, z AS (SELECT *, (sr - {THRESHOL
 EWM = "list_reduce(list({0}) OVER f, lambda a, x : a * 13 / 14.0 + x / 14.0)"
 ADX = f", dm AS (SELECT asset, date, high - lag(high) OVER w AS up, lag(low) OVER w - low AS dn, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM dohlc WINDOW w AS (PARTITION BY asset ORDER BY date)), d1 AS (SELECT asset, date, CAST(CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS DOUBLE) AS p, CAST(CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS DOUBLE) AS m, tr FROM dm), d2 AS (SELECT asset, date, 100 * {EWM.format('p')} / ({EWM.format('tr')} + 1e-10) AS pd, 100 * {EWM.format('m')} / ({EWM.format('tr')} + 1e-10) AS md FROM d1 WINDOW f AS (PARTITION BY asset ORDER BY date)), d3 AS (SELECT *, 100 * abs(pd - md) / (pd + md + 1e-10) AS dx FROM d2), adx AS (SELECT asset, date, {EWM.format('dx')} AS adx, pd - md AS di_diff FROM d3 WINDOW f AS (PARTITION BY asset ORDER BY date))"
 SQL["directional_index"] = f"WITH {DAMPED_OHLC}{ADX} SELECT asset, date, round(adx, 6) AS adx, round(di_diff, 6) AS di_diff FROM adx"
-BLOCK = "CASE " + " ".join(f"WHEN t >= floor({i} * len / 6) THEN {i}" for i in range(5, 0, -1)) + " ELSE 0 END"
+BLOCK = "CASE " + " ".join(f"WHEN t >= floor({i} * len / 16) THEN {i}" for i in range(15, 0, -1)) + " ELSE 0 END"
 PNL = "tp AS (SELECT l_linenumber AS asset, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / sum(l_quantity) AS price FROM lineitem GROUP BY 1, 2), rets AS (SELECT * FROM (SELECT asset, date, ln(price / lag(price) OVER (PARTITION BY asset ORDER BY date)) AS r FROM tp) WHERE r IS NOT NULL)"
-PBO = f"{PNL}{BOOK}, td AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t, count(*) OVER () AS len FROM full_days), pn AS (SELECT asset AS trial, r AS pnl, {BLOCK} AS block FROM aligned JOIN td USING (date)), ch AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS choice, [a, b, c] AS ins FROM range(6) x(a), range(6) y(b), range(6) z(c) WHERE a < b AND b < c), sh AS (SELECT choice, trial, list_contains(ins, block) AS inside, coalesce(avg(pnl) / nullif(stddev_samp(pnl), 0), 0) AS s FROM pn, ch GROUP BY 1, 2, 3), pr AS (SELECT choice, trial, max(s) FILTER (inside) AS i, max(s) FILTER (NOT inside) AS o FROM sh GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY choice ORDER BY i DESC, trial) AS place, count(*) OVER (PARTITION BY choice) AS trials, rank() OVER (PARTITION BY choice ORDER BY o) + (count(*) OVER (PARTITION BY choice, o) - 1) / 2.0 AS rank FROM pr), sp AS (SELECT choice, trial AS best_trial, rank, ln(rank / (trials + 1) / (1 - rank / (trials + 1))) AS logit FROM rk WHERE place = 1)"
-SQL["overfitting_splits"] = f"WITH {PBO} SELECT CAST(choice AS INTEGER) AS choice, best_trial, rank, round(logit, 6) AS logit FROM sp"
+PBO = f"{PNL}{BOOK}, td AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t, count(*) OVER () AS len FROM full_days), pn AS (SELECT asset AS trial, r AS pnl, {BLOCK} AS block FROM aligned JOIN td USING (date)), ch AS (SELECT range AS choice FROM range(65536) WHERE bit_count(range) = 8), mb AS (SELECT trial, block, count(*) AS n, sum(pnl) AS s, sum(pnl * pnl) AS ss FROM pn GROUP BY 1, 2), sh AS (SELECT choice, trial, (choice >> block) & 1 = 1 AS inside, coalesce(sum(s) / sum(n) / nullif(sqrt((sum(ss) - sum(s) * sum(s) / sum(n)) / (sum(n) - 1)), 0), 0) AS s FROM mb, ch GROUP BY 1, 2, 3), pr AS (SELECT choice, trial, max(s) FILTER (inside) AS i, max(s) FILTER (NOT inside) AS o FROM sh GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY choice ORDER BY i DESC, trial) AS place, count(*) OVER (PARTITION BY choice) AS trials, rank() OVER (PARTITION BY choice ORDER BY o) + (count(*) OVER (PARTITION BY choice, o) - 1) / 2.0 AS rank FROM pr), sp AS (SELECT choice, trial AS best_trial, rank, ln(rank / (trials + 1) / (1 - rank / (trials + 1))) AS logit FROM rk WHERE place = 1)"
+SQL["overfitting_splits"] = f"WITH {PBO} SELECT choice, best_trial, rank, round(logit, 6) AS logit FROM sp"
 SQL["overfitting_probability"] = f"WITH {PBO} SELECT round(avg(CAST(logit < 0 AS INTEGER)), 6) AS pbo, count(*) AS n_combinations, round(quantile_cont(logit, 0.5), 6) AS median_logit FROM sp"
 SQL["purged_folds"] = f"WITH {RETS}, nb AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY asset) AS n FROM rets), f AS (SELECT asset, i, CAST(fold AS INTEGER) AS fold, fold * n // 5 AS a, (fold + 1) * n // 5 AS b FROM nb, range(5) x(fold)), g AS (SELECT asset, i, fold, CASE WHEN i >= a AND i < b THEN 'test' WHEN i < a - 10 OR i >= b + 5 THEN 'train' END AS role FROM f) SELECT asset, fold, role, count(*) AS rows, CAST(min(i) AS INTEGER) AS first, CAST(max(i) AS INTEGER) AS last FROM g WHERE role IS NOT NULL GROUP BY 1, 2, 3"
 SQL["technical_features"] = "WITH " + FEATURES
@@ -198,7 +198,7 @@ SQL["order_book_ratio"] = "SELECT l_returnflag AS symbol, round(sum(CASE WHEN l_
 SQL["large_trades"] = "WITH t AS (SELECT l_returnflag AS symbol, l_extendedprice * l_quantity AS v, l_linestatus = 'F' AS m FROM lineitem WHERE l_extendedprice * l_quantity >= 1000000), g AS (SELECT symbol, count(*) AS n, sum(CASE WHEN NOT m THEN v ELSE 0 END) AS bought, sum(CASE WHEN m THEN v ELSE 0 END) AS sold FROM t GROUP BY symbol) SELECT symbol, n, round(bought, 4) AS bought, round(sold, 4) AS sold, round(bought / (sold + 1e-10), 4) AS ratio, CASE WHEN bought / (sold + 1e-10) > 1.5 THEN 'ALCISTA' WHEN bought / (sold + 1e-10) < 0.67 THEN 'BAJISTA' ELSE 'NEUTRAL' END AS signal FROM g"
 SQL["microstructure"] = f"WITH {HOURLY}, f AS (SELECT asset, avg((price - 50) / 50000) AS m FROM (SELECT * FROM hourly QUALIFY row_number() OVER (PARTITION BY asset ORDER BY ts DESC) <= 21) GROUP BY asset), b AS (SELECT asset, (arg_max(price, ts) - 50) / 50 AS basis, CASE WHEN arg_max(price / 50, ts) > 1.5 THEN 'LARGOS' WHEN arg_max(price / 50, ts) < 0.8 THEN 'CORTOS' ELSE 'EQUILIBRADO' END AS bias FROM hourly GROUP BY asset), o AS (SELECT asset, arg_max(volume, ts) / arg_min(volume, ts) - 1 AS c FROM (SELECT * FROM hourly QUALIFY row_number() OVER (PARTITION BY asset ORDER BY ts DESC) <= 8) GROUP BY asset) SELECT f.asset, round(m, 6) AS funding, CASE WHEN m > 0.0005 THEN 'LONGS SATURADOS' WHEN m < -0.0003 THEN 'SHORTS SATURADOS' ELSE 'NEUTRAL' END AS funding_signal, round(basis, 6) AS basis, round(c, 6) AS oi_change, bias, CASE WHEN m > 0.0005 AND c > 0.05 THEN 'long squeeze risk' WHEN m < -0.0003 THEN 'short squeeze possible' WHEN c < -0.10 THEN 'deleveraging' ELSE 'no extremes' END AS reading FROM f JOIN b ON f.asset = b.asset JOIN o ON f.asset = o.asset"
 SQL["breadth"] = f"WITH {RETS}, g AS (SELECT date AS day, count(*) FILTER (r > 0) AS risers, count(*) AS n FROM rets GROUP BY date) SELECT day, risers, n, CASE WHEN risers * 10 > n * 7 THEN 'ALCISTA' WHEN risers * 10 < n * 3 THEN 'BAJISTA' ELSE 'NEUTRAL' END AS mood FROM g"
-SQL["parsed_klines"] = f"WITH {OHLC} SELECT asset AS symbol, date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, round(volume, 4) AS volume FROM ohlc"
+SQL["parsed_klines"] = f"WITH {OHLC} SELECT asset AS symbol, date, floor(open * 10000 + 0.5) / 10000 AS open, floor(high * 10000 + 0.5) / 10000 AS high, floor(low * 10000 + 0.5) / 10000 AS low, floor(close * 10000 + 0.5) / 10000 AS close, round(volume, 4) AS volume FROM ohlc"
 SQL["parsed_props"] = "WITH p AS (SELECT event_type, unnest(json_keys(props)) AS key, props FROM events) SELECT event_type, key, count(*) AS n, round(avg(try_cast(json_extract_string(props, '$.' || key) AS DOUBLE)), 4) AS mean FROM p GROUP BY 1, 2"
 SQL["normalised_tickers"] = "WITH t AS (SELECT DISTINCT ' ' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || CASE WHEN p_size % 2 = 0 THEN '-usd' ELSE '' END AS ticker FROM part), u AS (SELECT ticker, upper(trim(ticker)) AS u FROM t) SELECT ticker, regexp_matches(u, '(-USD|USDT)$') AS is_crypto, CASE WHEN regexp_matches(u, '(-USD|USDT)$') THEN regexp_replace(u, '(-USD|USDT)$', '') || 'USDT' ELSE u END AS symbol, CASE WHEN regexp_matches(u, '(-USD|USDT)$') THEN regexp_replace(u, '(-USD|USDT)$', '') || '-USD' ELSE u END AS yahoo FROM u"
 SQL["trade_summary"] = "SELECT o_orderpriority AS asset, count(*) AS trades, count(*) FILTER (o_orderstatus = 'O') AS bought, count(*) FILTER (o_orderstatus = 'F') AS sold, max(CAST(o_orderdate AS DATE)) AS last FROM orders GROUP BY 1"

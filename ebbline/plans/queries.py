@@ -366,7 +366,9 @@ def base_agents(spark, d):
 @query
 def adaptive_agents(spark, d):
     reg = rules.directional_regime(market.damped_ohlcv(spark, d))
-    out = rules.adaptive_agents(rules.agent_context(market.damped_bars(spark, d)), reg, F.lit("BEAR"))
+    # The regime of asset N is the market's.
+    reg = reg.join(F.broadcast(reg.filter("asset = 'N'").select(F.col("regime").alias("market"))))
+    out = rules.adaptive_agents(rules.agent_context(market.damped_bars(spark, d)), reg, "market")
     return rounded(out.select("asset", "regime", "bull", "bear", F.concat_ws(",", "vetoes").alias("vetoes"), "vetoed", "action", "kelly_share"))
 
 
@@ -466,6 +468,8 @@ def breadth(spark, d):
 def parsed_klines(spark, d):
     """Bars through the exchange's JSON form and back."""
     b = market.ohlcv(spark, d).withColumn("ms", F.unix_millis(F.col("date").cast("timestamp")))
+    # Rounded by plain arithmetic first, so that no form of printing decides halves.
+    b = b.withColumns({c: F.floor(F.col(c) * 10_000 + 0.5) / 10_000 for c in ("open", "high", "low", "close")})
     text = F.format_string("[[%d,\"%.4f\",\"%.4f\",\"%.4f\",\"%.4f\",\"%.2f\"]]", "ms", "open", "high", "low", "close", "volume")
     out = micro.parse_klines(b.select(F.col("asset").alias("symbol"), text.alias("body")))
     return rounded(out.select("symbol", F.to_date("ts").alias("date"), "open", "high", "low", "close", "volume"), 4)
@@ -575,7 +579,7 @@ def quantum_well(spark, d):
 
 @query
 def hurst_consensus(spark, d):
-    return econo.hurst_consensus(returns(spark, d))
+    return rounded(econo.hurst_consensus(returns(spark, d)), 5)
 
 
 @query
