@@ -54,17 +54,21 @@ def features(bars: DataFrame) -> DataFrame:
 
 
 def exponential_mean(rows: DataFrame, columns: list[str], n: int, key: str = "asset", order: str = "date") -> DataFrame:
-    """Adds ewm_<column>: y = y before + (x - y before) / n, from the first value. A weighted sum over the frame in which
-    the weights still count, plus the first value's remainder: no row loop and no power that overflows."""
-    w = Window.partitionBy(key).orderBy(order)
-    q, reach = 1 - 1 / n, MEMORY * n
-    rows = rows.withColumn("__i", F.row_number().over(w) - 1)
-    frame = w.rowsBetween(-reach, 0)
-    out = {}
-    for c in columns:
-        values = F.collect_list(F.when(F.col("__i") > 0, F.coalesce(F.col(c), F.lit(0.0)) / n).otherwise(F.coalesce(F.col(c), F.lit(0.0)))).over(frame)
-        out[f"ewm_{c}"] = F.aggregate(values, F.lit(0.0), lambda a, x: a * q + x)
-    return rows.withColumns(out).drop("__i")
+    """Adds ewm_<column>: y = y before + (x - y before) / n, from the first value; nulls count as 0.
+
+    Closed form by blocks of MEMORY * n rows, so that no power overflows; what is older than a whole block weighs under
+    1e-26 and is left out."""
+    q, size = 1 - 1 / n, MEMORY * n
+    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+    rows = rows.withColumns({"__b": F.floor(F.col("__i") / size), "__j": (F.col("__i") % size).cast("double")})
+    inside = Window.partitionBy(key, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    weight = F.when(F.col("__i") > 0, 1 / n).otherwise(1.0) * F.pow(F.lit(q), -F.col("__j"))
+    rows = rows.withColumns({f"ewm_{c}": F.pow(F.lit(q), F.col("__j")) * F.sum(F.coalesce(F.col(c), F.lit(0.0)) * weight).over(inside) for c in columns})
+    ends = rows.groupBy(key, "__b").agg(*[F.max_by(f"ewm_{c}", "__j").alias(f"__end_{c}") for c in columns])
+    ends = ends.select(F.col(key).alias("__key"), (F.col("__b") + 1).alias("__next"), *[f"__end_{c}" for c in columns])
+    rows = rows.join(ends, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__b") == F.col("__next")), "left")
+    rows = rows.withColumns({f"ewm_{c}": F.col(f"ewm_{c}") + F.coalesce(f"__end_{c}", F.lit(0.0)) * F.pow(F.lit(q), F.col("__j") + 1) for c in columns})
+    return rows.drop("__i", "__b", "__j", "__key", "__next", *[f"__end_{c}" for c in columns])
 
 
 def directional_index(ohlc: DataFrame, n: int = 14) -> DataFrame:

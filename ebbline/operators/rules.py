@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ebbline.functions.frames import rolling, series
 from ebbline.operators.econo import hurst_quick, volatility_regime
 from ebbline.operators.rolling import bollinger_position, directional_index, relative_strength
-from ebbline.operators.series import last_rows, log_returns
+from ebbline.operators.series import STRETCH, last_rows, log_returns, running, stretch
 
 
 def clip(x: Column, low: float, high: float) -> Column:
@@ -192,21 +192,31 @@ def quick_signals(context: DataFrame) -> DataFrame:
 
 
 def kill_switch(trades: DataFrame, capital: float, max_drawdown: float = 0.20, losses: int = 8, per_hour: int = 200) -> DataFrame:
-    """Adds blocked (latched) to executed trades: asset, ts, pnl. Trades in the last hour are counted over true time."""
-    w = Window.partitionBy("asset").orderBy("ts")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = trades.withColumn("worth", capital + F.sum("pnl").over(so_far))
-    x = x.withColumn("wins", F.sum(F.when(F.col("pnl") >= 0, 1).otherwise(0)).over(so_far))
+    """Adds blocked (latched) to executed trades: asset, ts, pnl. Trades in the last hour are counted over true time.
+
+    An asset's trades are many groups, one per stretch of time: sums inside a stretch go on from those of earlier ones,
+    and a stretch sees the last hour of the one before.
+    """
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    x = trades.withColumn("stretch", stretch("ts"))
+    x = running(x, "asset", "ts", {"total": F.col("pnl"), "wins": (F.col("pnl") >= 0).cast("int")}).withColumn("worth", capital + F.col("total"))
     x = x.withColumn("streak", F.sum(F.when(F.col("pnl") < 0, 1).otherwise(0)).over(Window.partitionBy("asset", "wins").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("last_hour", F.count("*").over(Window.partitionBy("asset").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-3599, 0)))
+    late = x.filter(second >= (F.col("stretch") + 1) * STRETCH - 3599).withColumns({"stretch": F.col("stretch") + 1, "own": F.lit(False)})
+    x = x.withColumn("own", F.lit(True)).unionByName(late)
+    x = x.withColumn("last_hour", F.count("*").over(Window.partitionBy("asset", "stretch").orderBy(second).rangeBetween(-3599, 0))).filter("own")
     now = ((capital - F.col("worth")) / capital >= max_drawdown) | (F.col("streak") >= losses) | (F.col("last_hour") >= per_hour)
-    return x.withColumn("blocked", F.max(now).over(so_far)).drop("wins")
+    x = running(x.withColumn("now", now.cast("int")), "asset", "ts", {"alarms": F.col("now")})
+    return x.withColumn("blocked", F.col("alarms") > 0).drop("wins", "total", "stretch", "own", "now", "alarms")
 
 
 def cooled_down(signals: DataFrame, hours: int = 4) -> DataFrame:
-    """Adds waiting: the asset's signal before is under `hours` old. signals: asset, ts."""
-    gap = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lag(F.col("ts").cast("timestamp")).over(Window.partitionBy("asset").orderBy("ts")))
-    return signals.withColumn("waiting", F.coalesce(gap < hours * 3600, F.lit(False)))
+    """Adds waiting: the asset's signal before is under `hours` old. signals: asset, ts. Groups are stretches of time (see kill_switch)."""
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    x = signals.withColumn("stretch", stretch("ts"))
+    before = Window.partitionBy("asset").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = x.groupBy("asset", "stretch").agg(F.max(second).alias("end")).select("asset", "stretch", F.max("end").over(before).alias("earlier"))
+    last = F.coalesce(F.lag(second).over(Window.partitionBy("asset", "stretch").orderBy("ts")), F.col("earlier"))
+    return x.join(ends, ["asset", "stretch"]).withColumn("waiting", F.coalesce(second - last < hours * 3600, F.lit(False))).drop("stretch", "earlier")
 
 
 def sized_orders(decisions: DataFrame, capital: float, max_share: float = 0.10, stop: float = 0.05, take: float = 0.10, least_confidence: float = 0.15) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.functions.frames import last_known, next_known, series
@@ -93,11 +93,38 @@ def drawdowns(bars: DataFrame, price: str = "price") -> DataFrame:
     return bars.withColumn("peak", peak).withColumn("drawdown", (F.col(price) - F.col("peak")) / F.col("peak"))
 
 
+#: Seconds of one stretch of time: what is long in time is dealt into groups of so much.
+STRETCH = 30 * 86_400
+
+
+def stretch(ts: str) -> Column:
+    """Number of a time's stretch; rows without a time are one before all others."""
+    return F.coalesce(F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / STRETCH), F.lit(-(2**40)).cast("long"))
+
+
+def running(rows: DataFrame, key: str, order: str, sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums over a key's rows, which have a column stretch: sums inside a stretch, and those of all earlier ones."""
+    before = Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    whole = rows.groupBy(key, "stretch").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    earlier = whole.select(key, "stretch", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    out = rows.join(earlier, [key, "stretch"]).withColumns({n: F.col(f"__{n}") + F.sum(c).over(inside) for n, c in sums.items()})
+    return out.drop(*[f"__{n}" for n in sums])
+
+
 def asof_join(left: DataFrame, right: DataFrame, value: str, key: str = "asset", order: str = "ts") -> DataFrame:
-    """Each left row with the right table's latest value at or before its time: union and last known value, one shuffle, no range join."""
+    """Each left row with the right table's latest value at or before its time: union and last known value, no range join.
+
+    Groups are stretches of a key's time; a small table of each stretch's last value goes on into the later ones."""
     both = left.withColumns({value: F.lit(None).cast(dict(right.dtypes)[value]), "__right": F.lit(0)}).unionByName(right.select(key, order, value, F.lit(1).alias("__right")), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(order, F.desc("__right")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("__right = 0").drop("__right")
+    both = both.withColumn("__stretch", stretch(order))
+    ends = both.groupBy(key, "__stretch").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("__end"))
+    before = Window.partitionBy(key).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(key).alias("__key"), F.col("__stretch").alias("__at"), F.last("__end", ignorenulls=True).over(before).alias("__earlier"))
+    w = Window.partitionBy(key, "__stretch").orderBy(order, F.desc("__right")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("__right = 0")
+    rows = rows.join(ends, F.col(key).eqNullSafe(F.col("__key")) & F.col("__stretch").eqNullSafe(F.col("__at")))
+    return rows.withColumn(value, F.coalesce(value, "__earlier")).drop("__right", "__stretch", "__key", "__at", "__earlier")
 
 
 def in_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:

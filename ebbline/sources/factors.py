@@ -1,11 +1,7 @@
-"""Factor files and simulated markets."""
+"""Factor files."""
 
 from __future__ import annotations
 
-import datetime as dt
-from dataclasses import dataclass
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,38 +29,3 @@ def excess_over_market(returns: DataFrame, market: str) -> DataFrame:
     m = returns.filter(F.col("asset") == market).select("date", F.col("r").alias("m"))
     rest = returns.filter(F.col("asset") != market).join(m, "date").select("date", F.col("asset").alias("factor"), (F.col("r") - F.col("m")).alias("r"))
     return m.select("date", F.lit("MKT").alias("factor"), F.col("m").alias("r")).unionByName(rest)
-
-
-@dataclass(frozen=True)
-class GarchParams:
-    omega: float = 2e-6
-    alpha: float = 0.08
-    beta: float = 0.90
-    nu: float = 5.0
-    mu: float = 0.0003
-
-    def __post_init__(self):
-        if self.alpha + self.beta >= 1 or min(self.omega, self.alpha, self.beta) < 0:
-            raise ValueError("alpha + beta must be below 1 and nothing negative")
-        if self.nu <= 2:
-            raise ValueError("nu must be above 2")
-
-    @property
-    def long_run_volatility(self) -> float:
-        return float(np.sqrt(self.omega / (1 - self.alpha - self.beta)))
-
-
-def simulated_market(spark: SparkSession, assets: list[str], days: int = 1500, params: GarchParams = GarchParams(), correlation: float = 0.55, seed: int = 42, start: str = "2019-01-01") -> DataFrame:
-    """asset, date (business days), price of correlated GARCH(1,1) paths with Student-t shocks; the same for the same seed."""
-    rng, k = np.random.default_rng(seed), len(assets)
-    root = np.linalg.cholesky(np.full((k, k), correlation) + (1 - correlation) * np.eye(k))
-    shocks = rng.standard_t(params.nu, (days, k)) * np.sqrt((params.nu - 2) / params.nu) @ root.T
-    variance, price, rows = np.full(k, params.long_run_volatility**2), 100 * (1 + 0.1 * np.arange(k)), []
-    day = np.busday_offset(start, np.arange(days), roll="forward")
-    for t in range(days):
-        move = np.sqrt(variance) * shocks[t]
-        price = price * np.exp(params.mu + move)
-        variance = params.omega + params.alpha * move**2 + params.beta * variance
-        when = dt.date.fromisoformat(str(day[t]))
-        rows += [(a, when, float(p)) for a, p in zip(assets, price, strict=True)]
-    return spark.createDataFrame(rows, "asset string, date date, price double")

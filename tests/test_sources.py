@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ebbline.operators import risk, series
 from ebbline.sources import factors, market, sinks
 
 
@@ -11,17 +10,6 @@ def test_factor_lines(spark):
     assert got == {("2020-01-02", "MKT"): pytest.approx(0.0086), ("2020-01-02", "SMB"): pytest.approx(-0.0097), ("2020-01-03", "MKT"): pytest.approx(-0.0067), ("2020-01-03", "SMB"): pytest.approx(0.003)}
 
 
-def test_simulated_market_is_repeatable_and_heavy_tailed(spark):
-    a, b = (factors.simulated_market(spark, ["x", "y"], 900).orderBy("asset", "date").collect() for _ in range(2))
-    assert a == b and len(a) == 1800
-    s = risk.summary(series.log_returns(factors.simulated_market(spark, ["x", "y"], 900))).collect()
-    assert all(r.kurtosis > 0.5 for r in s)
-    with pytest.raises(ValueError):
-        factors.GarchParams(alpha=0.2, beta=0.9)
-    with pytest.raises(ValueError):
-        factors.GarchParams(nu=2)
-
-
 def test_trade_log_appends(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, "COMPRAR"), ("a", 2, "VENDER"), ("b", 3, "COMPRAR")], "asset string, ts int, action string")
     for _ in range(2):
