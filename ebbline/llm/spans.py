@@ -9,6 +9,8 @@ document with a smaller id, without moving every window:
 2. A bucket of keys decides: a span that equals one of a smaller document is removed whole; where different spans
    share a key, the span is *open*; others have no partner. Only this verdict travels back.
 3. Only open spans travel as text, to shards by key, where a resolver (suffix automaton or suffix array) compares them.
+   A key with more than WIDE different spans (a passage in very many different surroundings) would make one shard of
+   them all: its windows become keys of their own, told apart by their hashes, and go through step 2 once more.
 4. Verdicts return to the documents, which are read from the same exchange as in step 3.
 
 Rows of equal text and different ids: the smallest id is judged, the others are covered wholly by it.
@@ -18,18 +20,24 @@ equal results each. Rows with one id and different texts are no earlier document
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.kernels import Anchors, slices, utf8, word_hashes, words
+from ebbline.llm.kernels import Anchors, Prefixes, mix, slices, utf8, word_hashes, words
 from ebbline.llm.storage import materialize
 
 KEY_BYTES, SPAN_BYTES = 5, 6
-FULL, OPEN = 1, 2
+FULL, OPEN, SPLIT = 1, 2, 3
+#: Different spans of one key that a shard compares; a key with more is split by windows.
+WIDE = 64
+#: Bytes of text for each bucket, at most, where the shuffle's partitions are too few.
+BUCKET_BYTES = 64 << 20
 
 
 def narrow(x: np.ndarray, n: int) -> np.ndarray:
@@ -45,22 +53,25 @@ def wide(data: bytes, n: int) -> np.ndarray:
 
 def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     data = np.ascontiguousarray(data)
+    if offsets[-1] > np.iinfo(np.int32).max:
+        raise ValueError("one batch of spans has more than 2 GiB")
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.tobytes())])
 
 
-class Units:
-    """The units of a slice of documents and its anchors."""
+@dataclass
+class Entries:
+    """What meets by key and is compared by span: document (in its slice), bucket, key, span, and the units that it covers."""
 
-    def __init__(self, part, kind: str, length: int, gram: int, buckets: int):
-        self.flat, self.bytes_at = utf8(part.column("text"))
-        self.units, self.at = word_hashes(self.flat, self.bytes_at) if kind == "words" else (self.flat, self.bytes_at)
-        self.anchors = Anchors(self.units, self.at, length, gram)
-        self.bucket = ((self.anchors.key & np.uint64(0xFFFFF)) % np.uint64(buckets)).astype(np.int32)
+    doc: np.ndarray
+    bucket: np.ndarray
+    key: np.ndarray
+    span: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
 
-    def verdicts(self, part) -> np.ndarray:
-        """What step 2 says of each anchor: marks is a list per document of (bucket, a byte for each anchor of that bucket)."""
+    def verdicts(self, lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        """What step 2 says of each entry: a list per document of (bucket, a byte for each entry of that bucket)."""
         out = np.zeros(len(self.bucket), np.uint8)
-        lists = part.column("marks")
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         sizes = np.asarray(lists.value_lengths().fill_null(0))
         flat = lists.flatten()
@@ -68,13 +79,60 @@ class Units:
             return out
         doc, bucket = np.repeat(np.arange(len(sizes)), sizes), np.asarray(flat.field(0))
         data, data_at = utf8(flat.field(1))
-        group = self.anchors.doc * (1 << 32) + self.bucket
+        group = self.doc * (1 << 32) + self.bucket
         order = np.argsort(group, kind="stable")
         begin = np.searchsorted(group[order], doc * (1 << 32) + bucket)
         n = np.diff(data_at)
         out[order[np.repeat(begin - data_at[:-1], n) + np.arange(len(data))]] = data
         return out
 
+    def batch(self, h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        """All entries by bucket, in as few bytes as possible."""
+        order = np.argsort(self.bucket, kind="stable")
+        doc, bucket = self.doc[order], self.bucket[order]
+        keys, spans = narrow(self.key[order] >> np.uint64(20), KEY_BYTES), narrow(self.span[order], SPAN_BYTES)
+        change = np.ones(len(order), bool)
+        change[1:] = (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
+        runs = np.flatnonzero(change)
+        sizes = np.diff(np.append(runs, len(order))).astype(np.int32)
+        have = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        cut, run_cut = np.append(have, len(order)), np.append(np.searchsorted(runs, have), len(runs))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket[have]),
+                binaries(keys, cut * KEY_BYTES),
+                binaries(spans, cut * SPAN_BYTES),
+                binaries(h[doc[runs]].view(np.uint8), run_cut * 8),
+                binaries(g[doc[runs]].view(np.uint8), run_cut * 8),
+                binaries(ids[doc[runs]].view(np.uint8), run_cut * 8),
+                binaries(sizes.view(np.uint8), run_cut * 4),
+            ],
+            ["bucket", "keys", "spans", "h", "g", "ids", "sizes"],
+        )
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key & np.uint64(0xFFFFF)) % np.uint64(buckets)).astype(np.int32)
+
+
+class Units:
+    """The units of a slice of documents and its anchors."""
+
+    def __init__(self, part, kind: str, length: int, gram: int, buckets: int):
+        self.length, self.buckets = length, buckets
+        self.flat, self.bytes_at = utf8(part.column("text"))
+        self.units, self.at = word_hashes(self.flat, self.bytes_at) if kind == "words" else (self.flat, self.bytes_at)
+        a = self.anchors = Anchors(self.units, self.at, length, gram)
+        self.entries = Entries(a.doc, bucket_of(a.key, buckets), a.key, a.span, a.flat_start, a.flat_end)
+
+    def windows(self, which: np.ndarray) -> Entries:
+        """The single windows of some anchors, in order."""
+        a = self.anchors
+        n = a.windows[which]
+        begin = np.repeat(a.flat_start[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        key = Prefixes(self.units).of(begin, begin + self.length)
+        return Entries(np.repeat(a.doc[which], n), bucket_of(key, self.buckets), key, mix(key ^ np.uint64(0x5851F42D4C957F2D)), begin, begin + self.length)
+
 
 def anchor_blobs(kind: str, length: int, gram: int, buckets: int) -> Callable:
     def run(batches):
@@ -86,29 +144,22 @@ def anchor_blobs(kind: str, length: int, gram: int, buckets: int) -> Callable:
                     part = part.take(pa.array(first))
                     h, g, ids = h[first], g[first], ids[first]
                 u = Units(part, kind, length, gram, buckets)
-                if not len(u.bucket):
-                    continue
-                order = np.argsort(u.bucket, kind="stable")
-                doc, bucket = u.anchors.doc[order], u.bucket[order]
-                keys, spans = narrow(u.anchors.key[order] >> np.uint64(20), KEY_BYTES), narrow(u.anchors.span[order], SPAN_BYTES)
-                change = np.ones(len(order), bool)
-                change[1:] = (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
-                runs = np.flatnonzero(change)
-                sizes = np.diff(np.append(runs, len(order))).astype(np.int32)
-                have = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                cut, run_cut = np.append(have, len(order)), np.append(np.searchsorted(runs, have), len(runs))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket[have]),
-                        binaries(keys, cut * KEY_BYTES),
-                        binaries(spans, cut * SPAN_BYTES),
-                        binaries(h[doc[runs]].view(np.uint8), run_cut * 8),
-                        binaries(g[doc[runs]].view(np.uint8), run_cut * 8),
-                        binaries(ids[doc[runs]].view(np.uint8), run_cut * 8),
-                        binaries(sizes.view(np.uint8), run_cut * 4),
-                    ],
-                    ["bucket", "keys", "spans", "h", "g", "ids", "sizes"],
-                )
+                if len(u.entries.bucket):
+                    yield u.entries.batch(h, g, ids)
+
+    return run
+
+
+def window_blobs(kind: str, length: int, gram: int, buckets: int) -> Callable:
+    """The windows of keys that are too wide for a shard."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                u = Units(part, kind, length, gram, buckets)
+                wide = u.windows(np.flatnonzero(u.entries.verdicts(part.column("marks")) == SPLIT))
+                if len(wide.bucket):
+                    yield wide.batch(*(np.asarray(part.column(c)) for c in ("h", "g", "doc_id")))
 
     return run
 
@@ -122,7 +173,7 @@ def least_of_each(h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def decide(table: pa.Table) -> pa.Table:
-    """Step 2 for one bucket."""
+    """Step 2 for one bucket. Windows that meet by key have one span, so that all of them are settled here."""
     joined = lambda name: b"".join(table.column(name).to_pylist())
     key, span = wide(joined("keys"), KEY_BYTES), wide(joined("spans"), SPAN_BYTES)
     h, g, ids = (np.frombuffer(joined(c), np.int64) for c in ("h", "g", "ids"))
@@ -139,9 +190,10 @@ def decide(table: pa.Table) -> pa.Table:
     heads = np.flatnonzero(new_key)
     group = np.cumsum(new_key) - 1
     least = d[np.flatnonzero(new_span)][np.cumsum(new_span) - 1]
-    several = (np.add.reduceat(new_span.astype(np.int64), heads) > 1) & (np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads))
+    spans = np.add.reduceat(new_span.astype(np.int64), heads)
+    several = (spans > 1) & (np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads))
     verdict = np.zeros(len(key), np.uint8)
-    verdict[order] = np.where(d > least, FULL, np.where(several[group], OPEN, 0))
+    verdict[order] = np.where(d > least, FULL, np.where(several[group], np.where(spans[group] > WIDE, SPLIT, OPEN), 0))
     ends = np.cumsum(sizes.astype(np.int64))
     some = np.flatnonzero((np.add.reduceat(verdict, ends - sizes, dtype=np.int64) > 0) & judged) if len(sizes) else np.zeros(0, np.int64)
     told = np.zeros(len(h), bool)
@@ -152,6 +204,7 @@ def decide(table: pa.Table) -> pa.Table:
             "g": g[some],
             "bucket": np.full(len(some), table.column("bucket")[0].as_py(), np.int32),
             "verdict": binaries(verdict[told[entry]], np.append(0, np.cumsum(sizes[some].astype(np.int64)))),
+            "split": np.maximum.reduceat(verdict, ends - sizes)[some] == SPLIT if len(some) else told[:0],
         }
     )
 
@@ -161,7 +214,7 @@ def open_spans(kind: str, length: int, gram: int, buckets: int) -> Callable:
         for batch in batches:
             for part in slices(batch, "text"):
                 u = Units(part, kind, length, gram, buckets)
-                which = np.flatnonzero(u.verdicts(part) == OPEN)
+                which = np.flatnonzero(u.entries.verdicts(part.column("marks")) == OPEN)
                 if not len(which):
                     continue
                 a, one = u.anchors, u.units.dtype.itemsize
@@ -170,7 +223,7 @@ def open_spans(kind: str, length: int, gram: int, buckets: int) -> Callable:
                 data = u.units[np.repeat(start - at[:-1], n) + np.arange(at[-1])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(u.bucket[which]),
+                        pa.array(u.entries.bucket[which]),
                         pa.array(a.key[which].view(np.int64)),
                         pa.array(np.asarray(part.column("h"))[a.doc[which]]),
                         pa.array(np.asarray(part.column("g"))[a.doc[which]]),
@@ -211,9 +264,11 @@ def resolved(resolver: Callable, kind: str, length: int) -> Callable:
 def covered(u: Units, part, length: int) -> np.ndarray:
     """Which units of a slice stand in a window that an earlier document has too."""
     edge = np.zeros(len(u.units) + 1, np.int64)
-    full = u.verdicts(part) == FULL
-    np.add.at(edge, u.anchors.flat_start[full], 1)
-    np.add.at(edge, u.anchors.flat_end[full], -1)
+    verdict = u.entries.verdicts(part.column("marks"))
+    wide = u.windows(np.flatnonzero(verdict == SPLIT))
+    for entries, full in ((u.entries, verdict == FULL), (wide, wide.verdicts(part.column("wide")) == FULL)):
+        np.add.at(edge, entries.start[full], 1)
+        np.add.at(edge, entries.end[full], -1)
     lists = part.column("hits")
     sizes = np.asarray(lists.value_lengths().fill_null(0))
     flat = lists.flatten()
@@ -286,31 +341,42 @@ HOT_SHARE = 1 / 1000
 def remove_earlier(docs: DataFrame, resolver: Callable, kind: str, length: int, gram: int) -> DataFrame:
     """One row per document: doc_id, n_units, n_removed, n_spans, span_starts, span_ends (in units), kept (binary)."""
     spark = docs.sparkSession
-    args = (kind, length, gram, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumns({"h": F.xxhash64("text"), "g": F.xxhash64(F.lit(1), "text")})
     known = docs.filter("doc_id is not null")
-
-    blobs = known.mapInArrow(anchor_blobs(*args), "bucket int, keys binary, spans binary, h binary, g binary, ids binary, sizes binary")
-    verdicts = materialize(blobs.groupBy("bucket").applyInArrow(decide, "h long, g long, bucket int, verdict binary"), "verdicts")
-    marks = verdicts.groupBy("h", "g").agg(F.collect_list(F.struct("bucket", "verdict")).alias("marks"))
-
-    firsts = materialize(known.groupBy("h", "g").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "firsts")
-    total = firsts.agg(F.sum("n")).first()[0] or 0
-    hot = firsts.filter(F.col("n") >= max(2.0, total * HOT_SHARE)).select("h", "g", F.col("least_id").alias("hot_id"))
+    firsts = known.groupBy("h", "g").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"), F.max(F.octet_length("text")).alias("bytes"))
+    firsts = materialize(firsts, "firsts")
+    total, volume = firsts.agg(F.sum("n"), F.sum("bytes")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((volume or 0) / BUCKET_BYTES))
+    args = (kind, length, gram, buckets)
+
+    packed, told = "bucket int, keys binary, spans binary, h binary, g binary, ids binary, sizes binary", "h long, g long, bucket int, verdict binary, split boolean"
+    listed = lambda verdicts, name: verdicts.groupBy("h", "g").agg(F.collect_list(F.struct("bucket", "verdict")).alias(name), F.max("split").alias("split"))
+    verdicts = materialize(known.mapInArrow(anchor_blobs(*args), packed).groupBy("bucket").applyInArrow(decide, told), "verdicts")
+    marks = listed(verdicts, "marks")
+
+    hot = firsts.filter(F.col("n") >= max(2.0, (total or 0) * HOT_SHARE)).select("h", "g", F.col("least_id").alias("hot_id"))
     # Copies of a hot text need no verdict, so they go to partitions by id.
     docs = docs.join(F.broadcast(hot), ["h", "g"], "left").withColumn("away", F.coalesce(F.col("doc_id") > F.col("hot_id"), F.lit(False)))
     docs = docs.withColumn("h", F.when(F.col("away"), F.xxhash64("doc_id")).otherwise(F.col("h"))).withColumn("g", F.when(F.col("away"), F.lit(0)).otherwise(F.col("g")))
     judged = docs.join(firsts.select("h", "g", "least_id"), ["h", "g"], "left").join(marks, ["h", "g"], "left")
+    least = ~F.col("away") & (F.col("doc_id") == F.col("least_id"))
     judged = judged.select(
         "doc_id", "text", "h", "g",
         (F.col("away") | F.coalesce(F.col("doc_id") > F.col("least_id"), F.lit(False))).alias("copy"),
-        F.when(~F.col("away") & (F.col("doc_id") == F.col("least_id")), F.col("marks")).alias("marks"),
+        F.when(least, F.col("marks")).alias("marks"),
+        (least & F.coalesce("split", F.lit(False))).alias("split"),
     )
-    spans = judged.filter("marks is not null").select("doc_id", "h", "g", "text", "marks").mapInArrow(open_spans(*args), "bucket int, key long, h long, g long, doc_id long, first long, span binary")
+    marked = judged.select("doc_id", "h", "g", "text", "marks", "split")
+    spans = marked.filter("marks is not null").drop("split").mapInArrow(open_spans(*args), "bucket int, key long, h long, g long, doc_id long, first long, span binary")
     hits = spans.groupBy("bucket").applyInArrow(resolved(resolver, kind, length), "h long, g long, first long, windows binary")
     hits = hits.groupBy("h", "g").agg(F.collect_list(F.struct("first", "windows")).alias("hits"))
     found = judged.join(hits, ["h", "g"], "left").withColumn("hits", F.when(F.col("marks").isNotNull(), F.col("hits")))
-    return found.select("doc_id", "text", "copy", "marks", "hits").mapInArrow(
+    if verdicts.filter("split").limit(1).count():
+        windows = marked.filter("split").drop("split").mapInArrow(window_blobs(*args), packed).groupBy("bucket").applyInArrow(decide, told)
+        found = found.join(listed(windows, "wide").drop("split"), ["h", "g"], "left").withColumn("wide", F.when(F.col("split"), F.col("wide")))
+    else:
+        found = found.withColumn("wide", F.lit(None).cast("array<struct<bucket:int,verdict:binary>>"))
+    return found.select("doc_id", "text", "copy", "marks", "hits", "wide").mapInArrow(
         removals(*args), "doc_id long, n_units long, n_removed long, n_spans long, span_starts array<long>, span_ends array<long>, kept binary"
     )

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ebbline.llm import chat, decontaminate, graph, html, lm, minhash, mixing, quality, sharding, substring, suffix
+from ebbline.llm import chat, decontaminate, graph, html, lm, minhash, mixing, quality, sharding, spans, substring, suffix
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -47,6 +47,20 @@ def test_suffix_array_dedup(wide, shard):
     assert order([(r.doc_id, r.n_units, r.n_removed, r.n_spans, r.kept) for r in got if r.doc_id is not None]) == order(brute.removed(PLAIN, lambda t: t.encode(), 50))
 
 
+@pytest.mark.parametrize("wide", [2, 64])
+def test_one_passage_in_all_documents(spark, monkeypatch, wide):
+    """Every document has the passage in other surroundings, so its edges make one key of very many spans."""
+    monkeypatch.setattr(spans, "WIDE", wide)
+    rng = random.Random(6)
+    passage = brute.sentence(rng, 75)
+    rows = [(i, " ".join(f"u{rng.random()}" for _ in range(rng.randint(0, 60))) + " " + passage + " " + " ".join(f"v{rng.random()}" for _ in range(rng.randint(0, 60)))) for i in range(90)]
+    rows += [(200 + i, passage[: 300 + i] + " " + passage[7 * i :]) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for run, units in ((substring.substring_dedup, lambda t: t.encode().split()), (suffix.suffix_array_dedup, lambda t: t.encode())):
+        got = run(docs).collect()
+        assert order([(r.doc_id, r.n_units, r.n_removed, r.n_spans, r.kept) for r in got]) == order(brute.removed(rows, units, 50))
+
+
 def test_resolvers_equal_brute_force():
     rng = random.Random(1)
     for _ in range(150):
