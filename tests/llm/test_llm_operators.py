@@ -15,7 +15,7 @@ from tests.llm import brute
 SCHEMA = "doc_id long, text string, lang string, source string"
 ROWS = brute.documents()
 PLAIN = [(r[0], r[1]) for r in ROWS]
-CLASHING = "h g bucket key span marks hits copy rep component n words hashes salt size shard slot tokens draw range away least_id bundle lh lg count large_shard copies mix_id bad_id".split()
+CLASHING = "h g bucket key span marks hits copy rep component n words hashes salt size shard slot tokens draw range offset id away least_id bundle lh lg count large_shard copies mix_id bad_id".split()
 
 
 @pytest.fixture(scope="module")
@@ -296,6 +296,28 @@ def test_sharding(docs, wide):
     assert all(len(s) == 1 for s in by_text.values())
 
 
+def test_sharding_equals_plain_packing(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([i, i, None]), brute.sentence(rng, rng.randint(1, 40)), "x") for i in range(150)] + [(500 + i, "the same text", "x") for i in range(60)] + [(7, None, "x"), (8, "", "x"), (9, "long " * 30_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    got = sharding.shard_documents(docs.repartition(3), 4).collect()
+    keys = {r.t: (r.h, r.g) for r in docs.select(F.coalesce("text", F.lit("")).alias("t")).select("t", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g")).collect()}
+    loads = {}
+    for _, t, _ in rows:
+        b, w, n = loads.get(t or "", (0, 0, 0))
+        loads[t or ""] = (b + len((t or "").encode()) + 1, w + len((t or "").split()), n + 1)
+    totals = [sum(v[i] for v in loads.values()) for i in range(3)]
+    left, shard = [[1.0] * 3 for _ in range(4)], {}
+    for t in sorted(loads, key=lambda t: (-loads[t][0], keys[t])):
+        share = [loads[t][i] / totals[i] * 4 for i in range(3)]
+        best = max(range(4), key=lambda s: (round(sum(left[s][i] * share[i] * sharding.IMPORTANCE[i] for i in range(3)), 12), -s))
+        left[best] = [left[best][i] - share[i] for i in range(3)]
+        shard[t] = best
+    assert {r.text or "": r.shard for r in got} == shard
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_packing_balances_all_three():
     rng = np.random.default_rng(1)
     loads = np.column_stack([rng.lognormal(7, 1, 5000), rng.lognormal(5, 1, 5000), np.ones(5000)])
