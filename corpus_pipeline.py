@@ -23,7 +23,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that every rule lets pass."""
+    """Documents that every rule lets pass; null and empty texts don't, repeated rows are judged each."""
     return quality_filter(docs)
 
 
@@ -42,7 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without ten consecutive words (or all, if fewer) of a benchmark item."""
+    """Documents without ten consecutive words (or all, if fewer) of a benchmark item. Rows are judged one by one, also
+    those that repeat or have no doc_id; null texts have no words and stay; without benchmark items all stay."""
     rows = numbered(docs)
     found = contamination(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = materialize(found.filter("contaminated").select(F.col("doc_id").alias("__row")), "contaminated")
@@ -50,7 +51,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it. A null source is a source; null and empty texts have no words, so that
+    copies of them add nothing; rows that repeat or have no doc_id are taken each by itself, in a fixed order."""
     rows = numbered(docs)
     copies = mix(rows, WEIGHTS, BUDGET_PERCENT, MAX_EPOCHS, keep=["__row"]).filter("copies > 0")
     copies = materialize(copies.select("__row", F.col("copies").cast("int").alias("__copies")), "copies")
@@ -59,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with shard and slot."""
+    """Documents with size, tokens, shard and slot; rows of one text, null ones among them, share a shard; every row has a slot."""
     return shard_documents(docs, SHARDS)
 
 
