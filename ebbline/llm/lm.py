@@ -24,7 +24,7 @@ from ebbline.llm.storage import discard, materialize
 #: Words whose pairs are counted and exchanged in rounds: the most frequent ones, at most so many. The others follow them.
 CLUSTERED = 8192
 #: Words that the tasks get broadcast (18 bytes each): the most frequent ones, at most so many. Others are joined.
-COUNTED = 1_000_000
+COUNTED = 400_000
 #: Words that occur less often don't tell their class by their contexts.
 LEAST_COUNT = 3
 CLASSES = 64

@@ -226,7 +226,7 @@ def prefix_batches(n: int, percent: int, names: np.ndarray, counts: np.ndarray):
 
 
 def links_of_queries(percent: int):
-    """Exact links of a block of queries with a block of members of one hub's lists, one for each query and component it meets."""
+    """Exact links of a block of queries with a block of members of one group, one for each query and component it meets."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -280,7 +280,7 @@ HELD = 20_000
 LONG_LIST = 64
 #: Documents that share a shingle of their prefixes give all their pairs up to so many; more are compared inside tasks, in blocks of so many shingles.
 SHORT_LIST = 32
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: A shingle in more than 1 / FREQUENT of the sets in question is put last in the order of prefixes; at most FREQUENT * (mean size of a set) are.
 FREQUENT = 500
 
@@ -300,8 +300,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     3. Lists that still join different components could hide links between two members that aren't the hub. Their
        sets meet by the prefixes of their shingles in an order of rarity, which loses no link; estimate and
        verification follow as before. Where very many sets share the rarest shingles that they have (edits of one
-       text that are about as far from each other as the limit), only the sets of one hub's lists meet, in blocks
-       inside tasks: those outside its largest component are queries against all.
+       text that are about as far from each other as the limit), the sets that such shingles join are one group, whose
+       sets outside its largest component are queries against all of it, in blocks inside tasks.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     least = least_estimate(k, percent)
@@ -315,9 +315,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     all_of = Window.partitionBy("key")
     lists = lists.withColumn("hub", F.max(F.struct("met", (-F.col("rep")).alias("first"), "rep", "size")).over(all_of)).withColumn("n", F.count("*").over(all_of))
     stars = lists.filter("rep <> hub.rep").select("hub.rep", "hub.size", "rep", "size", "n").toDF("hub", "hub_size", "rep", "size", "n")
-    stars = stars.groupBy("hub", "hub_size", "rep", "size").agg(F.count("*").alias("shared"), F.max("n").alias("n")).withColumn("local", F.lit(False))
-    local = distinct.mapInArrow(star_batches(k, percent), "hub long, hub_size long, rep long, size long, shared long").withColumns({"n": F.lit(LONG_LIST).cast("long"), "local": F.lit(True)})
-    stars = stars.unionByName(local).groupBy("hub", "hub_size", "rep", "size").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"), F.max("local").alias("local"), F.min("local").alias("only_local"))
+    stars = stars.groupBy("hub", "hub_size", "rep", "size").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+    local = distinct.mapInArrow(star_batches(k, percent), "hub long, hub_size long, rep long, size long, shared long").withColumn("n", F.lit(LONG_LIST).cast("long"))
+    stars = stars.unionByName(local).groupBy("hub", "hub_size", "rep", "size").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"))
     # In a list of two, the only pair is tried; a longer one can hide others.
     stars = stars.withColumn("hidden", F.col("n") > 2)
     stars = materialize(stars.withColumn("alike", 100 * F.least("hub_size", "size") >= percent * F.greatest("hub_size", "size")), "stars")
@@ -378,12 +378,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
         met = x.join(y, (col("x.shingle") == col("y.shingle")) & smaller & enough & (col("x.component") != col("y.component")))
         links = links.union(verified(estimated(met.select(col("x.rep").alias("a"), col("y.rep").alias("b")).distinct())))
 
-        # A list's members stand with its hub, or with a task's hub that stands with it.
-        edges = stars.filter("hidden").select("hub", "rep", "local", "only_local")
-        inner = edges.filter("local").select(F.col("hub").alias("rep"), F.col("rep").alias("member"))
-        of_hub = edges.select("hub", "rep").union(edges.filter("not only_local").join(inner, "rep").select("hub", "member")).union(edges.select("hub", F.col("hub").alias("rep")))
-        heavy = materialize(mixed.filter(F.col("n") > SHORT_LIST).select("rep", "component", "size").distinct(), "heavy")
-        groups = of_hub.distinct().join(heavy, "rep")
+        # Sets that share such a shingle, also through others, are one group.
+        long = mixed.filter(F.col("n") > SHORT_LIST).select("rep", "component", "size", F.min("rep").over(Window.partitionBy("shingle")).alias("least"))
+        long = materialize(long.distinct(), "long")
+        groups = components(long.select("least", "rep"), "least", "rep").select(F.col("node").alias("rep"), F.col("component").alias("hub"))
+        heavy = materialize(long.select("rep", "component", "size").distinct().join(groups, "rep"), "heavy")
+        groups = heavy
         largest = groups.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")).filter("components > 1")
         groups = groups.join(largest.select("hub", F.col("most.component").alias("largest")), "hub").withColumn("outside", F.col("component") != F.col("largest"))
         blocks = groups.groupBy("hub").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("members"), F.ceil(F.sum(F.when(F.col("outside"), F.col("size"))) / BLOCK).cast("int").alias("queries"))
@@ -393,7 +393,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
         sets = materialize(texts(heavy.select("rep")).select("rep", "text").mapInArrow(set_batches(shingle), "rep long, hashes binary"), "sets")
         found = dealt.select("hub", "i", "j", "rep", "component", "query").join(sets, "rep").groupBy("hub", "i", "j").applyInArrow(links_of_queries(percent), "a long, b long")
         links = materialize(links.union(found.distinct()), "links")
-        discard(first, mixed, heavy, sets)
+        discard(first, mixed, long, heavy, sets)
         labels = components(links, "a", "b")
     discard(best, open_pairs, hard)
 
