@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -21,7 +24,7 @@ def labelled(bars: DataFrame, horizon: int = 5, limit: float = 0.01) -> DataFram
     return rows.withColumn("i", F.row_number().over(Window.partitionBy("asset").orderBy("date")) - 1)
 
 
-def forest(trees: int = 40, depth: int = 4, leaf: int = 20) -> Pipeline:
+def forest(trees: int = 200, depth: int = 4, leaf: int = 20) -> Pipeline:
     steps = [VectorAssembler(inputCols=list(FEATURES), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True)]
     return Pipeline(stages=[*steps, RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="balance", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=SEED)])
 
@@ -33,25 +36,34 @@ def balanced(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(n), "label").join(F.broadcast(total)).withColumns({"balance": F.col("total") / (F.col("classes") * F.col("k")), "y": (F.col("label") + 1).cast("double")})
 
 
-def walk_forward(rows: DataFrame, first: int = 252, step: int = 21, purge: int = 5) -> DataFrame:
+def walk_forward(rows: DataFrame, first: int = 252, step: int = 21, purge: int = 5, model: Pipeline | None = None, at_once: int = 8) -> DataFrame:
     """asset, date, r, prediction, p_buy, p_sell: rows i of [t, t + step) are told by a model of all rows before t - purge.
 
-    The loop is over dates (at most rows of a series / step), all assets at once; each turn trains a distributed forest."""
+    The turns (rows of a series / step, for all assets at once) don't need each other: `at_once` of them are given to
+    Spark at a time, and each trains and applies a distributed model. Their predictions come back as one table."""
     rows = rows.cache()
     last = rows.agg(F.max("i")).first()[0]
-    parts = []
-    for t in range(first, (last or -1) + 1, step):
-        train = rows.filter(F.col("i") < t - purge)
-        test = rows.filter((F.col("i") >= t) & (F.col("i") < t + step))
-        told = forest().fit(balanced(train)).transform(test)
+    chosen = model or forest()
+    empty = rows.limit(0).select("asset", "date", "r", F.lit(0).alias("prediction"), F.lit(0.0).alias("p_buy"), F.lit(0.0).alias("p_sell"))
+
+    def turn(t: int) -> DataFrame:
+        train, test = rows.filter(F.col("i") < t - purge), rows.filter((F.col("i") >= t) & (F.col("i") < t + step))
+        told = chosen.fit(balanced(train)).transform(test)
         p = vector_to_array("probability")
-        parts.append(told.select("asset", "date", "r", (F.col("prediction") - 1).cast("int").alias("prediction"), F.coalesce(F.get(p, F.lit(2)), F.lit(0.0)).alias("p_buy"), F.coalesce(F.get(p, F.lit(0)), F.lit(0.0)).alias("p_sell")))
-    if not parts:
-        return rows.limit(0).select("asset", "date", "r", F.lit(0).alias("prediction"), F.lit(0.0).alias("p_buy"), F.lit(0.0).alias("p_sell"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        return told.select("asset", "date", "r", (F.col("prediction") - 1).cast("int").alias("prediction"), F.coalesce(F.get(p, F.lit(2)), F.lit(0.0)).alias("p_buy"), F.coalesce(F.get(p, F.lit(0)), F.lit(0.0)).alias("p_sell"))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        parts = list(pool.map(turn, range(first, (last or -1) + 1, step)))
+    return reduce(DataFrame.unionByName, parts, empty)
+
+
+def latest_prediction(rows: DataFrame, latest: DataFrame, model: Pipeline | None = None) -> DataFrame:
+    """asset, action, probability, confidence of each asset's latest features, told by a model of all labelled rows.
+    latest: the features of one row per asset; missing ones count as 0."""
+    told = (model or forest()).fit(balanced(rows)).transform(latest.fillna(0.0, list(FEATURES)))
+    p = F.element_at(vector_to_array("probability"), (F.col("prediction") + 1).cast("int"))
+    action = F.element_at(F.array(F.lit("VENDER"), F.lit("ESPERAR"), F.lit("COMPRAR")), (F.col("prediction") + 1).cast("int"))
+    return told.select("asset", action.alias("action"), F.round(p, 3).alias("probability"), F.when(p > 0.65, "ALTA").when(p > 0.55, "MEDIA").otherwise("BAJA").alias("confidence"))
 
 
 def importance(rows: DataFrame) -> DataFrame:

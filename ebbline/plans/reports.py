@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ebbline.operators import micro, reports, rolling, stress
+from ebbline.operators import diagnostics, micro, reports, rolling, stress
 from ebbline.operators import series as ts
 from ebbline.plans import oracles as o
 from ebbline.plans.queries import SCENARIOS, book, damped_returns, event_trades, factor_panel, query, returns, rounded
@@ -258,3 +258,31 @@ SELECT asset, regime, round(bull, 6) AS bull, round(bear, 6) AS bear, array_to_s
 LONG_RS = f"WITH {o.RETS}{o.rs(o.log_sizes(25, 0.01, 20, 4))} SELECT asset, regr_slope(ln(rs), ln(size)) AS hurst FROM pts GROUP BY asset"
 SQL["hurst_consensus"] = f"""WITH h AS ({LONG_RS}), d AS ({o.SQL['detrended_fluctuation'].replace('round(regr_slope', '(regr_slope').replace(', 5) AS alpha', ') AS alpha')}), c AS (SELECT h.asset, hurst, alpha, (hurst + alpha) / 2 AS consensus FROM h JOIN d ON h.asset = d.asset)
 SELECT asset, round(hurst, 5) AS hurst, round(alpha, 5) AS alpha, round(consensus, 5) AS consensus, CASE WHEN consensus < 0.40 THEN 'strong reversion' WHEN consensus < 0.48 THEN 'mild reversion' WHEN consensus < 0.52 THEN 'random walk' WHEN consensus < 0.62 THEN 'mild persistence' ELSE 'strong persistence' END AS reading FROM c"""
+
+
+#: Rows looked back and least move of each configuration of the robustness grid.
+GRID = [(days, limit) for days in (5, 10, 15, 21, 42, 63) for limit in (0.0, 0.005, 0.01)]
+
+
+@query
+def robustness_grid(spark, d):
+    """Probability that the best of a grid of momentum rules is overfitted; days without a position earn nothing."""
+    r = damped_returns(spark, d).filter("asset = 'N'")
+    frame = lambda days: rolling.series().rowsBetween(-days, -1)
+    moves = {days: F.when(F.count("r").over(frame(days)) == days, F.sum("r").over(frame(days))) for days, _ in GRID}
+    rows = r.withColumn("t", F.row_number().over(rolling.series()) - 1).withColumns({f"m{days}": m for days, m in moves.items()})
+    held = lambda m, limit: F.when(m > limit, 1).when(m < -limit, -1).otherwise(0)
+    each = F.array(*[F.struct(F.lit(k).alias("trial"), (held(F.col(f"m{days}"), limit) * 0.25 * F.col("r")).alias("pnl")) for k, (days, limit) in enumerate(GRID)])
+    return rounded(diagnostics.overfitting_probability(rows.select("t", F.inline(each)), blocks=10))
+
+
+def grid_sql() -> str:
+    block = "CASE " + " ".join(f"WHEN t >= floor({i} * len / 10) THEN {i}" for i in range(9, 0, -1)) + " ELSE 0 END"
+    moves = ", ".join(f"CASE WHEN count(r) OVER f{days} = {days} THEN sum(r) OVER f{days} END AS m{days}" for days in sorted({k for k, _ in GRID}))
+    frames = ", ".join(f"f{days} AS (ORDER BY date ROWS BETWEEN {days} PRECEDING AND 1 PRECEDING)" for days in sorted({k for k, _ in GRID}))
+    trials = " UNION ALL ".join(f"SELECT {k} AS trial, block, CASE WHEN m{days} > {limit} THEN 1 WHEN m{days} < -{limit} THEN -1 ELSE 0 END * 0.25 * r AS pnl FROM rb" for k, (days, limit) in enumerate(GRID))
+    start = f"WITH {o.DAMPED_RETS}, ra AS (SELECT date, r, row_number() OVER (ORDER BY date) - 1 AS t, count(*) OVER () AS len, {moves} FROM rets WHERE asset = 'N' WINDOW {frames}), rb AS (SELECT *, {block} AS block FROM ra), pn AS ({trials}), ch AS (SELECT range AS choice FROM range(1024) WHERE bit_count(range) = 5)"
+    return start + ", mb AS" + o.PBO.split(", mb AS", 1)[1] + " SELECT round(avg(CAST(logit < 0 AS INTEGER)), 6) AS pbo, count(*) AS n_combinations, round(quantile_cont(logit, 0.5), 6) AS median_logit FROM sp"
+
+
+SQL["robustness_grid"] = grid_sql()
