@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.functions import fits
@@ -142,19 +142,14 @@ def shrunk_covariance(returns: DataFrame) -> DataFrame:
     c = a.join(F.broadcast(mean), "asset").select("date", "asset", (F.col("r") - F.col("m")).alias("x"))
     x, y = c.select("date", F.col("asset").alias("asset_i"), "x"), c.select("date", F.col("asset").alias("asset_j"), F.col("x").alias("y"))
     sums = x.join(y, "date").groupBy("asset_i", "asset_j").agg(F.count("*").alias("n"), F.avg(F.col("x") * F.col("y")).alias("s"), F.avg(F.col("x") * F.col("x") * F.col("y") * F.col("y")).alias("s4"))
-    rows = sums.collect()  # assets squared
-    names = sorted({r["asset_i"] for r in rows})
-    at = {k: i for i, k in enumerate(names)}
-    s, s4, n = np.zeros((len(names),) * 2), np.zeros((len(names),) * 2), rows[0]["n"]
-    for r in rows:
-        s[at[r["asset_i"]], at[r["asset_j"]]], s4[at[r["asset_i"]], at[r["asset_j"]]] = r["s"], r["s4"]
-    k = len(names)
-    mu = np.trace(s) / k
-    spread = ((s - mu * np.eye(k)) ** 2).sum() / k
-    noise = min((s4 - s**2).sum() / n / k, spread)
-    share = noise / spread if spread else 0.0
-    out = (1 - share) * s + share * mu * np.eye(k)
-    return returns.sparkSession.createDataFrame([(names[i], names[j], float(out[i, j]), float(share)) for i in range(k) for j in range(k)], "asset_i string, asset_j string, covariance double, shrinkage double")
+    same = F.col("asset_i") == F.col("asset_j")
+    size = sums.agg(F.sum(F.when(same, F.col("s"))).alias("trace"), F.count_if(same).alias("k"))
+    sums = sums.join(F.broadcast(size)).withColumn("target", F.when(same, F.col("trace") / F.col("k")).otherwise(0.0))
+    gap = F.col("s") - F.col("target")
+    noise = sums.agg((F.sum(gap * gap) / F.max("k")).alias("spread"), (F.sum((F.col("s4") - F.col("s") * F.col("s")) / F.col("n")) / F.max("k")).alias("noise"))
+    noise = noise.select(F.when(F.col("spread") > 0, F.least("noise", "spread") / F.col("spread")).otherwise(0.0).alias("shrinkage"))
+    out = sums.join(F.broadcast(noise))
+    return out.select("asset_i", "asset_j", ((1 - F.col("shrinkage")) * F.col("s") + F.col("shrinkage") * F.col("target")).alias("covariance"), "shrinkage")
 
 
 def matrix_of(moments: DataFrame, column: str) -> tuple[list[str], np.ndarray, int]:
@@ -190,18 +185,19 @@ def entropy_portfolio(moments: DataFrame, penalty: float = 2.0, periods: int = 2
 
 
 def cycles(bars: DataFrame, top: int = 5) -> DataFrame:
-    """asset, place, period (days), power_share: strongest frequencies of the detrended, Hann-weighted log price."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.log(pdf.sort_values("date")["price"].to_numpy(float))
-        t = np.arange(len(y))
-        y = (y - np.polyval(np.polyfit(t, y, 1), t)) * np.hanning(len(y))
-        power = np.abs(np.fft.rfft(y)) ** 2
-        power[0] = 0
-        best = np.argsort(-power)[:top]
-        return pd.DataFrame({"asset": pdf["asset"].iloc[0], "place": np.arange(1, len(best) + 1), "period": len(y) / best, "power_share": power[best] / power.sum()})
-
-    return bars.select("asset", "date", "price").groupBy("asset").applyInPandas(run, "asset string, place long, period double, power_share double")
+    """asset, place, period (days), power_share: strongest frequencies of the detrended, Hann-weighted log price.
+
+    The transform is a sum for each frequency, added up before it is shuffled; days times half the days of an asset."""
+    w = Window.partitionBy("asset")
+    rows = bars.select("asset", F.ln("price").alias("y"), (F.row_number().over(w.orderBy("date")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    rows = rows.withColumn("y", F.col("y") - F.regr_intercept("y", "i").over(w) - F.regr_slope("y", "i").over(w) * F.col("i"))
+    rows = rows.withColumn("y", F.col("y") * (0.5 - 0.5 * F.cos(2 * math.pi * F.col("i") / (F.col("n") - 1))))
+    waves = rows.filter("n > 2").withColumn("k", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2))))
+    angle = 2 * math.pi * (F.col("k") * F.col("i") % F.col("n")) / F.col("n")
+    power = waves.groupBy("asset", "k", "n").agg(F.sum(F.col("y") * F.cos(angle)).alias("c"), F.sum(F.col("y") * F.sin(angle)).alias("s"))
+    power = power.withColumn("power", F.col("c") * F.col("c") + F.col("s") * F.col("s"))
+    power = power.withColumns({"power_share": F.col("power") / F.sum("power").over(w), "place": F.row_number().over(w.orderBy(F.desc("power"))).cast("long")})
+    return power.filter(F.col("place") <= top).select("asset", "place", (F.col("n") / F.col("k")).alias("period"), "power_share")
 
 
 def tsallis(density: DataFrame) -> DataFrame:

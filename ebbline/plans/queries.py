@@ -544,7 +544,7 @@ def compare_methods(spark, d):
 
 @query
 def shrunk_covariance(spark, d):
-    return models.shrunk_covariance(returns(spark, d))
+    return rounded(models.shrunk_covariance(returns(spark, d)))
 
 
 @query
@@ -559,7 +559,7 @@ def entropy_portfolio(spark, d):
 
 @query
 def spectral_cycles(spark, d):
-    return models.cycles(market.bars(spark, d))
+    return rounded(models.cycles(market.bars(spark, d)))
 
 
 @query

@@ -286,3 +286,15 @@ def grid_sql() -> str:
 
 
 SQL["robustness_grid"] = grid_sql()
+
+SQL["shrunk_covariance"] = f"""WITH {o.RETS}{o.BOOK}, c AS (SELECT asset, date, r - avg(r) OVER (PARTITION BY asset) AS x FROM aligned),
+s AS (SELECT a.asset AS i, b.asset AS j, count(*) AS n, avg(a.x * b.x) AS s, avg(a.x * a.x * b.x * b.x) AS s4 FROM c a JOIN c b ON a.date = b.date GROUP BY 1, 2),
+k AS (SELECT sum(s) / count(*) AS mu, count(*) AS k FROM s WHERE i = j), t AS (SELECT s.*, k, CASE WHEN i = j THEN mu ELSE 0 END AS target FROM s, k),
+g AS (SELECT sum((s - target) * (s - target)) / max(k) AS spread, sum((s4 - s * s) / n) / max(k) AS noise FROM t), h AS (SELECT CASE WHEN spread > 0 THEN least(noise, spread) / spread ELSE 0 END AS share FROM g)
+SELECT i AS asset_i, j AS asset_j, round((1 - share) * s + share * target, 6) AS covariance, round(share, 6) AS shrinkage FROM t, h"""
+
+SQL["spectral_cycles"] = f"""WITH {o.BARS}, a AS (SELECT asset, ln(price) AS y, row_number() OVER (PARTITION BY asset ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY asset) AS n FROM bars),
+f AS (SELECT asset, regr_slope(y, i) AS b, regr_intercept(y, i) AS a FROM a GROUP BY asset),
+d AS (SELECT a.asset, i, n, (y - f.a - f.b * i) * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS y FROM a JOIN f ON a.asset = f.asset),
+p AS (SELECT asset, k, n, pow(sum(y * cos(2 * pi() * (k * i % n) / n)), 2) + pow(sum(y * sin(2 * pi() * (k * i % n) / n)), 2) AS power FROM d, unnest(range(1, n // 2 + 1)) x(k) GROUP BY 1, 2, 3)
+SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY power DESC) AS place, round(n / k, 6) AS period, round(power / sum(power) OVER (PARTITION BY asset), 6) AS power_share FROM p QUALIFY place <= 5"""
