@@ -93,7 +93,7 @@ def drawdowns(bars: DataFrame, price: str = "price") -> DataFrame:
     return bars.withColumn("peak", peak).withColumn("drawdown", (F.col(price) - F.col("peak")) / F.col("peak"))
 
 
-#: Seconds of one stretch of time: what is long in time is dealt into groups of so much.
+#: Seconds of one stretch of time (an hour at least): what is long in time is dealt into groups of so much.
 STRETCH = 30 * 86_400
 
 

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["historical_var", "component_var", "rolling_normal_backtest", "coverage_tests", "hurst_quick", "base_agents", "macro_regime", "overfitting_probability", "asof_prices"]
+SOME = ["full_backtest", "factor_model", "directional_regime", "adaptive_agents", "hurst_consensus", "stress_suite", "parsed_klines", "kill_switch", "historical_var", "component_var", "rolling_normal_backtest", "coverage_tests", "hurst_quick", "base_agents", "macro_regime", "overfitting_probability", "asof_prices"]
 
 
 def test_flagship_has_rows(spark):
