@@ -178,13 +178,23 @@ def high_halves(batches):
 
 
 def repeated_shingles(n: int):
-    """Shingles that two sets of one slice have, and how many."""
+    """Shingles that several sets of one task have, and how many."""
+
+    def counted(held):
+        values, count = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values[count > 1].view(np.int64)), pa.array(count[count > 1])], ["shingle", "n"])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
-                values, count = np.unique(shingle_sets(part, n)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values[count > 1].view(np.int64)), pa.array(count[count > 1])], ["shingle", "n"])
+                held.append(shingle_sets(part, n)[0])
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     return run
 
@@ -281,8 +291,11 @@ LONG_LIST = 64
 #: Documents that share a shingle of their prefixes give all their pairs up to so many; more are compared inside tasks, in blocks of so many shingles.
 SHORT_LIST = 32
 BLOCK = 1 << 19
-#: A shingle in more than 1 / FREQUENT of the sets in question is put last in the order of prefixes; at most FREQUENT * (mean size of a set) are.
-FREQUENT = 500
+#: The order of prefixes is by the number of sets that have a shingle, if more than OFTEN and 1 / FREQUENT of the sets in
+#: question: at most FREQUENT * (mean size of a set) shingles are known so. Tasks count up to COUNTED shingles at a time.
+FREQUENT = 5000
+OFTEN = 8
+COUNTED = 4_000_000
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -359,7 +372,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     number = hard.count()
     if number:
         with_text = texts(labelled(hard, labels, "rep").withColumnRenamed("rep_component", "component"))
-        often = with_text.select("text").mapInArrow(repeated_shingles(shingle), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > number / FREQUENT).toPandas()
+        often = with_text.select("text").mapInArrow(repeated_shingles(shingle), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > max(OFTEN, number / FREQUENT)).toPandas()
         names = often["shingle"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(names)
         first = with_text.select("rep", "component", "text").mapInArrow(

@@ -101,7 +101,7 @@ def test_near_duplicates(wide, n):
     assert len(got) == len(ROWS)
 
 
-@pytest.mark.parametrize("changes,held,frequent,long,short,block", [(12, 20_000, 500, 64, 32, 1 << 21), (18, 20, 500, 4, 5, 3000), (24, 16, 3, 2, 1, 9000)])
+@pytest.mark.parametrize("changes,held,frequent,long,short,block", [(12, 20_000, 5000, 64, 32, 1 << 21), (18, 20, 5000, 4, 5, 3000), (24, 16, 3, 2, 1, 9000)])
 def test_lists_of_many_sets_lose_no_link(spark, monkeypatch, changes, held, frequent, long, short, block):
     """Sets around a source that isn't there: some link with the hub, some only with each other, most with nothing."""
     monkeypatch.setattr(minhash, "HELD", held)
