@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ebbline.operators import diagnostics, micro, reports, rolling, stress
+from ebbline.operators import diagnostics, learning, micro, reports, rolling, stress
 from ebbline.operators import series as ts
 from ebbline.plans import oracles as o
 from ebbline.plans.queries import SCENARIOS, book, damped_returns, event_trades, factor_panel, query, returns, rounded
@@ -298,3 +298,22 @@ f AS (SELECT asset, regr_slope(y, i) AS b, regr_intercept(y, i) AS a FROM a GROU
 d AS (SELECT a.asset, i, n, (y - f.a - f.b * i) * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS y FROM a JOIN f ON a.asset = f.asset),
 p AS (SELECT asset, k, n, pow(sum(y * cos(2 * pi() * (k * i % n) / n)), 2) + pow(sum(y * sin(2 * pi() * (k * i % n) / n)), 2) AS power FROM d, unnest(range(1, n // 2 + 1)) x(k) GROUP BY 1, 2, 3)
 SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY power DESC) AS place, round(n / k, 6) AS period, round(power / sum(power) OVER (PARTITION BY asset), 6) AS power_share FROM p QUALIFY place <= 5"""
+
+
+@query
+def factor_simple_returns(spark, d):
+    """Simple returns of the factor panel, kept between -90 % and 900 %."""
+    return rounded(ts.winsorised(ts.simple_returns(market.daily_orders(spark, d)), -0.9, 9.0))
+
+
+SQL["factor_simple_returns"] = f"WITH {o.ORDERS} SELECT asset, date, round(greatest(-0.9, least(9.0, r)), 6) AS r FROM (SELECT asset, date, price / lag(price) OVER (PARTITION BY asset ORDER BY date) - 1 AS r FROM panel) WHERE r IS NOT NULL"
+
+
+@query
+def labelled_rows(spark, d):
+    """Rows that have all features and a label, by label: what a model learns from."""
+    return learning.labelled(market.damped_bars(spark, d)).groupBy("asset", "label").agg(F.count("*").alias("n"))
+
+
+SQL["labelled_rows"] = f"""WITH f AS ({o.SQL['technical_features']}), {o.DAMPED}, l AS (SELECT asset, date, CAST({o.BARRIER.replace('0.025', '0.01')} AS INTEGER) AS label FROM damped WINDOW w AS (PARTITION BY asset ORDER BY date))
+SELECT f.asset, label, count(*) AS n FROM f JOIN l ON f.asset = l.asset AND f.date = l.date WHERE {' AND '.join(f'{c} IS NOT NULL' for c in rolling.FEATURES)} GROUP BY 1, 2"""
