@@ -35,7 +35,7 @@ from ebbline.llm.storage import materialize
 KEY_BYTES, SPAN_BYTES = 5, 6
 FULL, OPEN, SPLIT = 1, 2, 3
 #: Different spans of one key that a shard compares; a key with more is split by windows.
-WIDE = 64
+WIDE = 4096
 #: Bytes of text for each bucket, at most, where the shuffle's partitions are too few.
 BUCKET_BYTES = 64 << 20
 
