@@ -97,17 +97,15 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    """row (all columns of docs), the whole text and a hash of each of its words, which all rules share: texts are cut into words once."""
-    docs = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.withColumn("hashes", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
+def judged(text: Column, use: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """use(metric) over one text and the hashes of its words. Both are bound as one variable: no rule of the optimizer puts
+    their definition in its place, so a text is cut into words once, wherever a filter on the result is pushed to."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    parts = F.struct(text.alias("text"), F.transform(words(text), lambda w: F.xxhash64(w)).alias("hashes"))
+    return let(parts, lambda x: use(lambda name: METRICS[name](x["text"], x["hashes"])))
 
 
-def metric(name: str) -> Column:
-    return METRICS[name](F.col("text"), F.col("hashes"))
-
-
-def rejected_by(order: Sequence[Rule]) -> Column:
+def rejected_by(order: Sequence[Rule], metric: Callable[[str], Column]) -> Column:
     """Whether a rule of the order rejects a document. CASE stops at the first that does, and computes the metrics of no later one."""
     verdict = F.when(F.lit(False), F.lit(False))
     for rule in order:
@@ -124,7 +122,9 @@ def measured_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
     total = docs.count()
     if not total:
         return [(r, 0.0, 0.0) for r in rules]
-    sample = materialize(with_words(docs.select("text").sample(min(1.0, sample_rows / total), seed)), "sample")
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).sample(min(1.0, sample_rows / total), seed)
+    sample = materialize(texts.withColumn("hashes", F.transform(words(F.col("text")), lambda w: F.xxhash64(w))), "sample")
+    metric = lambda name: METRICS[name](F.col("text"), F.col("hashes"))
 
     def timed(rejects: Column) -> tuple[float, float]:
         times, share = [], 0.0
@@ -147,12 +147,22 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     """Documents that no rule rejects, with their own columns. A null or empty text has no words and is rejected by
     few_words. Repeated rows are judged each."""
     order = [r for r, _, _ in measured_order(docs, rules)]
-    return with_words(docs).filter(~rejected_by(order)).select("row.*")
+    return docs.filter(~judged(F.col("text"), lambda metric: rejected_by(order, metric)))
+
+
+#: What a report shows of every document.
+SHOWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per document: doc_id, all metrics, and kept: the cascade's verdict, in the measured order. Nulls and repeated
-    rows as in quality_filter; other columns are ignored."""
+    """One row per document: doc_id, the metrics SHOWN, and kept: the cascade's verdict, in the measured order. The metrics
+    shown are computed once and bound; the cascade computes others only where it gets to them. Nulls and repeated rows as in
+    quality_filter; other columns are ignored."""
     order = [r for r, _, _ in measured_order(docs, rules)]
-    docs = with_words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return docs.select("row.doc_id", *[metric(n).alias(n) for n in METRICS], (~rejected_by(order)).alias("kept"))
+
+    def shown(metric: Callable[[str], Column]) -> Column:
+        either = lambda x: lambda name: x[name] if name in SHOWN else metric(name)
+        verdict = lambda x: F.struct(*[x[n].alias(n) for n in SHOWN], (~rejected_by(order, either(x))).alias("kept"))
+        return let(F.struct(*[metric(n).alias(n) for n in SHOWN]), verdict)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), judged(F.col("text"), shown).alias("report")).select("doc_id", "report.*")
