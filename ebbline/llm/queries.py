@@ -13,6 +13,7 @@ from ebbline.llm.html import extract_main_text
 from ebbline.llm.lm import score_documents
 from ebbline.llm.minhash import near_duplicates
 from ebbline.llm.mixing import mix
+from ebbline.llm.repair import COUNTS, damaged, repair_conversations
 from ebbline.llm.quality import BASE_RULES, quality_report
 from ebbline.llm.sharding import shard_documents
 from ebbline.llm.substring import substring_dedup
@@ -78,6 +79,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = repair_conversations(damaged(turns)).withColumnRenamed("conv_id", "repaired_id")
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("repaired_id")), "left")
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in COUNTS]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_benchmark_decontamination,
@@ -90,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_class_lm_scoring,
         op9_vector_sharding,
         op10_quality_rules,
+        op13_conversation_repair,
     )
     return {f.__name__: f for f in every}
 
@@ -218,6 +228,81 @@ FROM f
 """
 
 
+#: crc32 as the functions of tables and lists have it: byte by byte over a table of 256 values that a rule gives.
+CRC_TABLE = """crc_table AS (
+  SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(n))
+)"""
+
+
+def crc_of(codes: str) -> str:
+    """The SQL of the crc32 of a list of bytes."""
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+def edited(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    """The SQL of an edit before the best edits from a state on."""
+    lines = f"chr(10) || {line} || {state}.t" if line else f"{state}.t"
+    return f"{{'c': {state}.c + {cost}, 'a': '{letter}' || {state}.a, 't': {lines}}}"
+
+
+def row_edits(state: str, follows: str, after: str, system: bool = False) -> str:
+    """The SQL of the best edit of a row in a state."""
+    keeps = f"WHEN free AND ini = '{follows[0]}' THEN {edited(after, 'cut', 'K', "role || ':' || text")}"
+    if system:
+        keeps += f" WHEN free AND ini = 's' THEN {edited('s', 'cut', 'K', "role || ':' || text")}"
+    rerole = edited(after, "2 + cut", "R", f"'{follows}:' || text")
+    return f"least({edited(state, '3', 'D')}, CASE WHEN free THEN {rerole} END, CASE {keeps} END)"
+
+
+#: States: z nothing yet, s after system, u after user, a after assistant. The end of the rows, a row's own edit, inserts before it.
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+filled AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (
+  SELECT f.*, {crc_of("list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))")} % 20 AS kind
+  FROM filled f, crc_table
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kinds WHERE kind <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS full_text
+  FROM damaged
+),
+judged AS (
+  SELECT *, CASE WHEN full_text = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(full_text, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+),
+steps AS (
+  SELECT conv_id, n AS i, {{'c': 0, 'a': '', 't': ''}} AS z, {{'c': 4, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s,
+    {{'c': 2, 'a': 'I', 't': chr(10) || 'assistant:'}} AS u, {{'c': 0, 'a': '', 't': ''}} AS a
+  FROM (SELECT DISTINCT conv_id, n FROM judged)
+  UNION ALL
+  SELECT conv_id, i - 1, least(z, {edited('u', '2', 'I', "'user:'")}, {edited('ua', '2', 'I', "'user:'")}), least(s, {edited('u', '2', 'I', "'user:'")}, {edited('ua', '2', 'I', "'user:'")}),
+    least(u, ua), least(a, {edited('u', '2', 'I', "'user:'")})
+  FROM (
+    SELECT *, {edited('a', '2', 'I', "'assistant:'")} AS ua FROM (
+      SELECT e.conv_id, e.i, {row_edits('z', 'user', 'u', True)} AS z, {row_edits('s', 'user', 'u')} AS s, {row_edits('u', 'assistant', 'a')} AS u, {row_edits('a', 'user', 'u')} AS a
+      FROM steps e JOIN (SELECT *, fault NOT IN ('blank', 'duplicate') AS free, CAST(fault = 'truncated' AS INT) AS cut FROM judged) j ON e.conv_id IS NOT DISTINCT FROM j.conv_id AND e.i = j.i
+    )
+  )
+),
+best AS (SELECT conv_id, CAST(z.c AS BIGINT) AS cost, z.a AS audit, substr(z.t, 2) AS lines FROM steps WHERE i = 0)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON c.conv_id IS NOT DISTINCT FROM f.conv_id LEFT JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_benchmark_decontamination": OP1_SQL,
@@ -228,4 +313,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_formatting": OP6_SQL,
         "op7_source_mixing": OP7_SQL,
         "op10_quality_rules": OP10_SQL,
+        "op13_conversation_repair": OP13_SQL,
     }
