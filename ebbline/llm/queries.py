@@ -13,9 +13,10 @@ from ebbline.llm.html import extract_main_text
 from ebbline.llm.lm import score_documents
 from ebbline.llm.minhash import near_duplicates
 from ebbline.llm.mixing import mix
-from ebbline.llm.repair import COUNTS, damaged, repair_conversations
 from ebbline.llm.quality import BASE_RULES, quality_report
+from ebbline.llm.repair import COUNTS, damaged, repair_conversations
 from ebbline.llm.sharding import shard_documents
+from ebbline.llm.spelling import spelling_variants
 from ebbline.llm.substring import substring_dedup
 from ebbline.llm.suffix import suffix_array_dedup
 
@@ -79,6 +80,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     found = repair_conversations(damaged(turns)).withColumnRenamed("conv_id", "repaired_id")
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_class_lm_scoring,
         op9_vector_sharding,
         op10_quality_rules,
+        op12_spelling_variants,
         op13_conversation_repair,
     )
     return {f.__name__: f for f in every}
@@ -254,6 +260,36 @@ def row_edits(state: str, follows: str, after: str, system: bool = False) -> str
     return f"least({edited(state, '3', 'D')}, CASE WHEN free THEN {rerole} END, CASE {keeps} END)"
 
 
+#: UTF-8 bytes of a text whose letters are ASCII or U+00C0 to U+00FF.
+LATIN_BYTES = "flatten(list_transform(string_split(k, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) - 64 AS BIGINT)] END))"
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY 1, 2
+),
+hashed AS (SELECT run, n, {crc_of("LATIN")} AS h FROM runs, crc_table),
+v AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2
+),
+del AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS k FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM del a JOIN del b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, v.word, v.n FROM del a JOIN v ON a.k = v.word
+  UNION SELECT v.word, v.n, a.word, a.n FROM del a JOIN v ON a.k = v.word
+),
+best AS (SELECT word, count(*) AS n_near, min({{'k': -near_n, 'w': near}}) AS b FROM near GROUP BY word),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.k >= 10 * v.n THEN b.w END AS form, CASE WHEN -b.k >= 10 * v.n THEN -b.k END AS form_n
+  FROM v LEFT JOIN best ON v.word = best.word
+),
+walk AS (SELECT word, word AS at, form AS next FROM forms UNION ALL SELECT w.word, f.word, f.form FROM walk w JOIN forms f ON w.next = f.word)
+SELECT f.word, form, w.at AS root, n, n_near, form_n FROM forms f JOIN walk w ON f.word = w.word AND w.next IS NULL
+""".replace("LATIN", LATIN_BYTES)
+
 #: States: z nothing yet, s after system, u after user, a after assistant. The end of the rows, a row's own edit, inserts before it.
 OP13_SQL = f"""
 WITH RECURSIVE {CRC_TABLE},
@@ -313,5 +349,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_formatting": OP6_SQL,
         "op7_source_mixing": OP7_SQL,
         "op10_quality_rules": OP10_SQL,
+        "op12_spelling_variants": OP12_SQL,
         "op13_conversation_repair": OP13_SQL,
     }
