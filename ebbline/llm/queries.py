@@ -19,6 +19,7 @@ from ebbline.llm.sharding import shard_documents
 from ebbline.llm.spelling import spelling_variants
 from ebbline.llm.substring import substring_dedup
 from ebbline.llm.suffix import suffix_array_dedup
+from ebbline.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +81,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -104,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_class_lm_scoring,
         op9_vector_sharding,
         op10_quality_rules,
+        op11_toxicity,
         op12_spelling_variants,
         op13_conversation_repair,
     )
