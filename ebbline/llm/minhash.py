@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ebbline.llm.graph import components
 from ebbline.llm.kernels import Prefixes, mix, slices, utf8, word_hashes
 from ebbline.llm.spans import binaries
-from ebbline.llm.storage import discard, materialize
+from ebbline.llm.storage import broadcast_up_to, discard, materialize
 
 #: Values that a sketch retains.
 SKETCH = 64
@@ -285,6 +285,8 @@ def verified_pairs(percent: int):
     return run
 
 
+#: Bytes (as JSON) of the ids that are broadcast to fetch their texts.
+BROADCAST_IDS = 64 << 20
 #: Sketches whose lists a task joins before it passes them on, and entries from which on it passes on a list's hub alone.
 HELD = 20_000
 LONG_LIST = 64
@@ -341,7 +343,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
         return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(estimated_pairs(k, least), "a long, b long")
 
     def texts(ids: DataFrame) -> DataFrame:
-        return docs.withColumnRenamed("doc_id", "rep").join(ids, "rep")
+        """Texts by rep; ids: a written table. All texts are shuffled only where the ids have more than BROADCAST_IDS bytes."""
+        return docs.withColumnRenamed("doc_id", "rep").join(broadcast_up_to(ids, BROADCAST_IDS), "rep")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "estimated")
@@ -371,7 +374,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
         hard = materialize(hard.union(near).distinct(), "hard")
     number = hard.count()
     if number:
-        with_text = texts(labelled(hard, labels, "rep").withColumnRenamed("rep_component", "component"))
+        with_text = texts(materialize(labelled(hard, labels, "rep").withColumnRenamed("rep_component", "component"), "labelled"))
         often = with_text.select("text").mapInArrow(repeated_shingles(shingle), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > max(OFTEN, number / FREQUENT)).toPandas()
         names = often["shingle"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(names)
