@@ -286,7 +286,7 @@ def verified_pairs(percent: int):
 
 
 #: Bytes (as JSON) of the ids that are broadcast to fetch their texts.
-BROADCAST_IDS = 64 << 20
+BROADCAST_IDS = 32 << 20
 #: Sketches whose lists a task joins before it passes them on, and entries from which on it passes on a list's hub alone.
 HELD = 20_000
 LONG_LIST = 64
