@@ -35,36 +35,38 @@ def deflated_sharpe(returns: DataFrame, trials: int = 20, trials_sd: float | Non
     return out.withColumn("verdict", F.when(F.col("dsr") >= 0.95, "credible").when(F.col("dsr") >= 0.5, "inconclusive").otherwise("likely overfit"))
 
 
-def overfitting_splits(pnl: DataFrame, blocks: int = 16) -> DataFrame:
-    """Combinatorially symmetric cross-validation. pnl: t (from 0, gapless), trial, pnl. One row per choice of half of the
+def overfitting_splits(pnl: DataFrame, blocks: int = 16, by: tuple[str, ...] = ()) -> DataFrame:
+    """Combinatorially symmetric cross-validation. pnl: by..., t (from 0, gapless), trial, pnl. One row per group of `by` and choice of half of the
     blocks (bit b of choice: block b is inside): best trial inside, its rank outside, logit. Sums per block and trial are all that is combined, so the cost
-    beyond one pass doesn't depend on the rows."""
+    beyond one pass doesn't depend on the rows; the choices are 2 ** blocks numbers, so more than 20 blocks are refused."""
+    if blocks > 20:
+        raise ValueError("20 blocks at most")
     spark = pnl.sparkSession
-    length = pnl.agg((F.max("t") + 1).alias("length"))
-    rows = pnl.join(F.broadcast(length))
+    length = F.max("t").over(Window.partitionBy(*by)) + 1 if by else None
+    rows = pnl.withColumn("length", length) if by else pnl.join(F.broadcast(pnl.agg((F.max("t") + 1).alias("length"))))
     # Bounds are floor(i * length / blocks), so a row's block is the last whose bound isn't above t.
     bound = lambda i: F.floor(F.lit(i) * F.col("length") / blocks)
     block = F.lit(0)
     for i in range(1, blocks):
         block = F.when(F.col("t") >= bound(i), i).otherwise(block)
-    moments = rows.groupBy(block.alias("block"), "trial").agg(F.count("*").alias("n"), F.sum("pnl").alias("s"), F.sum(F.col("pnl") * F.col("pnl")).alias("ss"))
+    moments = rows.groupBy(*by, block.alias("block"), "trial").agg(F.count("*").alias("n"), F.sum("pnl").alias("s"), F.sum(F.col("pnl") * F.col("pnl")).alias("ss"))
     choices = spark.range(2**blocks).filter(F.bit_count("id") == blocks // 2)
     choices = choices.select(F.col("id").alias("choice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).withColumn("inside", F.expr("shiftright(choice, block) & 1") == 1)
-    both = moments.join(F.broadcast(choices), "block").groupBy("choice", "trial", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    both = moments.join(choices, "block").groupBy(*by, "choice", "trial", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     variance = (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     both = both.withColumn("sharpe", F.coalesce(F.when(variance > 1e-300, F.col("s") / F.col("n") / F.sqrt(variance)), F.lit(0.0)))
-    pair = both.groupBy("choice", "trial").agg(F.max(F.when(F.col("inside"), F.col("sharpe"))).alias("inside"), F.max(F.when(~F.col("inside"), F.col("sharpe"))).alias("outside"))
-    by_choice = Window.partitionBy("choice")
+    pair = both.groupBy(*by, "choice", "trial").agg(F.max(F.when(F.col("inside"), F.col("sharpe"))).alias("inside"), F.max(F.when(~F.col("inside"), F.col("sharpe"))).alias("outside"))
+    by_choice = Window.partitionBy(*by, "choice")
     ranked = pair.withColumns({
         "place": F.row_number().over(by_choice.orderBy(F.desc("inside"), "trial")), "trials": F.count("*").over(by_choice),
-        "rank": F.rank().over(by_choice.orderBy("outside")) + (F.count("*").over(Window.partitionBy("choice", "outside")) - 1) / 2.0,
+        "rank": F.rank().over(by_choice.orderBy("outside")) + (F.count("*").over(Window.partitionBy(*by, "choice", "outside")) - 1) / 2.0,
     })
     best = ranked.filter("place = 1").withColumn("w", F.col("rank") / (F.col("trials") + 1))
-    return best.select("choice", F.col("trial").alias("best_trial"), "rank", F.ln(F.col("w") / (1 - F.col("w"))).alias("logit"))
+    return best.select(*by, "choice", F.col("trial").alias("best_trial"), "rank", F.ln(F.col("w") / (1 - F.col("w"))).alias("logit"))
 
 
-def overfitting_probability(pnl: DataFrame, blocks: int = 16) -> DataFrame:
-    s = overfitting_splits(pnl, blocks)
+def overfitting_probability(pnl: DataFrame, blocks: int = 16, by: tuple[str, ...] = ()) -> DataFrame:
+    s = overfitting_splits(pnl, blocks, by).groupBy(*by)
     return s.agg(F.avg((F.col("logit") < 0).cast("int")).alias("pbo"), F.count("*").alias("n_combinations"), F.percentile("logit", F.lit(0.5)).alias("median_logit"))
 
 

@@ -263,27 +263,26 @@ def quantum_well(returns: DataFrame, grid: int = 221) -> DataFrame:
     return per_series(returns, fit, "asset string, nu double, scale double, omega double, confinement double, z double, gap double", least=120)
 
 
-def backtest_engine(signals: DataFrame, capital: float = 10_000.0, cost: float = 0.0015, kelly: float = 0.25, stop: float = 0.20, threshold: float = 0.55) -> DataFrame:
-    """asset, date, capital, position, r: a path with a latched stop and a cost at each change. signals: asset, date, r, prediction, p_buy, p_sell."""
+def backtest_engine(signals: DataFrame, capital: float = 10_000.0, cost: float = 0.0015, kelly: float = 0.25, stop: float = 0.20, threshold: float = 0.55, by: tuple[str, ...] = ("asset",)) -> DataFrame:
+    """by..., date, capital, position, r: a path with a latched stop and a cost at each change. signals: by..., date, r, prediction, p_buy, p_sell;
+    where they have columns `kelly` and `threshold`, those of a group's rows hold instead of the parameters."""
+    own = [c for c in ("kelly", "threshold") if c in signals.columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
+        share, limit = (float(pdf[c].iloc[0]) if c in own else given for c, given in (("kelly", kelly), ("threshold", threshold)))
         money, position, stopped, rows = capital, 0, False, []
         for r, pred, buy, sell in zip(pdf["r"], pdf["prediction"], pdf["p_buy"], pdf["p_sell"], strict=True):
             stopped = stopped or money <= capital * (1 - stop)
             position = 0 if stopped else position
-            wanted = 0 if stopped else 1 if pred == 1 and buy >= threshold else -1 if pred == -1 and sell >= threshold else 0
+            wanted = 0 if stopped else 1 if pred == 1 and buy >= limit else -1 if pred == -1 and sell >= limit else 0
             if wanted != position:
                 money *= 1 - cost
                 position = wanted
-            gain = position * kelly * r
+            gain = position * share * r
             money *= math.exp(gain)
             rows.append((money, position, gain))
-        out = pd.DataFrame(rows, columns=["capital", "position", "r"])
-        out.insert(0, "date", pdf["date"].to_numpy())
-        out.insert(0, "asset", pdf["asset"].iloc[0])
-        return out
-
-    return signals.groupBy("asset").applyInPandas(run, "asset string, date date, capital double, position int, r double")
-
+        return pdf[[*by, "date"]].assign(**dict(zip(("capital", "position", "r"), zip(*rows), strict=True)))
 
+    names = ", ".join(f"{c} {t}" for c, t in signals.dtypes if c in by)
+    return signals.groupBy(*by).applyInPandas(run, f"{names}, date date, capital double, position int, r double").select(*by, "date", "capital", "position", "r")

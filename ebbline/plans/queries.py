@@ -588,19 +588,15 @@ def long_signal(spark, d):
     return econo.long_signal(econo.hurst_consensus(ts.log_returns(b)), models.bubble(b), risk.asset_statistics(b))
 
 
-#: Rows between two trainings of the registered walk-forward; the operator's default is 21, which takes three times as long.
-RETRAINED_EVERY = 63
-
-
 @query
 def walk_forward_model(spark, d):
-    """Predictions of a forest that is trained on the past only."""
-    return learning.walk_forward(learning.labelled(market.damped_bars(spark, d)), step=RETRAINED_EVERY)
+    """Predictions of forests that are trained on the past only, anew each 21 rows."""
+    return learning.walk_forward(learning.labelled(market.damped_bars(spark, d)))
 
 
 @query
 def model_backtest(spark, d):
-    return models.backtest_engine(learning.walk_forward(learning.labelled(market.damped_bars(spark, d)), step=RETRAINED_EVERY))
+    return models.backtest_engine(learning.walk_forward(learning.labelled(market.damped_bars(spark, d))))
 
 
 @query

@@ -260,12 +260,12 @@ SQL["hurst_consensus"] = f"""WITH h AS ({LONG_RS}), d AS ({o.SQL['detrended_fluc
 SELECT asset, round(hurst, 5) AS hurst, round(alpha, 5) AS alpha, round(consensus, 5) AS consensus, CASE WHEN consensus < 0.40 THEN 'strong reversion' WHEN consensus < 0.48 THEN 'mild reversion' WHEN consensus < 0.52 THEN 'random walk' WHEN consensus < 0.62 THEN 'mild persistence' ELSE 'strong persistence' END AS reading FROM c"""
 
 
-#: Rows looked back and least move of each configuration of the robustness grid.
+#: Rows looked back and least move of each configuration of the grid of momentum rules.
 GRID = [(days, limit) for days in (5, 10, 15, 21, 42, 63) for limit in (0.0, 0.005, 0.01)]
 
 
 @query
-def robustness_grid(spark, d):
+def momentum_grid(spark, d):
     """Probability that the best of a grid of momentum rules is overfitted; days without a position earn nothing."""
     r = damped_returns(spark, d).filter("asset = 'N'")
     frame = lambda days: rolling.series().rowsBetween(-days, -1)
@@ -285,7 +285,15 @@ def grid_sql() -> str:
     return start + ", mb AS" + o.PBO.split(", mb AS", 1)[1] + " SELECT round(avg(CAST(logit < 0 AS INTEGER)), 6) AS pbo, count(*) AS n_combinations, round(quantile_cont(logit, 0.5), 6) AS median_logit FROM sp"
 
 
-SQL["robustness_grid"] = grid_sql()
+SQL["momentum_grid"] = grid_sql()
+
+
+@query
+def robustness_grid(spark, d):
+    """By asset, the probability that the best of 18 walk-forward configurations (confidence, label horizon, stake) is overfitted."""
+    pnl = learning.model_grid(market.damped_bars(spark, d))
+    return rounded(diagnostics.overfitting_probability(pnl, blocks=10, by=("asset",)))
+
 
 SQL["shrunk_covariance"] = f"""WITH {o.RETS}{o.BOOK}, c AS (SELECT asset, date, r - avg(r) OVER (PARTITION BY asset) AS x FROM aligned),
 s AS (SELECT a.asset AS i, b.asset AS j, count(*) AS n, avg(a.x * b.x) AS s, avg(a.x * a.x * b.x * b.x) AS s4 FROM c a JOIN c b ON a.date = b.date GROUP BY 1, 2),
