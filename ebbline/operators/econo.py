@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.functions.frames import rolling, series
+from ebbline.functions.linear import cross_products, let, remainders, without
+from ebbline.functions.stats import normal_cdf
 
 
 def numbered(returns: DataFrame) -> DataFrame:
@@ -93,6 +95,67 @@ def pair_spreads(bars: DataFrame) -> DataFrame:
     return out.select("a", "b", "n", "hedge", half.alias("half_life"), "z", signal.alias("signal"))
 
 
+#: MacKinnon's (1994) response surface for a constant and two series. From the least to the greatest statistic that has a
+#: p-value between 0 and 1, a quadratic up to SURFACE_STAR and a cubic beyond, both through the normal distribution.
+SURFACE_MIN, SURFACE_STAR, SURFACE_MAX = -18.86, -2.62, 0.92
+SURFACE_SMALL, SURFACE_LARGE = (2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377)
+
+
+def surface_p_value(t: Column) -> Column:
+    """P-value of an Engle-Granger statistic of two series. What is used more than once is bound, so that a filter on the
+    result that is pushed below the statistic doesn't compute it anew for each use."""
+    polynomial = lambda t, cs: sum((c * F.pow(t, F.lit(float(k))) for k, c in enumerate(cs)), F.lit(0.0))
+    inside = lambda t: let(F.when(t <= SURFACE_STAR, polynomial(t, SURFACE_SMALL)).otherwise(polynomial(t, SURFACE_LARGE)), normal_cdf)
+    return let(t, lambda t: F.when(t > SURFACE_MAX, 1.0).when(t < SURFACE_MIN, 0.0).otherwise(inside(t)))
+
+
+def augmented_dickey_fuller(series: DataFrame, by: list[str]) -> DataFrame:
+    """by..., lag, statistic: does e return to zero (no constant), with as many lagged changes as AIC asks for.
+
+    series: by..., i (from 0, gapless), n, e. Lags up to 12 (n / 100) ** (1/4) are tried on the rows that have all of them: one
+    aggregate of cross products serves every lag, as eliminating the regressors in turn leaves the squared residuals of each.
+    The statistic is then of the chosen lag, on all rows that have it."""
+    most = F.least(F.ceil(12 * F.pow(F.col("n") / 100, F.lit(0.25))), F.floor(F.col("n") / 2) - 1).cast("int")
+    w = Window.partitionBy(*by).orderBy("i")
+    rows = series.withColumns({"before": F.lag("e").over(w), "most": most}).withColumn("d", F.col("e") - F.col("before"))
+    longest = rows.agg(F.max("most")).first()[0] or 0
+    rows = rows.withColumn("past", F.reverse(F.collect_list("d").over(w.rowsBetween(-longest, -1)))).filter("d is not null")
+    first = rows.filter("i > most").select(*by, F.concat(F.array("before"), F.slice("past", F.lit(1), F.col("most")), F.array("d")).alias("v"))
+    tried = cross_products(first, by, "v").withColumn("left", remainders(F.col("m"), F.sequence(F.lit(0), F.size("m") - 2)))
+    criteria = F.transform(F.slice("left", 2, F.size("left")), lambda s, p: F.col("k") * F.ln(s / F.col("k")) + 2 * (p + 1))
+    chosen = tried.select(*by, (F.array_position(criteria, F.array_min(criteria)) - 1).cast("int").alias("lag"))
+    again = rows.join(chosen, by).filter("i > lag").select(*by, F.concat(F.slice("past", F.lit(1), F.col("lag")), F.array("before", "d")).alias("v"))
+    last = cross_products(again, by, "v").withColumn("lag", F.size("m") - 2)
+    ends = F.slice(without(F.col("m"), F.filter(F.sequence(F.lit(0), F.col("lag")), lambda k: k < F.col("lag"))), F.col("lag") + 1, 2)
+
+    def statistic(m: Column) -> Column:
+        q, r, s = (F.element_at(F.get(m, F.lit(i)), j) for i, j in ((0, -2), (0, -1), (1, -1)))
+        return r / q / F.sqrt((s - r * r / q) / (F.col("k") - F.col("lag") - 1) / q)
+
+    return last.select(*by, "lag", let(ends, statistic).alias("statistic"))
+
+
+def cointegrated_pairs(bars: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Engle-Granger for each pair of assets (a < b): a regression of ln a on ln b and the test of its residuals, with half-life, last
+    z-score and signal of the spread. Pairs need ten days in common."""
+    p = bars.select("asset", "date", F.ln("price").alias("y"))
+    a, b = p.select(F.col("asset").alias("a"), "date", "y"), p.select(F.col("asset").alias("b"), "date", F.col("y").alias("x"))
+    both = a.join(b, "date").filter("a < b")
+    fit = both.groupBy("a", "b").agg(F.regr_slope("y", "x").alias("hedge"), F.regr_intercept("y", "x").alias("level"), F.count("*").alias("n")).filter("n >= 10")
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("date")) - 1
+    spread = both.join(fit, ["a", "b"]).select("a", "b", "n", place.alias("i"), (F.col("y") - F.col("hedge") * F.col("x") - F.col("level")).alias("e"))
+    tests = augmented_dickey_fuller(spread, ["a", "b"]).withColumn("p_value", surface_p_value(F.col("statistic")))
+    out = pair_spreads(bars).drop("signal").join(tests, ["a", "b"]).withColumn("cointegrated", F.col("p_value") < alpha)
+    signal = F.when(~F.col("cointegrated"), "none: not cointegrated").when(F.coalesce(F.col("half_life"), F.lit(1e9)) > 252, "none: slow")
+    signal = signal.when(F.col("z") > 2, F.concat(F.lit("sell "), "a", F.lit(", buy "), "b")).when(F.col("z") < -2, F.concat(F.lit("buy "), "a", F.lit(", sell "), "b")).otherwise("none: neutral")
+    return out.withColumn("signal", signal)
+
+
+def best_pairs(pairs: DataFrame, k: int = 5) -> DataFrame:
+    """The k cointegrated pairs of least p-value (ties: least statistic, then names)."""
+    return pairs.filter("cointegrated").orderBy("p_value", "statistic", "a", "b").limit(k)
+
+
 def histogram(returns: DataFrame, bins: int = 100) -> DataFrame:
     """asset, bin, centre, density; the last bin holds its right end."""
     edges = returns.groupBy("asset").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ebbline.operators import diagnostics, learning, micro, reports, rolling, stress
+from ebbline.operators import diagnostics, econo, learning, micro, reports, rolling, stress
 from ebbline.operators import series as ts
 from ebbline.plans import oracles as o
 from ebbline.plans.queries import SCENARIOS, book, damped_returns, event_trades, factor_panel, query, returns, rounded
@@ -325,3 +325,47 @@ def labelled_rows(spark, d):
 
 SQL["labelled_rows"] = f"""WITH f AS ({o.SQL['technical_features']}), {o.DAMPED}, l AS (SELECT asset, date, CAST({o.BARRIER.replace('0.025', '0.01')} AS INTEGER) AS label FROM damped WINDOW w AS (PARTITION BY asset ORDER BY date))
 SELECT f.asset, label, count(*) AS n FROM f JOIN l ON f.asset = l.asset AND f.date = l.date WHERE {' AND '.join(f'{c} IS NOT NULL' for c in rolling.FEATURES)} GROUP BY 1, 2"""
+
+
+@query
+def cointegrated_pairs(spark, d):
+    """Engle-Granger tests of all pairs of the order panel's assets."""
+    return rounded(econo.cointegrated_pairs(market.daily_orders(spark, d)), 5)
+
+
+@query
+def best_pairs(spark, d):
+    return rounded(econo.best_pairs(econo.cointegrated_pairs(market.daily_orders(spark, d))), 5)
+
+
+#: A matrix as a list of lists; the recursion eliminates a regressor a step and keeps what each leaves unexplained.
+def eliminations(name: str, source: str, steps: str, left: str) -> str:
+    sweep = "list_transform(m, lambda row: list_transform(list_zip(row, m[s + 1]), lambda x: x[1] - row[s + 1] * x[2] / m[s + 1][s + 1]))"
+    return f"""{name} AS (SELECT a, b, k, lag, 0 AS s, m, [m[-1][-1]] AS l FROM {source}
+  UNION ALL SELECT a, b, k, lag, s + 1, {sweep}, list_append(l, ({sweep})[-1][-1]) FROM {name} WHERE s < {steps}),
+{left} AS (SELECT a, b, k, lag, m, l FROM {name} WHERE s = {steps})"""
+
+
+def crossed(name: str, source: str) -> str:
+    return f"""{name} AS (SELECT a, b, max(k) AS k, max(lag) AS lag, list(r ORDER BY i) AS m FROM (
+  SELECT a, b, i, max(lag) AS lag, max(k) AS k, list(s ORDER BY j) AS r FROM (
+    SELECT a, b, i, j, max(lag) AS lag, count(*) AS k, sum(v[i] * v[j]) AS s FROM (SELECT a, b, lag, v, unnest(range(1, len(v) + 1)) AS i FROM {source}) x, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS j) GROUP BY 1, 2, 3, 4)
+  GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+PAIRS = o.SQL["pair_spreads"].replace(o.BARS, o.ORDERS).replace("FROM bars", "FROM panel").replace("WITH ", "", 1)
+PAIR_TESTS = f"""WITH RECURSIVE {PAIRS.rsplit(' SELECT a, b, n, round(hedge', 1)[0]}, e AS (SELECT a, b, date, s AS e, s - s0 AS d, s0 AS before, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY a, b) AS n,
+  list(s - s0) OVER (PARTITION BY a, b ORDER BY date ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING) AS past FROM l WINDOW w AS (PARTITION BY a, b ORDER BY date)),
+g AS (SELECT *, CAST(least(ceil(12 * pow(n / 100, 0.25)), n // 2 - 1) AS INTEGER) AS most FROM e WHERE n >= 10),
+v1 AS (SELECT a, b, most AS lag, list_concat([before], list_reverse(past)[1:most], [d]) AS v FROM g WHERE i > most),
+{crossed('c1', 'v1')}, {eliminations('e1', 'c1', 'lag + 1', 'f1')},
+ch AS (SELECT a, b, list_position(c, list_min(c)) - 1 AS lag FROM (SELECT a, b, list_transform(list_zip(l[2:], range(1, lag + 2)), lambda x: k * ln(x[1] / k) + 2 * x[2]) AS c FROM f1)),
+v2 AS (SELECT g.a, g.b, ch.lag, list_concat(CASE WHEN ch.lag > 0 THEN list_reverse(past)[1:ch.lag] ELSE [] END, [before, d]) AS v FROM g JOIN ch ON g.a = ch.a AND g.b = ch.b WHERE i > ch.lag),
+{crossed('c2', 'v2')}, {eliminations('e2', 'c2', 'lag', 'f2')},
+st AS (SELECT a, b, lag, m[-2][-1] / m[-2][-2] / sqrt((m[-1][-1] - m[-2][-1] * m[-2][-1] / m[-2][-2]) / (k - lag - 1) / m[-2][-2]) AS t FROM f2),
+pv AS (SELECT *, CASE WHEN t > 0.92 THEN 1.0 WHEN t < -18.86 THEN 0.0 ELSE {{cdf}} END AS p FROM (SELECT *, CASE WHEN t <= -2.62 THEN 2.92 + 1.5012 * t + 0.039796 * t * t ELSE 2.1945 + 0.64695 * t - 0.29198 * t * t - 0.042377 * t * t * t END AS y FROM st)),
+al AS (SELECT o.a, o.b, n, hedge, CASE WHEN pull < 0 THEN -ln(2.0) / pull END AS half_life, z, lag, t, p FROM o JOIN pv ON o.a = pv.a AND o.b = pv.b)
+SELECT a, b, n, round(hedge, 5) AS hedge, round(half_life, 5) AS half_life, round(z, 5) AS z, CAST(lag AS INTEGER) AS lag, round(t, 5) AS statistic, round(p, 5) AS p_value, p < 0.05 AS cointegrated,
+  CASE WHEN p >= 0.05 THEN 'none: not cointegrated' WHEN coalesce(half_life, 1e9) > 252 THEN 'none: slow' WHEN z > 2 THEN 'sell ' || a || ', buy ' || b WHEN z < -2 THEN 'buy ' || a || ', sell ' || b ELSE 'none: neutral' END AS signal FROM al"""
+SQL["cointegrated_pairs"] = PAIR_TESTS.replace("{cdf}", o.cdf("y"))
+SQL["best_pairs"] = SQL["cointegrated_pairs"] + " WHERE p < 0.05 ORDER BY p, t, a, b LIMIT 5"
