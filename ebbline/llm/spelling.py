@@ -22,8 +22,8 @@ from ebbline.llm.text import LOWER, ascii_lower
 
 #: Bytes of all filters that are broadcast at once; bits for each word; longer words share one shard.
 FILTER_BYTES, BITS_PER_WORD, LONGEST = 32 << 20, 16, 64
-#: Edits that a task holds at once.
-EDITS = 1 << 20
+#: Edits that a task holds at once; words of a task.
+EDITS, TASK_WORDS = 1 << 20, 50_000
 MIN_LENGTH, MIN_COUNT, RATIO = 7, 2, 10
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_SHAPE = "shard int, slice int, block long, w0 long, w1 long, w2 long, w3 long"
@@ -194,11 +194,13 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b) of all words exactly one inserted, deleted or replaced code point apart, each pair once; vocabulary: word (distinct), n, written already."""
     spark = vocabulary.sparkSession
     shard = F.least(F.char_length("word"), F.lit(LONGEST))
-    sizes = sized({r.shard: r.n for r in vocabulary.groupBy(shard.alias("shard")).agg(F.count("*").alias("n")).collect()})
+    counts = {r.shard: r.n for r in vocabulary.groupBy(shard.alias("shard")).agg(F.count("*").alias("n")).collect()}
+    sizes = sized(counts)
     letters = vocabulary.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).filter("c <> ''").distinct().collect()
     letters = np.array(sorted(ord(r.c) for r in letters), np.uint32)
     found = None
     words = vocabulary.select("word")
+    tasks = -(-sum(counts.values()) // TASK_WORDS) or 1
     if sizes:
         blocks = words.mapInArrow(filter_blocks(sizes), BLOCK_SHAPE).groupBy("shard", "slice", "block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(4)])
         blocks = materialize(blocks, "filters")
@@ -208,7 +210,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
         for key, part in chosen.toArrow().to_pandas().groupby(["shard", "slice"]):
             filters[tuple(int(x) for x in key)][part["block"].to_numpy()] = part[["w0", "w1", "w2", "w3"]].to_numpy().view(np.uint64)
         sent = spark.sparkContext.broadcast({k: v.tobytes() for k, v in filters.items()})
-        passed = materialize(vocabulary.select("word", "n").mapInArrow(candidates(sizes, sent, letters), "word string, n long, edit string"), "edits")
+        passed = materialize(vocabulary.select("word", "n").repartition(tasks).mapInArrow(candidates(sizes, sent, letters), "word string, n long, edit string"), "edits")
         sent.destroy()
         found = passed if found is None else found.unionByName(passed)
     if found is None:
