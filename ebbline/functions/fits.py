@@ -37,14 +37,14 @@ def nelder_mead(f, start, step=0.1, rounds=400, tol=1e-10):
     return points[best], float(values[best])
 
 
-def student_fit(x: np.ndarray) -> tuple[float, float, float]:
-    """Location, scale and degrees of freedom of greatest likelihood: weighted means for given nu, search over ln nu."""
+def student_fit(x: np.ndarray, centre: float | None = None) -> tuple[float, float, float]:
+    """Location (centre, if given), scale and degrees of freedom of greatest likelihood: weighted means for given nu, search over ln nu."""
 
     def inner(nu):
-        loc, s2 = float(np.median(x)), float(np.var(x)) * 0.6 + 1e-300
+        loc, s2 = float(np.median(x)) if centre is None else centre, float(np.var(x)) * 0.6 + 1e-300
         for _ in range(60):
             w = (nu + 1) / (nu + (x - loc) ** 2 / s2)
-            new = float((w * x).sum() / w.sum())
+            new = float((w * x).sum() / w.sum()) if centre is None else centre
             s2_new = float((w * (x - new) ** 2).mean()) + 1e-300
             done = abs(s2_new - s2) < 1e-10 * s2
             loc, s2 = new, s2_new

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ebbline.operators import diagnostics, econo, learning, micro, reports, rolling, stress
+from ebbline.operators import diagnostics, econo, learning, micro, quantum, reports, rolling, stress
 from ebbline.operators import series as ts
 from ebbline.plans import oracles as o
 from ebbline.plans.queries import SCENARIOS, book, damped_returns, event_trades, factor_panel, query, returns, rounded
@@ -369,3 +369,9 @@ SELECT a, b, n, round(hedge, 5) AS hedge, round(half_life, 5) AS half_life, roun
   CASE WHEN p >= 0.05 THEN 'none: not cointegrated' WHEN coalesce(half_life, 1e9) > 252 THEN 'none: slow' WHEN z > 2 THEN 'sell ' || a || ', buy ' || b WHEN z < -2 THEN 'buy ' || a || ', sell ' || b ELSE 'none: neutral' END AS signal FROM al"""
 SQL["cointegrated_pairs"] = PAIR_TESTS.replace("{cdf}", o.cdf("y"))
 SQL["best_pairs"] = SQL["cointegrated_pairs"] + " WHERE p < 0.05 ORDER BY p, t, a, b LIMIT 5"
+
+
+@query
+def propagator(spark, d):
+    """Where the last five days' move of each asset will be in 1, 5 and 20 days, by its potential well."""
+    return rounded(quantum.propagator(returns(spark, d)), 4)
