@@ -116,23 +116,6 @@ def monte_carlo_var(moments: DataFrame, means: DataFrame, weights: DataFrame, co
     return tail(paths, confidence).select("n", "var", "es")
 
 
-def es_bootstrap(backtest: DataFrame, confidence: float = 0.975, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """asset, z2, p_value, critical, reject: days resampled with replacement; p is the share of draws that aren't below 0."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        days = len(pdf)
-        term = np.where(pdf["exception"], pdf["realised_return"] / pdf["es_forecast"], 0.0)
-        z2 = 1 + term.sum() / (days * (1 - confidence)) if pdf["exception"].any() else 0.0
-        rng = np.random.default_rng(seed)
-        sums = np.array([term[rng.integers(0, days, days)].sum() for _ in range(draws)])
-        z = 1 + sums / (days * (1 - confidence))
-        p = float((z >= 0).mean()) if z2 < 0 else 1.0
-        return pd.DataFrame([[pdf["asset"].iloc[0], z2, p, float(np.quantile(z, 0.05)), p < 0.05]], columns=["asset", "z2", "p_value", "critical", "reject"])
-
-    return backtest.groupBy("asset").applyInPandas(run, "asset string, z2 double, p_value double, critical double, reject boolean")
-
-
 def shrunk_covariance(returns: DataFrame) -> DataFrame:
     """asset_i, asset_j, covariance shrunk to a scaled identity (Ledoit and Wolf, 2004); sums of squares of pairs come from one aggregate."""
     from ebbline.operators.series import aligned

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbline.functions.linear import let
 from ebbline.functions.stats import PERIODS, normal_quantile
 from ebbline.operators import backtest, risk, stress
-from ebbline.operators.econo import numbered
 
 
 def quick_var(returns: DataFrame, confidence: float = 0.95) -> DataFrame:
@@ -26,39 +26,31 @@ def ewma_forecast(returns: DataFrame, horizons: list[int], decay: float = 0.94)
 
 
 def rolling_filtered_backtest(returns: DataFrame, window: int = 250, confidence: float = 0.99, decay: float = 0.94, seed_rows: int = 20) -> DataFrame:
-    """As backtest.rolling_backtest, by filtered simulation: each day's window gets an EWMA path of its own.
-
-    A day stands `window` times, once for each later day that it helps to forecast; the variance before row k of a window
-    is decay**k * (seed + (1 - decay) * sum of r_j**2 / decay**(j + 1) over j < k), a running sum.
-    """
-    rows = numbered(returns)
-    past = rows.select("asset", "r", F.explode(F.sequence(F.col("i") + 1, F.least(F.col("i") + window, F.col("n") - 1))).alias("t"), "i").filter(F.col("i") < F.col("n") - 1)
-    past = past.filter(F.col("t") >= window).withColumn("k", F.col("i") - F.col("t") + window)
-    of_day = Window.partitionBy("asset", "t")
-    part = F.col("r") * F.col("r") * F.pow(F.lit(decay), -(F.col("k") + 1))
-    before = F.coalesce(F.sum(part).over(of_day.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    past = past.withColumns({"seed": F.var_samp(F.when(F.col("k") < seed_rows, F.col("r"))).over(of_day), "before": before, "part": part})
-    past = past.withColumn("z", F.col("r") / F.sqrt(F.pow(F.lit(decay), F.col("k")) * (F.col("seed") + (1 - decay) * F.col("before"))))
-    past = past.withColumn("q", F.percentile("z", F.lit(1 - confidence)).over(of_day))
-    days = past.groupBy("asset", "t").agg(
-        F.first("q").alias("q"), F.avg(F.when(F.col("z") <= F.col("q"), F.col("z"))).alias("es"), F.sqrt(math.pow(decay, window) * (F.first("seed") + (1 - decay) * F.sum("part"))).alias("sigma")
-    )
-    out = rows.withColumnRenamed("i", "t").join(days, ["asset", "t"])
-    out = out.select("asset", "date", (-F.col("q") * F.col("sigma")).alias("var_forecast"), (-F.col("es") * F.col("sigma")).alias("es_forecast"), F.col("r").alias("realised_return"))
-    return out.withColumn("exception", F.col("realised_return") < -F.col("var_forecast"))
+    """As backtest.rolling_backtest, by filtered simulation: each day's window, an array, gets an EWMA path of its own in the one sort of its series."""
+    frame = Window.partitionBy("asset").orderBy("date").rowsBetween(-window, -1)
+    rows = returns.withColumns({"past": F.collect_list("r").over(frame)}).filter(F.size("past") >= window)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    first = F.slice("past", 1, seed_rows)
+    seed = let(total(first) / seed_rows, lambda m: total(F.transform(first, lambda v: (v - m) * (v - m))) / (seed_rows - 1))
+    step = lambda a, r: F.struct((decay * a["v"] + (1 - decay) * r * r).alias("v"), F.concat(a["z"], F.array(r / F.sqrt(a["v"]))).alias("z"))
+    path = F.aggregate("past", F.struct(seed.alias("v"), F.array().cast("array<double>").alias("z")), step)
+    at = (window - 1) * (1 - confidence)
+    low = int(at)
+    quantile = lambda z: let(F.sort_array(z), lambda s: F.get(s, F.lit(low)) + (at - low) * (F.get(s, F.lit(min(low + 1, window - 1))) - F.get(s, F.lit(low))))
+    tail = lambda z, q: let(F.filter(z, lambda x: x <= q), lambda worse: total(worse) / F.size(worse))
+    forecast = let(path, lambda p: let(quantile(p["z"]), lambda q: F.struct((-q * F.sqrt(p["v"])).alias("var"), (-tail(p["z"], q) * F.sqrt(p["v"])).alias("es"))))
+    rows = rows.select("asset", "date", "r", forecast.alias("f"))
+    return rows.select("asset", "date", F.col("f.var").alias("var_forecast"), F.col("f.es").alias("es_forecast"), F.col("r").alias("realised_return"), (F.col("r") < -F.col("f.var")).alias("exception"))
 
 
 def full_backtest(returns: DataFrame, window: int = 250, confidence: float = 0.99) -> DataFrame:
-    """asset, method: days, exceptions, coverage tests, zone, multiplier and Z2 of each method's walk-forward backtest."""
-    runs = {
-        "historical": backtest.rolling_backtest(returns, window, confidence), "normal": backtest.rolling_backtest(returns, window, confidence, "normal"),
-        "filtered": rolling_filtered_backtest(returns, window, confidence),
-    }
+    """asset, method: days, exceptions, coverage tests, zone, multiplier, Z2 and its p-value of each method's walk-forward backtest."""
+    runs = {m: backtest.rolling_backtest(returns, window, confidence, m) for m in ("historical", "normal", "student")} | {"filtered": rolling_filtered_backtest(returns, window, confidence)}
     out = None
     for name, run in runs.items():
         counts = backtest.exception_counts(run)
-        rows = backtest.traffic_light(backtest.coverage_tests(counts, confidence)).join(backtest.shortfall_z2(run, confidence).select("asset", "z2"), "asset")
-        rows = rows.select("asset", F.lit(name).alias("method"), "days", "exceptions", "p_pof", "p_ind", "p_cc", "zone", "multiplier", "z2")
+        rows = backtest.traffic_light(backtest.coverage_tests(counts, confidence)).join(backtest.shortfall_test(run, confidence).select("asset", "z2", "p_value"), "asset")
+        rows = rows.select("asset", F.lit(name).alias("method"), "days", "exceptions", "p_pof", "p_ind", "p_cc", "zone", "multiplier", "z2", "p_value")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ebbline.operators.backtest import FREEDOM, POISSON, student_tables
 from ebbline.operators.diagnostics import expected_max_sharpe
 from ebbline.operators.rules import STRATEGIES
 from ebbline.operators.stress import SHOCKS
@@ -36,6 +37,13 @@ def cdf(z: str) -> str:
 
 
 def backtest(p: float, method: str, z: float = Z99, shape: float = PHI99 / 0.01) -> str:
+    if method == "student":
+        constants, quantiles, shortfalls = student_tables(p)
+        forecast = "avg(r) OVER f AS mean, stddev_samp(r) OVER f AS sd, list(r) OVER f AS past"
+        each = f"list_transform(range(1, {len(FREEDOM) + 1}), lambda k: {[250 * c for c in constants]}[k] - {[(nu + 1) / 2 for nu in FREEDOM]}[k] * list_sum(list_transform(past, lambda r: ln(1 + pow((r - mean) / sd, 2) / {[nu - 2 for nu in FREEDOM]}[k]))))"
+        windows = f"SELECT asset, date, r, count(*) OVER f AS seen, {forecast} FROM rets WINDOW f AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)"
+        chosen = f"SELECT asset, date, r, mean, sd, list_position(l, list_max(l)) AS k FROM (SELECT *, {each} AS l FROM ({windows}) WHERE seen >= 250)"
+        return f", bt AS (SELECT asset, date, var_forecast, es_forecast, r AS realised_return, r < -var_forecast AS exception FROM (SELECT *, -(mean + {quantiles}[k] * sd) AS var_forecast, -(mean - {shortfalls}[k] * sd) AS es_forecast FROM ({chosen})))"
     if method == "historical":
         forecast = f"-quantile_cont(r, {p}) OVER f AS var_forecast, list(r) OVER f AS past"
         es = "-list_avg(list_filter(past, lambda x : x <= -var_forecast))"
@@ -45,6 +53,18 @@ def backtest(p: float, method: str, z: float = Z99, shape: float = PHI99 / 0.01)
     return f", bt AS (SELECT asset, date, var_forecast, {es} AS es_forecast, r AS realised_return, r < -var_forecast AS exception FROM (SELECT asset, date, r, count(*) OVER f AS seen, {forecast} FROM rets WINDOW f AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)) WHERE seen >= 250)"
 
 
+def shortfall_test(confidence: float) -> str:
+    """st(asset, z2, p_value, critical, reject) of bt."""
+    poisson = " + ".join(f"CAST(u > {p!r} AS INTEGER)" for p in POISSON)
+    return f""", sz AS (SELECT asset, count(*) AS days, CASE WHEN count(*) FILTER (exception) = 0 THEN 0.0 ELSE 1 + sum(realised_return / es_forecast) FILTER (exception) / (count(*) * (1 - {confidence})) END AS z2 FROM bt GROUP BY asset),
+sa AS (SELECT asset, CAST(date - DATE '1970-01-01' AS BIGINT) AS day, draw, realised_return / es_forecast AS term FROM bt, range(1, 2001) x(draw) WHERE exception),
+sb AS (SELECT *, (((day * 48271 + draw * 69621 + 1) % 2147483647) + 2147483647) % 2147483647 AS a FROM sa), sc AS (SELECT *, (a * a + draw * 40692 + 11) % 2147483647 AS b FROM sb),
+sd AS (SELECT *, (b * 16807 + day) % 2147483647 AS c FROM sc), se AS (SELECT *, ((c * c + b) % 2147483647) / 2147483647 AS u FROM sd),
+sf AS (SELECT asset, draw, sum(term * ({poisson})) AS s FROM se GROUP BY 1, 2),
+sg AS (SELECT sf.asset, avg(CAST(1 + s / (days * (1 - {confidence})) >= 0 AS INTEGER)) AS share, quantile_cont(1 + s / (days * (1 - {confidence})), 0.05) AS q FROM sf JOIN sz ON sf.asset = sz.asset GROUP BY 1),
+st AS (SELECT sz.asset, z2, CASE WHEN z2 < 0 AND share IS NOT NULL THEN share ELSE 1.0 END AS p_value, coalesce(q, 0.0) AS critical FROM sz LEFT JOIN sg ON sz.asset = sg.asset)"""
+
+
 COUNTS = ", bc AS (SELECT asset, count(*) AS days, count(*) FILTER (exception) AS exceptions, count(*) FILTER (NOT b AND NOT exception) AS n00, count(*) FILTER (NOT b AND exception) AS n01, count(*) FILTER (b AND NOT exception) AS n10, count(*) FILTER (b AND exception) AS n11 FROM (SELECT *, lag(exception) OVER (PARTITION BY asset ORDER BY date) AS b FROM bt) GROUP BY asset)"
 XLOG = "(CASE WHEN {0} = 0 THEN 0.0 ELSE {0} * ln(CASE WHEN {1} > 0 THEN {1} END) END)"
 
@@ -121,6 +141,7 @@ P01, P11, P1 = "n01 / nullif(n00 + n01, 0)", "n11 / nullif(n10 + n11, 0)", "(n01
 IND = f"CASE WHEN n01 + n11 = 0 OR n00 + n01 = 0 OR n10 + n11 = 0 THEN 0.0 ELSE greatest(-2 * ({xlog('n00 + n10', f'1 - {P1}')} + {xlog('n01 + n11', P1)} - {xlog('n00', f'1 - {P01}')} - {xlog('n01', P01)} - {xlog('n10', f'1 - {P11}')} - {xlog('n11', P11)}), 0) END"
 SQL["coverage_tests"] = f"WITH {RETS}{backtest(0.05, 'normal', Z95, 0.0)}{COUNTS}, l AS (SELECT *, {POF} AS lr_pof, {IND} AS lr_ind FROM bc) SELECT asset, days, exceptions, n00, n01, n10, n11, round(lr_pof, 4) AS lr_pof, round(lr_ind, 4) AS lr_ind, round(lr_pof + lr_ind, 4) AS lr_cc, round({erfc('sqrt(lr_pof / 2)')}, 4) AS p_pof, round({erfc('sqrt(lr_ind / 2)')}, 4) AS p_ind, round(exp(-(lr_pof + lr_ind) / 2), 4) AS p_cc, lr_pof > 3.841458820694124 AS reject_pof, lr_ind > 3.841458820694124 AS reject_ind, lr_pof + lr_ind > 5.991464547107979 AS reject_cc FROM l"
 SQL["traffic_light"] = f"WITH {RETS}{backtest(0.01, 'historical')}{COUNTS}, z AS (SELECT *, days / 250 AS s FROM bc) SELECT asset, days, exceptions, CASE WHEN exceptions <= 4 * s THEN 'GREEN' WHEN exceptions >= 10 * s THEN 'RED' ELSE 'YELLOW' END AS zone, CASE WHEN exceptions <= 4 * s THEN 3.0 WHEN exceptions >= 10 * s THEN 4.0 ELSE 3.0 + [0.40, 0.50, 0.65, 0.75, 0.85][CAST(least(greatest(round_even(exceptions / s, 0), 5), 9) AS INTEGER) - 4] END AS multiplier FROM z"
+SQL["es_bootstrap"] = f"WITH {RETS}{backtest('1 - 0.975', 'historical')}{shortfall_test(0.975)} SELECT asset, round(z2, 6) AS z2, round(p_value, 6) AS p_value, round(critical, 6) AS critical, p_value < 0.05 AS reject FROM st"
 SQL["shortfall_z2"] = f"WITH {RETS}{backtest('1 - 0.975', 'historical')} SELECT asset, count(*) AS days, count(*) FILTER (exception) AS exceptions, round(CASE WHEN count(*) FILTER (exception) = 0 THEN 0.0 ELSE 1 + sum(realised_return / es_forecast) FILTER (exception) / (count(*) * (1 - 0.975)) END, 6) AS z2 FROM bt GROUP BY asset"
 SQL["resample_daily"] = f"WITH {HOURLY} SELECT asset, CAST(date_trunc('day', ts) AS DATE) AS bucket, round(arg_min(price, ts), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(arg_max(price, ts), 6) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM hourly GROUP BY 1, 2"
 SQL["forward_filled"] = f"WITH {BARS}, g AS (SELECT a.asset, d.date, b.price FROM (SELECT DISTINCT asset FROM bars) a CROSS JOIN (SELECT DISTINCT date FROM bars) d LEFT JOIN bars b ON a.asset = b.asset AND d.date = b.date) SELECT asset, date, round(coalesce(last_value(price IGNORE NULLS) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(price IGNORE NULLS) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS price FROM g"

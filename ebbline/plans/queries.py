@@ -527,7 +527,7 @@ def monte_carlo_student_var(spark, d):
 
 @query
 def es_bootstrap(spark, d):
-    return models.es_bootstrap(backtest.rolling_backtest(returns(spark, d), confidence=0.975))
+    return rounded(backtest.shortfall_test(backtest.rolling_backtest(returns(spark, d), confidence=0.975)))
 
 
 @query

@@ -55,14 +55,13 @@ def report_sql(name: str, runs: str) -> str:
     pof = o.POF.replace("1 - 0.95", "1 - 0.99").replace("0.95", "0.99")
     return f"""SELECT asset, '{name}' AS method, days, exceptions, round({o.erfc('sqrt(lr_pof / 2)')}, 4) AS p_pof, round({o.erfc('sqrt(lr_ind / 2)')}, 4) AS p_ind, round(exp(-(lr_pof + lr_ind) / 2), 4) AS p_cc,
   CASE WHEN exceptions <= 4 * s THEN 'GREEN' WHEN exceptions >= 10 * s THEN 'RED' ELSE 'YELLOW' END AS zone,
-  CASE WHEN exceptions <= 4 * s THEN 3.0 WHEN exceptions >= 10 * s THEN 4.0 ELSE 3.0 + [0.40, 0.50, 0.65, 0.75, 0.85][CAST(least(greatest(round_even(exceptions / s, 0), 5), 9) AS INTEGER) - 4] END AS multiplier, z2
-FROM (WITH {o.RETS}{runs}{o.COUNTS}, l AS (SELECT *, {pof} AS lr_pof, {o.IND} AS lr_ind, days / 250 AS s FROM bc),
-z AS (SELECT asset, round(CASE WHEN count(*) FILTER (exception) = 0 THEN 0.0 ELSE 1 + sum(realised_return / es_forecast) FILTER (exception) / (count(*) * (1 - 0.99)) END, 4) AS z2 FROM bt GROUP BY asset)
-SELECT l.*, z2 FROM l JOIN z ON l.asset = z.asset)"""
+  CASE WHEN exceptions <= 4 * s THEN 3.0 WHEN exceptions >= 10 * s THEN 4.0 ELSE 3.0 + [0.40, 0.50, 0.65, 0.75, 0.85][CAST(least(greatest(round_even(exceptions / s, 0), 5), 9) AS INTEGER) - 4] END AS multiplier, z2, p_value
+FROM (WITH {o.RETS}{runs}{o.COUNTS}{o.shortfall_test(0.99)}, l AS (SELECT *, {pof} AS lr_pof, {o.IND} AS lr_ind, days / 250 AS s FROM bc)
+SELECT l.*, round(z2, 4) AS z2, round(p_value, 4) AS p_value FROM l JOIN st ON l.asset = st.asset)"""
 
 
-METHODS = ["historical", "normal", "filtered"]
-REPORT = " UNION ALL ".join(report_sql(name, runs) for name, runs in zip(METHODS, (o.backtest(0.01, "historical"), o.backtest(0.01, "normal"), FILTERED), strict=True))
+METHODS = ["historical", "normal", "student", "filtered"]
+REPORT = " UNION ALL ".join(report_sql(name, runs) for name, runs in zip(METHODS, (o.backtest(0.01, "historical"), o.backtest(0.01, "normal"), o.backtest(1 - 0.99, "student"), FILTERED), strict=True))
 SQL["full_backtest"] = REPORT
 
 
