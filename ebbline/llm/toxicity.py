@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -50,9 +51,17 @@ def tokens(text: str) -> list[str]:
     return text.split()
 
 
+EDGES, MASKED, SPELLED = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"[^\W\d_][\d@$!*#|€]+[^\W\d_]"), re.compile(r"(\w[.\-_*]){3,}\w?\W*")
+NO_LETTERS, TWICE, THRICE, THREE = re.compile(r"[\W\d_]+"), re.compile(r"(.)\1+"), re.compile(r"(.)\1{2,}"), re.compile(r"([^\W\d_])\1\1")
+#: Characters up to LATIN: which are letters, which are capitals.
+LATIN = 0x250
+IS_LETTER, IS_UPPER = (np.array([f(chr(c)) for c in range(LATIN)]) for f in (str.isalpha, str.isupper))
+
+
 def plain(token: str) -> str:
     """Lower-cased, without what isn't a letter or digit at either end."""
-    return re.sub(r"^[\W_]+|[\W_]+$", "", token.lower())
+    core = token.strip(string.punctuation)
+    return core.lower() if core.isalpha() else EDGES.sub("", token.lower())
 
 
 def stem(word: str) -> str | None:
@@ -61,8 +70,18 @@ def stem(word: str) -> str | None:
 
 def unmasked(word: str) -> list[str]:
     """What a word with digits or signs inside, or with stretched letters, may stand for."""
-    letters = re.sub(r"[\W\d_]+", "", word.translate(LEET))
-    return [x for x in dict.fromkeys((letters, re.sub(r"(.)\1{2,}", r"\1\1", letters), re.sub(r"(.)\1+", r"\1", letters))) if x != word and len(x) > 2]
+    letters = NO_LETTERS.sub("", word.translate(LEET))
+    return [x for x in dict.fromkeys((letters, THRICE.sub(r"\1\1", letters), TWICE.sub(r"\1", letters))) if x != word and len(x) > 2]
+
+
+def character_counts(text: str) -> tuple[np.ndarray, int, int]:
+    """How often each character below LATIN stands in a text, its letters and its capitals."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    near = codes < LATIN
+    counts = np.bincount(codes[near], minlength=LATIN)
+    far = Counter(codes[~near].tolist())
+    letters = int(counts[IS_LETTER].sum()) + sum(n for c, n in far.items() if chr(c).isalpha())
+    return counts, letters, int(counts[IS_UPPER].sum()) + sum(n for c, n in far.items() if chr(c).isupper())
 
 
 class Featurizer:
@@ -70,28 +89,28 @@ class Featurizer:
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]) -> None:
         self.words, self.stems = words, stems
-        self.facts = lru_cache(1 << 17)(self._facts)
+        self.facts = lru_cache(1 << 18)(self._facts)
 
-    def _facts(self, token: str) -> tuple[float, float, bool, bool, bool, bool, bool]:
-        """Weights as a word and a stem, insult, second person, obfuscated, hidden entry, stretched."""
+    def _facts(self, token: str) -> tuple[float, float, bool, bool, bool, bool, bool, bool]:
+        """Weights as a word and a stem, insult, second person, obfuscated, hidden entry, stretched, all capitals."""
         word = plain(token)
-        obfuscated = bool(re.search(r"[^\W\d_][\d@$!*#|€]+[^\W\d_]", token)) or bool(re.fullmatch(r"(\w[.\-_*]){3,}\w?\W*", token))
-        stretched = bool(re.search(r"([^\W\d_])\1\1", word))
+        obfuscated = not word.isalpha() and (bool(MASKED.search(token)) or bool(SPELLED.fullmatch(token)))
+        stretched = bool(THREE.search(word))
         weight, insult, hidden = self.words.get(word, 0.0), word in INSULTS, False
         if (obfuscated or stretched) and not weight and not insult:
             for other in unmasked(word):
                 if found := max(self.words.get(other, 0.0), 1.0 * (other in INSULTS)):
                     weight, insult, hidden = found, other in INSULTS, True
                     break
-        return weight, self.stems.get(stem(word), 0.0), insult, word in SECOND_PERSON, obfuscated, hidden, stretched
+        return weight, self.stems.get(stem(word), 0.0), insult, word in SECOND_PERSON, obfuscated, hidden, stretched, len(token) > 1 and token.isupper()
 
     def features(self, text: str) -> list[float]:
         seq = tokens(text)
         n = max(len(seq), 1)
-        total = [0.0] * 12
+        total = [0.0] * 13
         bad, you = set(), set()
         for token, k in Counter(seq).items():
-            weight, by_stem, insult, second, obfuscated, hidden, stretched = self.facts(token)
+            weight, by_stem, insult, second, obfuscated, hidden, stretched, shouted = self.facts(token)
             if weight:
                 total[0] += k * weight
                 total[1] = max(total[1], weight)
@@ -110,6 +129,7 @@ class Featurizer:
             total[9] += k * obfuscated
             total[10] += k * hidden
             total[11] += k * stretched
+            total[12] += k * shouted
         close, nearest = 0, 0.0
         if bad and you:
             at_bad = np.array([i for i, t in enumerate(seq) if t in bad])
@@ -117,14 +137,12 @@ class Featurizer:
             after = np.searchsorted(at_you, at_bad)
             gap = np.minimum(np.abs(at_you[np.minimum(after, len(at_you) - 1)] - at_bad), np.abs(at_you[np.maximum(after - 1, 0)] - at_bad))
             close, nearest = int((gap <= NEAR).sum()), 1.0 / (1 + int(gap.min()))
-        letters = sum(map(text.count, "abcdefghijklmnopqrstuvwxyz")) if text.isascii() else sum(c.isalpha() for c in text)
-        upper = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) if text.isascii() else sum(c.isupper() for c in text)
-        letters += upper if text.isascii() else 0
-        shouted = sum(len(t) > 1 and t.isupper() for t in seq)
-        marks = [text.count("!"), text.count("?"), text.count("!!") + text.count("??"), sum(map(text.count, ".,;:-*#%&$"))]
+        counts, letters, upper = character_counts(text)
+        of = lambda signs: int(counts[[ord(c) for c in signs]].sum())
+        marks = [of("!"), of("?"), text.count("!!") + text.count("??"), of(".,;:-*#%&$")]
         return [
             math.log1p(len(seq)), total[0] / n, total[1], math.log1p(total[2]), total[3], total[4] / n, total[5], math.log1p(total[6]), total[7] / n, math.log1p(total[7]),
-            total[8] / n, close / n, nearest, upper / max(letters, 1), shouted / n, *[m / n for m in marks], total[9] / n, total[10] / n, total[11] / n,
+            total[8] / n, close / n, nearest, upper / max(letters, 1), total[12] / n, *[m / n for m in marks], total[9] / n, total[10] / n, total[11] / n,
         ]
 
 
