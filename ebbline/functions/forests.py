@@ -123,3 +123,50 @@ def expanding_votes(x: np.ndarray, y: np.ndarray, trees: list[int], first: int,
     for tree in trees:
         out += grown(bins, y, cuts, told, weights, tree, depth, leaf, seed)
     return out
+
+
+def grown_on_gradients(bins: np.ndarray, g: np.ndarray, h: np.ndarray, used: np.ndarray, depth: int, leaf: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """A tree of Newton steps: (feature, last bin to the left) by node of each depth, feature -1 for a leaf; values of the last depth's nodes."""
+    n, features = bins.shape
+    node, done, splits = np.zeros(n, np.int64), np.zeros(1, bool), []
+    x = bins[used]
+    for level in range(depth):
+        nodes = 2**level
+        index = (node[used][:, None] * features + np.arange(features)) * BINS + x
+        count = lambda w: np.bincount(index.ravel(), None if w is None else np.repeat(w[used], features), minlength=nodes * features * BINS).reshape(nodes, features, BINS).cumsum(-1)  # noqa: E731, B023
+        k, a, b = count(None), count(g), count(h)
+        score = lambda a, b: a * a / (b + 1e-12)
+        gain = score(a, b) + score(a[..., -1:] - a, b[..., -1:] - b) - score(a[..., -1:], b[..., -1:])
+        gain = np.where((k >= leaf) & (k[..., -1:] - k >= leaf), gain, -1.0).reshape(nodes, -1)
+        best = gain.argmax(1)
+        feature = np.where((gain[np.arange(nodes), best] > 1e-9) & ~done, best // BINS, -1)
+        splits.append((feature, best % BINS))
+        node, done = routed(bins, node, feature, best % BINS), np.repeat(feature < 0, 2)
+    total = lambda w: np.bincount(node[used], w[used], minlength=2**depth)
+    return splits, total(g) / (total(h) + 1e-12)
+
+
+def routed(bins: np.ndarray, node: np.ndarray, feature: np.ndarray, last: np.ndarray) -> np.ndarray:
+    f = feature[node]
+    return 2 * node + ((f >= 0) & (bins[np.arange(len(node)), np.maximum(f, 0)] > last[node]))
+
+
+def boosted_scores(x: np.ndarray, y: np.ndarray, told: np.ndarray, rounds: int, depth: int, step: float, share: float, leaf: int, seed: int, classes: int = 3) -> np.ndarray:
+    """Scores (row of told, class) of boosted trees, one a round and class, for the softmax of scores; x, y: rows to learn from. Each round
+    uses a share of the rows that a hash draws."""
+    bins, other = binned(x, x), binned(told, x)
+    prior = np.log((np.bincount(y, minlength=classes) + 1e-9) / len(y))
+    scores, out = np.tile(prior, (len(y), 1)), np.tile(prior, (len(told), 1))
+    for r in range(rounds):
+        p = np.exp(scores - scores.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        used = np.flatnonzero(hashed(seed, 3, r, np.arange(len(y))) < share)
+        for c in range(classes):
+            g, h = (y == c) - p[:, c], p[:, c] * (1 - p[:, c])
+            splits, values = grown_on_gradients(bins, g, h, used, depth, leaf)
+            for rows, to in ((bins, scores), (other, out)):
+                node = np.zeros(len(rows), np.int64)
+                for feature, last in splits:
+                    node = routed(rows, node, feature, last)
+                to[:, c] += step * values[node]
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ebbline.operators import diagnostics, econo, learning, micro, quantum, reports, rolling, stress
+from ebbline.operators import boosting, diagnostics, econo, learning, micro, quantum, reports, rolling, stress
 from ebbline.operators import series as ts
 from ebbline.plans import oracles as o
 from ebbline.plans.queries import SCENARIOS, book, damped_returns, event_trades, factor_panel, query, returns, rounded
@@ -374,3 +374,16 @@ SQL["best_pairs"] = SQL["cointegrated_pairs"] + " WHERE p < 0.05 ORDER BY p, t,
 def propagator(spark, d):
     """Where the last five days' move of each asset will be in 1, 5 and 20 days, by its potential well."""
     return rounded(quantum.propagator(returns(spark, d)), 4)
+
+
+@query
+def calibrated_probabilities(spark, d):
+    """Held-out class probabilities of boosted trees, raw and calibrated, as columns."""
+    told = boosting.calibrated_probabilities(learning.labelled(market.damped_bars(spark, d)))
+    columns = [F.col(kind)[k].alias(f"{kind}_{name}") for kind in ("raw", "calibrated") for k, name in enumerate(("sell", "wait", "buy"))]
+    return rounded(told.select("asset", "i", (F.col("y") - 1).alias("label"), *columns))
+
+
+@query
+def calibration_report(spark, d):
+    return rounded(boosting.calibration_report(boosting.calibrated_probabilities(learning.labelled(market.damped_bars(spark, d)))))
