@@ -1,8 +1,9 @@
 """Main text of web pages by site template removal.
 
 Every element's subtree is hashed. Spark counts, per host, on how many different pages each hash occurs; subtrees that
-recur on many pages of a host are its template and are deleted, as are elements that are no article text by their tag or
-class. What an article holds is protected: there only lists of links can be template, and class names count only whole.
+recur on many pages of a host, whatever their tags and classes, are its template and are deleted first. What is left and is no
+article text by its tag or class goes as well: a page's own adverts, a reader's comments, all of a host with too few pages.
+What an article holds is protected: there only lists of links can be template, and class names count only whole.
 """
 
 from __future__ import annotations
@@ -145,8 +146,13 @@ class Page:
             found.append(own == tag and not self.out[i] or i > 0 and found[self.parents[i]])
         return found
 
-    def hashes(self) -> list[bytes]:
-        """Of each subtree: tag, class, id, role, and all text and elements in it."""
+    def hashes(self, wanted: list[int]) -> list[bytes]:
+        """Of each wanted subtree, and those in it: tag, class, id, role, and all text and elements in it."""
+        need = [False] * len(self.tags)
+        for i in wanted:
+            need[i] = True
+        for i in range(1, len(need)):
+            need[i] = need[i] or need[self.parents[i]]
         parts: list[list[bytes]] = [[] for _ in self.tags]
         order: list[list[tuple[int, int]]] = [[] for _ in self.tags]
         for k, (i, text) in enumerate(self.texts):
@@ -160,6 +166,8 @@ class Page:
             order[self.parents[i]].append((first.get(i, len(self.texts)), i))
         out = [b""] * len(self.tags)
         for i in range(len(self.tags) - 1, -1, -1):
+            if not need[i]:
+                continue
             for k, child in sorted(order[i]):
                 parts[i].append(out[child] if child >= 0 else SPACE.sub(" ", self.texts[k][1]).encode())
             out[i] = hashlib.blake2b(b"\x00".join([self.tags[i].encode(), self.marks[i].encode(), *parts[i]]), digest_size=8).digest()
@@ -178,19 +186,23 @@ class Page:
         return [n > 0 and 2 * k >= n for n, k in zip(size, linked, strict=True)]
 
     def countable(self) -> list[int]:
-        """Elements that template removal may take: inside an article only blocks of links, as an article's own text may recur."""
+        """Elements that template removal may take, also those that tag or class rule out: inside an article only blocks of links, as an article's own text may recur."""
         article, links = self.inside("article"), self.link_lists()
-        return [i for i, tag in enumerate(self.tags) if i and not self.out[i] and tag not in KEPT_TAGS and (not article[i] or tag not in TEXT_ELEMENTS and links[i])]
+        return [i for i, tag in enumerate(self.tags) if i and tag not in KEPT_TAGS and (not article[i] or tag not in TEXT_ELEMENTS and links[i])]
 
-    def main_text(self, template: frozenset[int]) -> str:
-        gone = list(self.out)
+    def main_text(self, template: frozenset[int], lists: bool = True) -> tuple[str, int, int]:
+        """The text, characters that recurrence removed and characters that only tag or class ruled out."""
+        recurring, out = [False] * len(self.tags), self.out if lists else [False] * len(self.tags)
         if template:
-            hashes = self.hashes()
-            for i in self.countable():
-                gone[i] = int.from_bytes(hashes[i], "little", signed=True) in template
-            for i in range(1, len(gone)):
-                gone[i] = gone[i] or gone[self.parents[i]]
-        return self._joined(gone) or self._joined(self.out)
+            countable = self.countable()
+            hashes = self.hashes(countable)
+            for i in countable:
+                recurring[i] = int.from_bytes(hashes[i], "little", signed=True) in template
+            for i in range(1, len(recurring)):
+                recurring[i] = recurring[i] or recurring[self.parents[i]]
+        text = self._joined([a or b for a, b in zip(recurring, out, strict=True)]) or self._joined(out)
+        sizes = [(len(t.strip()), i) for i, t in self.texts]
+        return text, sum(n for n, i in sizes if recurring[i]), sum(n for n, i in sizes if out[i] and not recurring[i])
 
     def _joined(self, gone: list[bool]) -> str:
         """Texts of the articles in main, else of main, else of articles, else of the page: the first that has any."""
@@ -216,8 +228,9 @@ def subtree_counts(batches):
     for batch in batches:
         for host, html, copies in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("copies").to_pylist(), strict=True):
             page = Page(html.as_py() or "")
-            hashes = page.hashes()
-            for x, line in {(int.from_bytes(hashes[i], "little", signed=True), page.tags[i] in TEXT_ELEMENTS) for i in page.countable()}:
+            countable = page.countable()
+            hashes = page.hashes(countable)
+            for x, line in {(int.from_bytes(hashes[i], "little", signed=True), page.tags[i] in TEXT_ELEMENTS) for i in countable}:
                 held[host, x, line] = held.get((host, x, line), 0.0) + 1 / copies
             if len(held) > HELD:
                 yield passed(held)
@@ -225,17 +238,24 @@ def subtree_counts(batches):
     yield passed(held)
 
 
-def extracted(batches):
-    sets: dict[str, frozenset[int]] = {}
-    for batch in batches:
-        texts = []
-        for host, html, template in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("template"), strict=True):
-            if host not in sets:
-                if len(sets) > 1000:
-                    sets.clear()
-                sets[host] = frozenset(template.as_py() or ())
-            texts.append(Page(html.as_py() or "").main_text(sets[host]))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+def extracted(lists: bool):
+    def run(batches):
+        sets: dict[str, frozenset[int]] = {}
+        for batch in batches:
+            found = []
+            for host, html, template in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("template"), strict=True):
+                if host not in sets:
+                    if len(sets) > 1000:
+                        sets.clear()
+                    sets[host] = frozenset(template.as_py() or ())
+                found.append(Page(html.as_py() or "").main_text(sets[host], lists))
+            texts, recurring, ruled = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(recurring, pa.int64()), pa.array(ruled, pa.int64())],
+                ["page_id", "url", "text", "template_chars", "ruled_chars"],
+            )
+
+    return run
 
 
 def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -252,8 +272,9 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share
     return recurring.groupBy("host").agg(F.collect_list("subtree").alias("template"))
 
 
-def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per page: page_id, url, host, text (empty if none).
+def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_bytes: int = BROADCAST_BYTES, lists: bool = True) -> DataFrame:
+    """One row per page: page_id, url, host, text (empty if none), template_chars and ruled_chars (characters that recurrence
+    removed, and those that only tag or class ruled out; with lists=False nothing is ruled out so).
 
     Main text: what the articles in main hold (else main, else articles, else the whole page), less template and
     ruled-out elements; template removal never empties a page that has text. Character references are decoded, white
@@ -271,5 +292,5 @@ def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_sh
         pages = pages.join(salted, ["host", "salt"], "left")
     else:
         pages = pages.join(known, "host", "left")
-    out = pages.select("page_id", "url", "host", "html", "template").mapInArrow(extracted, "page_id long, url string, text string")
+    out = pages.select("page_id", "url", "host", "html", "template").mapInArrow(extracted(lists), "page_id long, url string, text string, template_chars long, ruled_chars long")
     return out.withColumn("host", host)

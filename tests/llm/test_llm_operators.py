@@ -394,3 +394,18 @@ def test_empty_tables(spark):
 def test_kept_text_digest(docs):
     got = substring.substring_dedup(docs).select("doc_id", F.sha2("kept", 256).alias("s"), "kept").collect()
     assert all(r.s == hashlib.sha256(r.kept).hexdigest() for r in got)
+
+
+def test_html_templates_need_no_names(spark):
+    """Menus, notices and footers without telling tags or names go by recurrence alone; a page's own advert goes by its class."""
+    page = '<body><div class="x1"><ul><li><a href=/a>Alpha</a></li><li><a href=/b>Beta</a></li></ul></div><div class="q7">We store things.</div><div class="ad">Buy {0}</div><article><p>Story {0} of the day.</p></article><div class="zz"><p>Imprint, rights</p></div></body>'
+    rows = [(i, "https://one.example/x", page.format(i)) for i in range(12)] + [(50 + i, "https://few.example/x", page.format(i)) for i in range(2)]
+    bare = [(100 + i, "https://bare.example/x", page.format(i).replace("<article>", "<div>").replace("</article>", "</div>")) for i in range(12)]
+    pages = spark.createDataFrame(rows + bare, "page_id long, url string, html string")
+    with_lists, without = ({r.page_id: r for r in html.extract_main_text(pages, lists=x).collect()} for x in (True, False))
+    for i in range(12):
+        assert with_lists[i].text == without[i].text == f"Story {i} of the day."
+        assert without[i].template_chars == len("AlphaBetaWe store things.Imprint, rights") == with_lists[i].template_chars
+        assert with_lists[i].ruled_chars == len(f"Buy {i}") and without[i].ruled_chars == 0
+        assert with_lists[100 + i].text == f"Story {i} of the day." and without[100 + i].text == f"Buy {i} Story {i} of the day."
+    assert with_lists[50].template_chars == 0 and with_lists[50].ruled_chars == len("Buy 0")
