@@ -87,9 +87,10 @@ def garch_filtered_var(returns: DataFrame, confidence: float = 0.99) -> DataFram
 def monte_carlo_var(moments: DataFrame, means: DataFrame, weights: DataFrame, confidence: float = 0.99, horizon: int = 1, simulations: int = 100_000, nu: float | None = None, seed: int = 42, blocks: int = 16) -> DataFrame:
     """n, var, es of simulated portfolio returns; moments: asset_i, asset_j, covariance; means: asset, mean.
 
-    Covariances are assets squared rows, which the driver factors; paths are drawn in `blocks` seeded tasks, so reruns agree."""
+    Covariances are assets squared rows, which the driver factors (MOST_ASSETS at most, else an error); paths are drawn in `blocks` seeded tasks, so reruns agree."""
     spark = moments.sparkSession
-    names = sorted(r["asset"] for r in weights.select("asset").collect())
+    names = sorted(r["asset"] for r in weights.select("asset").limit(MOST_ASSETS + 1).collect())
+    few_enough(len(names))
     at = {a: i for i, a in enumerate(names)}
     cov, mean, w = np.zeros((len(names),) * 2), np.zeros(len(names)), np.zeros(len(names))
     for r in moments.collect():
@@ -135,8 +136,18 @@ def shrunk_covariance(returns: DataFrame) -> DataFrame:
     return out.select("asset_i", "asset_j", ((1 - F.col("shrinkage")) * F.col("s") + F.col("shrinkage") * F.col("target")).alias("covariance"), "shrinkage")
 
 
+#: Assets whose matrix (18 MB) the driver holds at most.
+MOST_ASSETS = 1500
+
+
+def few_enough(assets: int) -> None:
+    if assets > MOST_ASSETS:
+        raise ValueError(f"{assets} assets: the driver factors a matrix of {MOST_ASSETS} at most")
+
+
 def matrix_of(moments: DataFrame, column: str) -> tuple[list[str], np.ndarray, int]:
-    rows = moments.select("asset_i", "asset_j", column, "n").collect()  # assets squared
+    few_enough(math.isqrt(moments.count()))
+    rows = moments.select("asset_i", "asset_j", column, "n").collect()
     names = sorted({r["asset_i"] for r in rows})
     at = {k: i for i, k in enumerate(names)}
     m = np.zeros((len(names),) * 2)
@@ -145,26 +156,26 @@ def matrix_of(moments: DataFrame, column: str) -> tuple[list[str], np.ndarray, i
     return names, m, rows[0]["n"]
 
 
-def cleaned_correlation(moments: DataFrame) -> DataFrame:
-    """asset_i, asset_j, correlation of the eigenvalues above the Marchenko-Pastur limit only, noise_share, limit."""
-    names, c, n = matrix_of(moments, "correlation")
-    values, vectors = np.linalg.eigh(c)
-    limit = (1 + math.sqrt(len(names) / n)) ** 2
-    kept = np.where(values > limit, values, 0.0)
-    clean = vectors @ np.diag(kept) @ vectors.T
-    d = np.sqrt(np.maximum(np.diag(clean), 1e-12))
-    clean = clean / np.outer(d, d)
-    np.fill_diagonal(clean, 1.0)
-    noise = float((values <= limit).mean())
-    return moments.sparkSession.createDataFrame([(names[i], names[j], float(clean[i, j]), noise, limit) for i in range(len(names)) for j in range(len(names))], "asset_i string, asset_j string, correlation double, noise_share double, limit double")
+def entropy_portfolio(returns: DataFrame, penalty: float = 2.0, periods: int = 252, low: float = 0.02, high: float = 0.60) -> DataFrame:
+    """asset, weight, entropy, max_entropy, volatility.
 
+    No more than 1 / low assets can each have the least weight, so beyond that all weights are equal; only for fewer, and never for
+    more than MOST_ASSETS, does the driver see a matrix of assets squared."""
+    from ebbline.operators.series import aligned, pair_moments
 
-def entropy_portfolio(moments: DataFrame, penalty: float = 2.0, periods: int = 252, low: float = 0.02, high: float = 0.60) -> DataFrame:
-    """asset, weight, entropy, max_entropy, volatility."""
-    names, cov, _ = matrix_of(moments, "covariance")
+    rows = aligned(returns)
+    count = rows.agg(F.count_distinct("asset")).first()[0]
+    if count and count * low >= 1:
+        daily = rows.groupBy("date").agg(F.avg("r").alias("r")).agg((F.stddev_samp("r") * math.sqrt(periods)).alias("volatility"))
+        assets = rows.select("asset").distinct().withColumns({"weight": F.lit(1 / count), "entropy": F.lit(math.log(count)), "max_entropy": F.lit(math.log(count))})
+        return assets.join(F.broadcast(daily))
+    shape = "asset string, weight double, entropy double, max_entropy double, volatility double"
+    if not count:
+        return returns.sparkSession.createDataFrame([], shape)
+    names, cov, _ = matrix_of(pair_moments(returns), "covariance")
     w = fits.entropy_weights(cov * periods, penalty, low, high)
     entropy, vol = float(-(w * np.log(w)).sum()), float(math.sqrt(w @ cov @ w * periods))
-    return moments.sparkSession.createDataFrame([(a, float(x), entropy, math.log(len(names)), vol) for a, x in zip(names, w, strict=True)], "asset string, weight double, entropy double, max_entropy double, volatility double")
+    return returns.sparkSession.createDataFrame([(a, float(x), entropy, math.log(len(names)), vol) for a, x in zip(names, w, strict=True)], shape)
 
 
 def cycles(bars: DataFrame, top: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ebbline.operators import backtest, diagnostics, econo, learning, macro, micro, models, risk, rolling, rules, stress
+from ebbline.operators import backtest, diagnostics, econo, learning, macro, matrices, micro, models, risk, rolling, rules, stress
 from ebbline.operators import series as ts
 from ebbline.sources import market, sinks
 
@@ -549,12 +549,12 @@ def shrunk_covariance(spark, d):
 
 @query
 def cleaned_correlation(spark, d):
-    return models.cleaned_correlation(ts.pair_moments(ts.log_returns(market.daily_orders(spark, d))))
+    return matrices.cleaned_correlation(ts.log_returns(market.daily_orders(spark, d)))
 
 
 @query
 def entropy_portfolio(spark, d):
-    return models.entropy_portfolio(ts.pair_moments(returns(spark, d)))
+    return models.entropy_portfolio(returns(spark, d))
 
 
 @query
