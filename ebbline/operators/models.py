@@ -215,30 +215,44 @@ def tsallis(density: DataFrame) -> DataFrame:
     return density.groupBy("asset").applyInPandas(run, "asset string, q double, beta double, kind string")
 
 
-def bubble(bars: DataFrame, seed: int = 7) -> DataFrame:
-    """Log-periodic power law: asset, tc_days, m, omega, b, r2, confidence, bubble. Four parameters by differential evolution, three by least squares inside."""
+#: Searches of the log-periodic fit, members and rounds of each, and bounds of end (in lengths of the series), power, frequency and phase.
+ATTEMPTS, MEMBERS, SEARCH_ROUNDS = 50, 20, 30
+LOG_PERIODIC = [(1.01, 1.5), (0.1, 0.9), (4, 25), (0, 2 * math.pi)]
+
+
+def log_periodic(p, t: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Squared residuals and the three linear parameters at end, power, frequency and phase, by moment sums."""
+    end, m, omega, phase = p
+    d = np.maximum(end - t, 1e-6)
+    f = d**m
+    x = np.stack([np.ones(len(t)), f, f * np.cos(omega * np.log(d) + phase)])
+    coef = np.linalg.lstsq(x @ x.T, x @ y, rcond=None)[0]
+    return float(((y - coef @ x) ** 2).sum()), coef
+
+
+def bubble(bars: DataFrame, seed: int = 7, attempts: int = ATTEMPTS) -> DataFrame:
+    """Log-periodic power law: asset, tc_days, m, omega, b, r2, confidence, bubble.
+
+    Four parameters by differential evolution, three linear ones inside. Each attempt is a search from a seed of its own and a group of its
+    own, so one long series uses as many tasks as there are attempts; the least residual wins (ties: the first attempt)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = np.log(pdf.sort_values("date")["price"].to_numpy(float))
-        n = len(y)
+        n, attempt = len(y), int(pdf["attempt"].iloc[0])
         t = np.arange(n) / n
-
-        def solve(p):
-            tc, m, omega, phi = p
-            d = np.maximum(tc - t, 1e-6)
-            f = d**m
-            x = np.column_stack([np.ones(n), f, f * np.cos(omega * np.log(d) + phi)])
-            coef = np.linalg.lstsq(x, y, rcond=None)[0]
-            return float(((y - x @ coef) ** 2).sum()), coef
-
-        best, rss = fits.differential_evolution(lambda p: solve(p)[0], [(1.01, 1.5), (0.1, 0.9), (4, 25), (0, 2 * math.pi)], seed, 20, 30)
-        _, coef = solve(best)
-        r2 = 1 - rss / float(((y - y.mean()) ** 2).sum())
-        near = max(0.0, 1 - (best[0] - 1) / 0.5)
-        score = 0.35 * max(r2, 0) + 0.30 * (coef[1] < 0) + 0.25 * near + 0.10 * (6 <= best[2] <= 13)
-        return pd.DataFrame([[pdf["asset"].iloc[0], (best[0] - 1) * n, best[1], best[2], coef[1], r2, float(score), bool(coef[1] < 0 and score > 0.5)]], columns=["asset", "tc_days", "m", "omega", "b", "r2", "confidence", "bubble"])
-
-    return bars.select("asset", "date", "price").groupBy("asset").applyInPandas(run, "asset string, tc_days double, m double, omega double, b double, r2 double, confidence double, bubble boolean")
+        best, rss = fits.differential_evolution(lambda p: log_periodic(p, t, y)[0], LOG_PERIODIC, seed + attempt, MEMBERS, SEARCH_ROUNDS)
+        total = float(((y - y.mean()) ** 2).sum())
+        return pd.DataFrame([[pdf["asset"].iloc[0], attempt, rss, n, *best, log_periodic(best, t, y)[1][1], 1 - rss / total if total > 0 else 0.0]], columns=["asset", "attempt", "rss", "n", "tc", "m", "omega", "phase", "b", "r2"])
+
+    shape = "asset string, attempt int, rss double, n long, tc double, m double, omega double, phase double, b double, r2 double"
+    dealt = bars.select("asset", "date", "price", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
+    wide = max(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * bars.sparkSession.sparkContext.defaultParallelism)
+    tried = dealt.repartition(wide, "asset", "attempt").groupBy("asset", "attempt").applyInPandas(run, shape)
+    best = tried.groupBy("asset").agg(F.min_by(F.struct("n", "tc", "m", "omega", "b", "r2"), F.struct("rss", "attempt")).alias("x")).select("asset", "x.*")
+    near = F.greatest(F.lit(0.0), 1 - (F.col("tc") - 1) / 0.5)
+    score = 0.35 * F.greatest("r2", F.lit(0.0)) + 0.30 * (F.col("b") < 0).cast("double") + 0.25 * near + 0.10 * F.col("omega").between(6, 13).cast("double")
+    best = best.withColumn("confidence", score)
+    return best.select("asset", ((F.col("tc") - 1) * F.col("n")).alias("tc_days"), "m", "omega", "b", "r2", "confidence", ((F.col("b") < 0) & (F.col("confidence") > 0.5)).alias("bubble"))
 
 
 def quantum_well(returns: DataFrame, grid: int = 221) -> DataFrame:

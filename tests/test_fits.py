@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from ebbline.functions import fits
+from ebbline.operators import models
 from ebbline.operators.diagnostics import expected_max_sharpe
 
 
@@ -52,3 +53,16 @@ def test_entropy_weights_are_feasible_and_equal_without_risk():
 def test_best_of_one_trial_has_no_luck():
     assert expected_max_sharpe(1) == 0
     assert expected_max_sharpe(100) > expected_max_sharpe(10) > 0
+
+
+def test_log_periodic_search_finds_a_planted_bubble(spark):
+    n, start = 300, np.datetime64("2020-01-01")
+    t = np.arange(n) / n
+    d = 1.1 - t
+    y = 5 - 0.8 * d**0.5 + 0.03 * d**0.5 * np.cos(8 * np.log(d) + 1) + 0.002 * np.random.default_rng(1).normal(size=n)
+    df = spark.createDataFrame([("A", (start + k).astype(object), float(np.exp(v))) for k, v in enumerate(y)], "asset string, date date, price double")
+    one, many, again = (models.bubble(df, attempts=k).first() for k in (1, 6, 6))
+    assert many == again and many.r2 >= one.r2 > 0.98 and many.bubble and many.b < 0
+    assert many.tc_days == pytest.approx(30, abs=12)
+    rss, coef = models.log_periodic((1.1, 0.5, 8.0, 1.0), t, y)
+    assert rss < 0.002 and coef == pytest.approx([5, -0.8, 0.03], abs=0.01)
