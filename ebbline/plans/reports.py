@@ -9,6 +9,7 @@ from ebbline.operators import series as ts
 from ebbline.plans import oracles as o
 from ebbline.plans.queries import SCENARIOS, book, damped_returns, event_trades, factor_panel, query, returns, rounded
 from ebbline.sources import factors, market
+from ebbline.streaming import state
 
 SQL: dict[str, str] = {}
 
@@ -387,3 +388,17 @@ def calibrated_probabilities(spark, d):
 @query
 def calibration_report(spark, d):
     return rounded(boosting.calibration_report(boosting.calibrated_probabilities(learning.labelled(market.damped_bars(spark, d)))))
+
+
+@query
+def online_risk(spark, d):
+    """EWMA variance and drawdown of each asset's daily bars, read as a stream and kept as state; the bars are written before they are streamed."""
+    folder = state.work_folder(spark, "stream")
+    bars = market.damped_bars(spark, d).select("asset", "date", "price")
+    bars.write.parquet(f"{folder}/bars")
+    state.drained(state.running_risk(spark.readStream.schema(bars.schema).parquet(f"{folder}/bars")), f"{folder}/out", f"{folder}/state")
+    return rounded(spark.read.parquet(f"{folder}/out"))
+
+
+SQL["online_risk"] = f"""WITH {o.DAMPED_RETS}{o.EWMA}, dd AS (SELECT asset, date, price, max(price) OVER (PARTITION BY asset ORDER BY date) AS peak FROM damped)
+SELECT e2.asset, e2.date, round(price, 6) AS price, round(nv, 6) AS next_variance, round(peak, 6) AS peak, round((price - peak) / peak, 6) AS drawdown FROM e2 JOIN dd ON e2.asset = dd.asset AND e2.date = dd.date"""

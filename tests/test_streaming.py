@@ -1,9 +1,13 @@
 import datetime as dt
+import statistics
 
+import pytest
 
+from ebbline.operators.risk import ewma_variance
 from ebbline.operators.rules import kill_switch
-from ebbline.operators.series import resample_ohlc
+from ebbline.operators.series import drawdowns, log_returns, resample_ohlc
 from ebbline.streaming.bars import guarded, sessions, streamed_bars
+from ebbline.streaming.state import RunningRisk, drained, running_risk
 
 
 def run(spark, stream, name, mode="append"):
@@ -42,3 +46,32 @@ def test_guard_equals_batch_latch(spark, tmp_path):
     got = {(r.asset, r.ts): r.blocked for r in run(spark, guarded(stream, 100.0, losses=2), "guard").collect()}
     want = {(r.asset, r.ts): r.blocked for r in kill_switch(batch.select("asset", "ts", "pnl"), 100.0, losses=2).collect()}
     assert got == want and any(want.values())
+
+
+def test_running_risk_goes_on_after_a_restart(spark, tmp_path):
+    """Two runs from one checkpoint, a file each, give what the batch operators give on all rows."""
+    t0 = dt.date(2024, 1, 1)
+    rows = [("ab"[i % 2], t0 + dt.timedelta(days=i), 100.0 + (i * 37 % 23) - i % 7) for i in range(140)] + [("c", t0 + dt.timedelta(days=i), 50.0 + i) for i in range(8)]
+    bars = spark.createDataFrame(rows, "asset string, date date, price double")
+    early, late = bars.filter("date < '2024-02-25'"), bars.filter("date >= '2024-02-25'")
+    early.coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    stream = running_risk(spark.readStream.schema(bars.schema).parquet(f"{tmp_path}/in/*"), dt.timedelta(days=30))
+    drained(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    first = spark.read.parquet(f"{tmp_path}/out").count()
+    late.repartition(2).write.parquet(f"{tmp_path}/in/2")
+    drained(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = {(r.asset, r.date): r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = ewma_variance(log_returns(bars), seed_rows=20).join(drawdowns(bars).select("asset", "date", "peak", "drawdown"), ["asset", "date"]).collect()
+    assert 0 < first < len(got) == len(want) == 145  # c, which ends early, is told when its timer fires
+    for r in want:
+        g = got[r.asset, r.date]
+        assert (g.next_variance, g.peak, g.drawdown) == pytest.approx((r.next_variance, r.peak, r.drawdown))
+
+
+def test_what_waits_is_told_when_a_series_is_idle():
+    risk = RunningRisk(dt.timedelta(hours=1))
+    rows, variance = risk.told("a", [0.1, -0.1, 0.2], [1, 2, 3], [1.0, 2.0, 3.0], [1.0, 2.0, 3.0], None)
+    v = statistics.variance([0.1, -0.1, 0.2])
+    for r in (0.1, -0.1, 0.2):
+        v = 0.94 * v + 0.06 * r * r
+    assert len(rows) == 3 and rows[-1][3] == variance == pytest.approx(v)
