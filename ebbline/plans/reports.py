@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ebbline.operators import boosting, diagnostics, econo, learning, micro, quantum, reports, rolling, stress
+from ebbline.operators import boosting, diagnostics, econo, intervals, learning, micro, quantum, reports, rolling, stress
 from ebbline.operators import series as ts
 from ebbline.plans import oracles as o
 from ebbline.plans.queries import SCENARIOS, book, damped_returns, event_trades, factor_panel, query, returns, rounded
-from ebbline.sources import factors, market
+from ebbline.sources import factors, market, sinks
 from ebbline.streaming import state
 
 SQL: dict[str, str] = {}
@@ -402,3 +402,35 @@ def online_risk(spark, d):
 
 SQL["online_risk"] = f"""WITH {o.DAMPED_RETS}{o.EWMA}, dd AS (SELECT asset, date, price, max(price) OVER (PARTITION BY asset ORDER BY date) AS peak FROM damped)
 SELECT e2.asset, e2.date, round(price, 6) AS price, round(nv, 6) AS next_variance, round(peak, 6) AS peak, round((price - peak) / peak, 6) AS drawdown FROM e2 JOIN dd ON e2.asset = dd.asset AND e2.date = dd.date"""
+
+
+@query
+def overlapping_intervals(spark, d):
+    """Each user's day with an event type, from its first to its last event, with the sessions of that type which it meets."""
+    e = market.table(spark, d, "events").select(F.col("event_type").alias("asset"), "user_id", "ts")
+    days = e.groupBy("asset", "user_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
+    met = intervals.overlapping(days, reports.event_sessions(e, "30 minutes"))
+    return met.select("left.asset", "left.user_id", "left.day", F.col("right.start").alias("session"), F.col("right.n").alias("n"), (F.col("to") - F.col("from")).alias("micros"))
+
+
+SQL["overlapping_intervals"] = """WITH e AS (SELECT event_type AS asset, user_id, ts FROM events), days AS (SELECT asset, user_id, CAST(ts AS DATE) AS day, min(ts) AS a, max(ts) AS b FROM e GROUP BY 1, 2, 3),
+g AS (SELECT asset, ts, ts - lag(ts) OVER (PARTITION BY asset ORDER BY ts) < INTERVAL 30 MINUTE AS same FROM e),
+k AS (SELECT asset, ts, count(*) FILTER (NOT coalesce(same, false)) OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g),
+s AS (SELECT asset, k, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS b, count(*) AS n FROM k GROUP BY 1, 2)
+SELECT d.asset, user_id, day, s.a AS session, n, epoch_us(least(d.b, s.b)) - epoch_us(greatest(d.a, s.a)) AS micros FROM days d JOIN s ON d.asset = s.asset AND d.a <= s.b AND s.a <= d.b"""
+
+
+@query
+def trade_log(spark, d):
+    """Orders as trades, logged in one batch a year and the first batch twice, as after a failure: what the log then holds."""
+    orders = market.table(spark, d, "orders")
+    action = F.when(F.col("o_orderstatus") == "O", "COMPRAR").when(F.col("o_orderstatus") == "F", "VENDER").otherwise("ESPERAR")
+    trades = orders.select(F.col("o_orderpriority").alias("asset"), F.col("o_orderdate").alias("ts"), action.alias("action"), F.round("o_totalprice", 2).alias("amount"), F.year("o_orderdate").alias("year"))
+    path = state.work_folder(spark, "trades")
+    for epoch in (1995, *range(1995, 2002)):
+        sinks.append_epoch(trades.filter(F.col("year") == epoch).drop("year"), path, epoch)
+    return sinks.read_epochs(spark, path).groupBy("asset", "epoch", "action").agg(F.count("*").alias("trades"), F.round(F.sum("amount"), 2).alias("amount"))
+
+
+SQL["trade_log"] = """SELECT o_orderpriority AS asset, CAST(year(o_orderdate) AS BIGINT) AS epoch, CASE o_orderstatus WHEN 'O' THEN 'COMPRAR' WHEN 'F' THEN 'VENDER' ELSE 'ESPERAR' END AS action, count(*) AS trades, round(sum(round(o_totalprice, 2)), 2) AS amount
+FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY 1, 2, 3"""
