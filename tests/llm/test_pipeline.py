@@ -63,3 +63,15 @@ def test_decisions_go_back_to_rows_and_not_to_ids(spark, tmp_path):
     want = {r.source: r.n for r in mixing.mix(docs, corpus_pipeline.WEIGHTS, corpus_pipeline.BUDGET_PERCENT, corpus_pipeline.MAX_EPOCHS).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
     mixed = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
     assert {r.source: r["count"] for r in mixed.groupBy("source").count().collect()} == want and mixed.columns == docs.columns
+
+
+def test_empty_tables(spark, tmp_path):
+    """Each stage, and all of them, give no rows and the columns that they give of others."""
+    shape = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame([], shape).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "shard" or out.columns == docs.columns), name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
