@@ -99,11 +99,6 @@ def held_path(returns: DataFrame, positions: DataFrame, start: float = 10_000.0,
     return rows.select("asset", "date", (start * F.exp(F.sum(F.col("r") + F.col("paid")).over(w.rowsBetween(Window.unboundedPreceding, 0)))).alias("capital"), "position", "r", "market_r")
 
 
-def positive_dates(prices: DataFrame) -> DataFrame:
-    """Rows of dates on which every asset's price is over zero."""
-    return prices.join(prices.groupBy("date").agg(F.min("price").alias("least")).filter("least > 0").select("date"), "date", "left_semi")
-
-
 def event_windows(ticks: DataFrame, width: str, slide: str | None = None) -> DataFrame:
     """asset, start, n, high, low of tumbling (or sliding) windows of a finished table of ticks (asset, ts, price)."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)

@@ -84,7 +84,7 @@ def portfolio_returns(returns: DataFrame, weights: DataFrame) -> DataFrame:
 def resample_ohlc(ticks: DataFrame, unit: str, price: str = "price") -> DataFrame:
     """Bars per asset and calendar unit from finer rows with ts, price and volume."""
     return ticks.groupBy("asset", F.date_trunc(unit, "ts").alias("bucket")).agg(
-        F.min_by(price, "ts").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, "ts").alias("close"), F.sum("volume").alias("volume")
+        F.min_by(price, F.struct("ts", price)).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, F.struct("ts", price)).alias("close"), F.sum("volume").alias("volume")
     )
 
 

@@ -129,7 +129,7 @@ SQL["market_proxy_regime"] = f"WITH own AS ({o.SQL['average_structure']}) SELECT
 @query
 def positive_dates(spark, d):
     lines = market.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("asset"), F.to_date("l_shipdate").alias("date")).agg((F.avg("l_extendedprice") - 20_000).alias("price"))
-    return rounded(reports.positive_dates(lines))
+    return rounded(ts.positive_dates(lines).select("date", "asset", "price"))
 
 
 SQL["positive_dates"] = "WITH p AS (SELECT l_returnflag AS asset, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice) - 20000 AS price FROM lineitem GROUP BY 1, 2) SELECT date, asset, round(price, 6) AS price FROM p WHERE date NOT IN (SELECT date FROM p WHERE price <= 0)"

@@ -13,10 +13,10 @@ LATE = "10 minutes"
 
 
 def streamed_bars(ticks: DataFrame, width: str = "1 day", late: str = LATE, slide: str | None = None) -> DataFrame:
-    """Tumbling (or sliding) bars; a window is final when the watermark passes its end, later ticks are dropped by Spark."""
+    """Tumbling (or sliding) bars; of ticks at one time the least price is first; a window is final when the watermark passes its end, later ticks are dropped by Spark."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     bars = ticks.withWatermark("ts", late).groupBy("asset", w.alias("w")).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("volume").alias("volume")
+        F.min_by("price", F.struct("ts", "price")).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", F.struct("ts", "price")).alias("close"), F.sum("volume").alias("volume")
     )
     return bars.select("asset", F.col("w.start").alias("bucket"), "open", "high", "low", "close", "volume")
 
