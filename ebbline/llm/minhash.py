@@ -339,7 +339,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     sketches = distinct.select("rep", "sketch").mapInArrow(high_halves, "rep long, sketch binary")
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sketches.withColumnsRenamed({"rep": "a", "sketch": "sketch_a"}), "a").join(sketches.withColumnsRenamed({"rep": "b", "sketch": "sketch_b"}), "b")
+        pairs = broadcast_up_to(materialize(pairs, "pairs"), BROADCAST_IDS)
+        both = sketches.withColumnsRenamed({"rep": "a", "sketch": "sketch_a"}).join(pairs, "a").join(sketches.withColumnsRenamed({"rep": "b", "sketch": "sketch_b"}), "b")
         return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(estimated_pairs(k, least), "a long, b long")
 
     def texts(ids: DataFrame) -> DataFrame:
@@ -350,7 +351,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
         pairs = materialize(pairs, "estimated")
         named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "named")
         sets = materialize(texts(named).select("rep", "text").mapInArrow(set_batches(shingle), "rep long, hashes binary"), "sets")
-        both = pairs.join(sets.withColumnsRenamed({"rep": "a", "hashes": "set_a"}), "a").join(sets.withColumnsRenamed({"rep": "b", "hashes": "set_b"}), "b")
+        both = sets.withColumnsRenamed({"rep": "a", "hashes": "set_a"}).join(broadcast_up_to(pairs, BROADCAST_IDS), "a").join(sets.withColumnsRenamed({"rep": "b", "hashes": "set_b"}), "b")
         links = materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(verified_pairs(percent), "a long, b long"), "links")
         discard(pairs, named, sets)
         return links
