@@ -10,16 +10,23 @@ from ebbline.llm.minhash import near_duplicates
 from ebbline.llm.mixing import mix
 from ebbline.llm.quality import quality_filter
 from ebbline.llm.sharding import shard_documents
-from ebbline.llm.storage import materialize
+from ebbline.llm.storage import broadcast_up_to, materialize
 
 #: Weights of sources in order of their names, repeating; words of the mix in percent of all words; epochs at most.
 WEIGHTS, BUDGET_PERCENT, MAX_EPOCHS = [3, 1, 2], 150, 2
 SHARDS = 16
 
 
+#: Bytes (as JSON) of row ids that are broadcast to their rows; more are shuffled with them.
+BROADCAST_IDS = 32 << 20
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """Documents with a row id, written, so that a decision goes back to its row and not to all rows of one doc_id (or of none)."""
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    """Documents with a row id in __row (a column of that name is replaced), so that a decision goes back to its row and not to
+    all rows of one doc_id (or of none). Rows of a plain read of files have the same ids each time; others are written first."""
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    read = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    return rows if read else materialize(rows, "rows")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     alone = lambda c: F.when(F.col("n_shingles") == 0, F.col(c)).alias(f"own_{c}")
     groups = found.groupBy(F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"), alone("doc_id"), alone("h1"), alone("h2"))
     kept = materialize(groups.agg(F.min(F.struct("doc_id", "h1", "h2", "__row")).alias("least")).select("least.__row"), "kept")
-    return named.join(kept, "__row", "left_semi").unionByName(rows.filter("doc_id is null")).select(*docs.columns)
+    return named.join(broadcast_up_to(kept, BROADCAST_IDS), "__row", "left_semi").unionByName(rows.filter("doc_id is null")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows = numbered(docs)
     found = contamination(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = materialize(found.filter("contaminated").select(F.col("doc_id").alias("__row")), "contaminated")
-    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
+    return rows.join(broadcast_up_to(bad, BROADCAST_IDS), "__row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs)
     copies = mix(rows, WEIGHTS, BUDGET_PERCENT, MAX_EPOCHS, keep=["__row"]).filter("copies > 0")
     copies = materialize(copies.select("__row", F.col("copies").cast("int").alias("__copies")), "copies")
-    taken = rows.join(copies, "__row")
+    taken = rows.join(broadcast_up_to(copies, BROADCAST_IDS), "__row")
     return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
 
 
