@@ -123,7 +123,7 @@ class Anchors:
 
     Equal windows own equal anchors at equal distances, wherever they stand. Windows that own one anchor are
     consecutive. Arrays: doc, first window and number of windows (relative to the document), key (hash of the
-    anchor's gram) and span (hash of all units that the windows cover).
+    anchor's gram), where that gram begins, and span (hash of all units that the windows cover).
     """
 
     def __init__(self, units: np.ndarray, at: np.ndarray, length: int, gram: int):
@@ -142,6 +142,7 @@ class Anchors:
         new[1:] = anchor[1:] != anchor[:-1]
         heads = np.flatnonzero(new)
         begin = windows[heads]
+        self.gram_at = anchor[heads]
         self.windows = np.diff(np.append(heads, len(windows)))
         self.flat_start = begin
         self.flat_end = begin + self.windows + length - 1

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,39 @@ def test_one_passage_in_all_documents(spark, monkeypatch, wide):
         assert order([(r.doc_id, r.n_units, r.n_removed, r.n_spans, r.kept) for r in got]) == order(brute.removed(rows, units, 50))
 
 
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """Also where keys are split by windows, the documents are read from one exchange."""
+    monkeypatch.setattr(spans, "WIDE", 2)
+    passage = brute.sentence(random.Random(6), 75)
+    docs = spark.createDataFrame([(i, f"{'u' * 60}{i} {passage} {'v' * 60}{i}") for i in range(9)], "doc_id long, text string").repartition(3)
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        for run in (substring.substring_dedup, suffix.suffix_array_dedup):
+            plan = docs.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(run(docs)._jdf.queryExecution(), "formatted")
+            exchanges = re.findall(r"^\(\d+\) Exchange[^\n]*\nInput[^\n]*?: \[(.*?)\]\nArguments: hashpartitioning\(h#", plan, re.M)
+            assert sum("text#" in x for x in exchanges) == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("kind, gram", [("bytes", 20), ("words", 8)])
+def test_windows_share_buckets(kind, gram):
+    """Equal windows meet in one bucket wherever they stand; an anchor's windows go to few of them."""
+    rng = random.Random(8)
+    passage = brute.sentence(rng, 90)
+    texts = [f"{brute.sentence(rng, rng.randint(0, 60))} {passage} {brute.sentence(rng, 60)}".strip() for _ in range(20)]
+    u = spans.Units(pa.table({"text": texts}), kind, 50, gram, 1000)
+    w = u.windows(np.arange(len(u.anchors.key)))
+    assert len(set(zip(w.key.tolist(), w.bucket.tolist(), strict=True))) == len(set(w.key.tolist())) < len(w.key)
+    n = u.anchors.windows
+    at = np.append(0, np.cumsum(n))
+    assert all(len(set(w.bucket[a:b].tolist())) <= (b - a) // spans.NEIGHBOURS + 2 for a, b in zip(at[:-1], at[1:], strict=True))
+
+
 def test_resolvers_equal_brute_force():
     rng = random.Random(1)
     for _ in range(150):
