@@ -37,6 +37,8 @@ PRIOR = 20.0
 END = np.uint64(0x51ED270B35A7C2D1)
 #: Partial counts that a task holds before it passes them on.
 HELD = 1_000_000
+#: Contexts that are weighed against all classes at once (8 bytes for each class, some arrays of them).
+WEIGHED = 1 << 15
 
 
 def tokens(part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -292,16 +294,23 @@ def joined_classes(matrix):
         grown = np.concatenate([n, n.T], axis=1)
         rows, cols = n.sum(axis=1), n.sum(axis=0)
         for batch in batches:
-            lists = batch.column("contexts")
-            flat, sizes = lists.flatten(), np.asarray(lists.value_lengths())
-            cell, count = np.asarray(flat.field(0)), np.asarray(flat.field(1)).astype(float)
-            at = np.append(0, np.cumsum(sizes))[:-1]
-            old = grown.T[cell]
-            gain = np.add.reduceat(xlogx(old + count[:, None]) - xlogx(old), at)
-            for side, sums in ((cell < c, rows), (cell >= c, cols)):
-                added = np.add.reduceat(np.where(side, count, 0.0), at)[:, None]
-                gain -= xlogx(sums + added) - xlogx(sums)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(np.argmax(gain, axis=1).astype(np.int32))], ["word", "class"])
+            ends = np.cumsum(np.asarray(batch.column("contexts").value_lengths()), dtype=np.int64)
+            i = 0
+            while i < len(ends):
+                # Whole words, up to WEIGHED contexts.
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + WEIGHED, "right")))
+                part = batch.slice(i, j - i)
+                lists = part.column("contexts")
+                flat, sizes = lists.flatten(), np.asarray(lists.value_lengths())
+                cell, count = np.asarray(flat.field(0)), np.asarray(flat.field(1)).astype(float)
+                at = np.append(0, np.cumsum(sizes))[:-1]
+                old = grown.T[cell]
+                gain = np.add.reduceat(xlogx(old + count[:, None]) - xlogx(old), at)
+                for side, sums in ((cell < c, rows), (cell >= c, cols)):
+                    added = np.add.reduceat(np.where(side, count, 0.0), at)[:, None]
+                    gain -= xlogx(sums + added) - xlogx(sums)
+                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(np.argmax(gain, axis=1).astype(np.int32))], ["word", "class"])
+                i = j
 
     return run
 

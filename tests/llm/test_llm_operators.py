@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -412,6 +413,27 @@ def test_class_language_model(spark):
     assert np.allclose((10**model.transition).sum(axis=1), 1)
 
 
+def test_joining_classes_takes_bounded_memory():
+    """A batch of many words with many contexts is weighed in parts, with the result of each word alone."""
+    rng = np.random.default_rng(5)
+    classes, words, each = 64, 6000, 40
+    matrix = type("Shared", (), {"value": rng.integers(0, 1000, (classes, classes))})
+    sizes = rng.integers(1, 2 * each, words)
+    cells = np.concatenate([rng.choice(2 * classes, n, replace=False) for n in sizes]).astype(np.int32)
+    struct = pa.StructArray.from_arrays([pa.array(cells), pa.array(rng.integers(1, 50, len(cells)))], ["cell", "n"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), struct)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(words)), lists], ["word", "contexts"])
+    run = lm.joined_classes(matrix)
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(run([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    assert got["word"].to_pylist() == list(range(words))
+    alone = [next(run([batch.slice(i, 1)])).column("class")[0].as_py() for i in range(0, words, 17)]
+    assert got["class"].to_pylist()[::17] == alone
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
