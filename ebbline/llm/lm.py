@@ -56,11 +56,15 @@ def training(batches):
 
 
 def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct keys, their counts summed, and what else stands with a key."""
-    keys = np.concatenate([p[0] for p in parts])
-    names, first, place = np.unique(keys, return_index=True, return_inverse=True)
-    counts = np.bincount(place, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-    return (names, counts, *(np.concatenate([p[i] for p in parts])[first] for i in range(2, len(parts[0]))))
+    """Distinct keys, their counts summed, and what else stands with a key. Empties the list, so that its arrays can be freed."""
+    columns = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
+    parts.clear()
+    order = np.argsort(columns[0])
+    columns = [c[order] for c in columns]
+    del order
+    keys, counts, *others = columns
+    heads = np.flatnonzero(np.append(np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]))
+    return (keys[heads], np.add.reduceat(counts, heads, dtype=np.int64) if len(heads) else counts.astype(np.int64), *(c[heads] for c in others))
 
 
 def held(stream):
