@@ -19,19 +19,24 @@ from ebbline.llm.storage import broadcast_up_to, discard, materialize
 SKETCH = 64
 
 
-def shingle_sets(part, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of all n-word shingles of each text (lower case), and where each document's begin."""
+def shingles(part, n: int) -> tuple[np.ndarray, ...]:
+    """Sorted distinct hashes of all n-word shingles of each text (lower case), where each document's begin, hashes of all words, and the words from and up to which each shingle goes."""
     units, at = word_hashes(*utf8(part.column("text")), lower=True)
     sizes = np.diff(at)
     doc = np.repeat(np.arange(len(sizes)), np.maximum(sizes - n + 1, np.minimum(sizes, 1)))
     count = np.bincount(doc, minlength=len(sizes))
     start = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + at[doc]
-    hashes = Prefixes(units).of(start, np.minimum(start + n, at[doc + 1]))
+    end = np.minimum(start + n, at[doc + 1])
+    hashes = Prefixes(units).of(start, end)
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    return hashes[new], np.searchsorted(doc[new], np.arange(len(sizes) + 1))
+    return hashes[new], np.searchsorted(doc[new], np.arange(len(sizes) + 1)), units, start[order][new], end[order][new]
+
+
+def shingle_sets(part, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return shingles(part, n)[:2]
 
 
 def sketch_batches(n: int, k: int):
@@ -178,30 +183,59 @@ def high_halves(batches):
 
 
 def repeated_shingles(n: int):
-    """Shingles that several sets of one task have, and how many."""
+    """Shingles that several sets of one task have, and how many; also cells of words that several of their shingles begin with (word: true)."""
 
-    def counted(held):
-        values, count = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(values[count > 1].view(np.int64)), pa.array(count[count > 1])], ["shingle", "n"])
+    def counted(held, word):
+        values = np.concatenate(held)
+        held.clear()
+        values, count = np.unique(values, return_counts=True)
+        some = count > 1
+        return pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), word)), pa.array(values[some].astype(np.int64)), pa.array(count[some])], ["word", "name", "n"])
 
     def run(batches):
-        held, size = [], 0
+        held, words, size = [], [], 0
         for batch in batches:
             for part in slices(batch, "text"):
-                held.append(shingle_sets(part, n)[0])
-                size += len(held[-1])
+                values, _, units, start, _ = shingles(part, n)
+                held.append(values)
+                words.append(cells(units)[start])
+                size += len(values)
                 if size > COUNTED:
-                    yield counted(held)
-                    held, size = [], 0
+                    yield counted(held, False)
+                    yield counted(words, True)
+                    size = 0
         if held:
-            yield counted(held)
+            yield counted(held, False)
+            yield counted(words, True)
 
     return run
 
 
-def prefix_batches(n: int, percent: int, names: np.ndarray, counts: np.ndarray):
+def cells(units: np.ndarray) -> np.ndarray:
+    return (units >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
+
+
+def rarity(units: np.ndarray, start: np.ndarray, end: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Sum of the levels (logarithms of how often) of each shingle's words."""
+    sums = np.append(0, np.cumsum(levels[cells(units)], dtype=np.int64))
+    return sums[end] - sums[start]
+
+
+def levels_of(words: DataFrame) -> np.ndarray:
+    """The level of each cell, in a byte; a cell without a row is as one with a count of 1."""
+    low = F.struct((F.col("name") % 4096).cast("short").alias("low"), F.round(4 * F.log2("n")).cast("short").alias("level"))
+    rows = words.groupBy(F.shiftright("name", 12).alias("high")).agg(F.collect_list(low).alias("lows")).toArrow().combine_chunks()
+    levels, lists = np.zeros(1 << CELL_BITS, np.uint8), rows.column("lows").combine_chunks()
+    flat = lists.flatten()
+    levels[np.repeat(np.asarray(rows.column("high")), np.asarray(lists.value_lengths())) * 4096 + np.asarray(flat.field(0))] = np.asarray(flat.field(1))
+    return levels
+
+
+def prefix_batches(n: int, percent: int, names: np.ndarray, counts: np.ndarray, levels: np.ndarray):
     """The first shingles of each set in one order of all shingles (frequent ones last): sets of similarity percent or more share one.
 
+    Any order that is the same for all sets will do. Shingles without a count stand by their words: those of rare words first.
+
     A set of x shingles shares at least percent % of x with any set that it links with, and 2 p / (1 + p) of its x
     with any that isn't smaller. So of two linked sets the smaller has one of its first x - ceil(2 p x / (1 + p)) + 1
     among the first x - ceil(p x) + 1 of the other.
@@ -210,12 +244,13 @@ def prefix_batches(n: int, percent: int, names: np.ndarray, counts: np.ndarray):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                values, at = shingle_sets(part, n)
+                values, at, units, start, end = shingles(part, n)
                 place = np.minimum(np.searchsorted(names, values), max(len(names) - 1, 0))
                 often = np.where(names[place] == values, counts[place], 0) if len(names) else np.zeros(len(values), np.int64)
+                level = rarity(units, start, end, levels)
                 sizes = np.diff(at)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((values, often, doc))
+                order = np.lexsort((values, level, often, doc))
                 pos = np.arange(len(values)) - np.repeat(at[:-1], sizes)
                 probed, indexed = (sizes - -(-percent * sizes // 100) + 1)[doc], (sizes - -(-2 * percent * sizes // (100 + percent)) + 1)[doc]
                 keep = pos < probed
@@ -235,6 +270,39 @@ def prefix_batches(n: int, percent: int, names: np.ndarray, counts: np.ndarray):
     return run
 
 
+def pairs_of_list(k: int, percent: int, least: float):
+    """Pairs of one long list that pass the bounds by size and place (as for short lists) and the estimate."""
+
+    def run(table: pa.Table) -> pa.Table:
+        size = np.asarray(table.column("size"))
+        order = np.lexsort((np.asarray(table.column("rep")), size))
+        table = table.combine_chunks().take(pa.array(order))
+        reps, comps, size, pos = (np.asarray(table.column(c)) for c in ("rep", "component", "size", "pos"))
+        sketch, rest = padded(table.column("sketch"), k), size - pos
+        out, held, n = [np.zeros((2, 0), np.int64)], [], 0
+
+        def tried():
+            pairs = np.concatenate(held, axis=1)
+            out.append(pairs[:, estimates(sketch[pairs[0]], sketch[pairs[1]], k) >= least])
+
+        # The smaller set (or of equal ones the one with the smaller id) comes first.
+        for x in np.flatnonzero(np.asarray(table.column("indexed").to_numpy())).tolist():
+            y = np.arange(x + 1, np.searchsorted(size, 100 * size[x] // percent, "right"))
+            y = y[(comps[y] != comps[x]) & ((100 + percent) * np.minimum(rest[x], rest[y]) >= percent * (size[x] + size[y]))]
+            if len(y):
+                held.append(np.stack([np.full(len(y), x), y]))
+                n += len(y)
+            if n > TRIED:
+                tried()
+                held, n = [], 0
+        if held:
+            tried()
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": reps[a], "b": reps[b]})
+
+    return run
+
+
 def links_of_queries(percent: int):
     """Exact links of a block of queries with a block of members of one group, one for each query and component it meets."""
 
@@ -293,10 +361,16 @@ LONG_LIST = 64
 #: Documents that share a shingle of their prefixes give all their pairs up to so many; more are compared inside tasks, in blocks of so many shingles.
 SHORT_LIST = 32
 BLOCK = 1 << 19
+#: A group's lists give its pairs one by one, if so many times (rows of lists x length) is less than (sets outside the largest
+#: component x shingles of the group): else one set in many lists would be moved to very many blocks. Pairs estimated at once.
+LIST_COST = 64
+TRIED = 8192
 #: The order of prefixes is by the number of sets that have a shingle, if more than OFTEN and 1 / FREQUENT of the sets in
 #: question: at most FREQUENT * (mean size of a set) shingles are known so. Tasks count up to COUNTED shingles at a time.
+#: Other shingles are ordered by the frequency of their words, counted in 2**CELL_BITS cells; a level is a quarter of a power of two.
 FREQUENT = 5000
 OFTEN = 8
+CELL_BITS = 22
 COUNTED = 4_000_000
 
 
@@ -314,9 +388,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
        it, then with its others between components. Pairs that pass the union sketch's estimate are verified on whole sets.
     3. Lists that still join different components could hide links between two members that aren't the hub. Their
        sets meet by the prefixes of their shingles in an order of rarity, which loses no link; estimate and
-       verification follow as before. Where very many sets share the rarest shingles that they have (edits of one
-       text that are about as far from each other as the limit), the sets that such shingles join are one group, whose
-       sets outside its largest component are queries against all of it, in blocks inside tasks.
+       verification follow as before. Where many sets share the rarest shingles that they have, the sets that such
+       shingles join are one group. Edits of one text that are about as far from each other as the limit share many
+       lists, so a group's sets outside its largest component are queries against all of it, in blocks inside tasks.
+       Where lists only chain sets to a large group, this would grow with its square: there each list gives its pairs
+       inside a task, with sketches beside its rows, and pairs that pass the estimate are verified.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     least = least_estimate(k, percent)
@@ -376,11 +452,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     number = hard.count()
     if number:
         with_text = texts(materialize(labelled(hard, labels, "rep").withColumnRenamed("rep_component", "component"), "labelled"))
-        often = with_text.select("text").mapInArrow(repeated_shingles(shingle), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > max(OFTEN, number / FREQUENT)).toPandas()
-        names = often["shingle"].to_numpy(np.int64).view(np.uint64)
+        repeated = materialize(with_text.select("text").mapInArrow(repeated_shingles(shingle), "word boolean, name long, n long").groupBy("word", "name").agg(F.sum("n").alias("n")), "repeated")
+        often = repeated.filter(~F.col("word") & (F.col("n") > max(OFTEN, number / FREQUENT))).toPandas()
+        names = often["name"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(names)
         first = with_text.select("rep", "component", "text").mapInArrow(
-            prefix_batches(shingle, percent, names[order], often["n"].to_numpy(np.int64)[order]), "shingle long, rep long, component long, size long, pos long, indexed boolean"
+            prefix_batches(shingle, percent, names[order], often["n"].to_numpy(np.int64)[order], levels_of(repeated.filter("word"))), "shingle long, rep long, component long, size long, pos long, indexed boolean"
         )
         first = materialize(first, "prefixes")
         shared = first.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("indexed").alias("met")).filter("low < high and met")
@@ -396,21 +473,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
         links = links.union(verified(estimated(met.select(col("x.rep").alias("a"), col("y.rep").alias("b")).distinct())))
 
         # Sets that share such a shingle, also through others, are one group.
-        long = mixed.filter(F.col("n") > SHORT_LIST).select("rep", "component", "size", F.min("rep").over(Window.partitionBy("shingle")).alias("least"))
-        long = materialize(long.distinct(), "long")
-        groups = components(long.select("least", "rep"), "least", "rep").select(F.col("node").alias("rep"), F.col("component").alias("hub"))
-        heavy = materialize(long.select("rep", "component", "size").distinct().join(groups, "rep"), "heavy")
+        long = mixed.filter(F.col("n") > SHORT_LIST)
+        joined = long.select("rep", "component", "size", "n", F.min("rep").over(Window.partitionBy("shingle")).alias("least"))
+        joined = materialize(joined.groupBy("rep", "component", "size", "least").agg(F.sum("n").alias("n")), "long")
+        groups = components(joined.select("least", "rep"), "least", "rep").select(F.col("node").alias("rep"), F.col("component").alias("hub"))
+        heavy = materialize(joined.groupBy("rep", "component", "size").agg(F.sum("n").alias("n")).join(groups, "rep"), "heavy")
         groups = heavy
         largest = groups.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")).filter("components > 1")
         groups = groups.join(largest.select("hub", F.col("most.component").alias("largest")), "hub").withColumn("outside", F.col("component") != F.col("largest"))
-        blocks = groups.groupBy("hub").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("members"), F.ceil(F.sum(F.when(F.col("outside"), F.col("size"))) / BLOCK).cast("int").alias("queries"))
-        groups = groups.join(blocks, "hub").withColumns({"i": F.pmod(F.xxhash64("rep"), F.col("queries")).cast("int"), "j": F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("members")).cast("int")})
+        blocks = groups.groupBy("hub").agg(
+            F.ceil(F.sum("size") / BLOCK).cast("int").alias("members"),
+            F.ceil(F.sum(F.when(F.col("outside"), F.col("size"))) / BLOCK).cast("int").alias("queries"),
+            (LIST_COST * F.sum("n") < F.count_if("outside") * F.sum("size")).alias("by_list"),
+        )
+        groups = materialize(groups.drop("n").join(blocks, "hub"), "groups")
+
+        # Pairs inside the lists: what is moved grows with the lists' rows, not with pairs.
+        listed = broadcast_up_to(materialize(groups.filter("by_list").select("rep"), "listed"), BROADCAST_IDS)
+        rows = long.drop("n").join(sketches.join(listed, "rep"), "rep")
+        by_list = rows.groupBy("shingle").applyInArrow(pairs_of_list(k, percent, least), "a long, b long").distinct()
+        links = links.union(verified(by_list))
+
+        # All of a group in blocks.
+        groups = groups.filter("not by_list").withColumns({"i": F.pmod(F.xxhash64("rep"), F.col("queries")).cast("int"), "j": F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("members")).cast("int")})
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         dealt = groups.filter("outside").withColumn("j", every("members")).withColumn("query", F.lit(True)).union(groups.withColumn("i", every("queries")).withColumn("query", F.lit(False)))
-        sets = materialize(texts(heavy.select("rep")).select("rep", "text").mapInArrow(set_batches(shingle), "rep long, hashes binary"), "sets")
+        sets = materialize(texts(materialize(groups.select("rep"), "grouped")).select("rep", "text").mapInArrow(set_batches(shingle), "rep long, hashes binary"), "sets")
         found = dealt.select("hub", "i", "j", "rep", "component", "query").join(sets, "rep").groupBy("hub", "i", "j").applyInArrow(links_of_queries(percent), "a long, b long")
         links = materialize(links.union(found.distinct()), "links")
-        discard(first, mixed, long, heavy, sets)
+        discard(first, repeated, mixed, joined, heavy, sets)
         labels = components(links, "a", "b")
     discard(best, open_pairs, hard)
 

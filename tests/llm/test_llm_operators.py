@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ebbline.llm import chat, decontaminate, graph, html, lm, minhash, mixing, quality, sharding, spans, substring, suffix
+from ebbline.llm import chat, decontaminate, graph, html, kernels, lm, minhash, mixing, quality, sharding, spans, substring, suffix
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -160,6 +160,48 @@ def test_lists_of_many_sets_lose_no_link(spark, monkeypatch, changes, held, freq
     assert {r.doc_id: r.component_id for r in got} == {d: c for d, (_, c) in want.items()}
 
 
+def test_lists_that_chain_sets_give_their_pairs_without_blocks(spark, monkeypatch):
+    """Blocks of a group grow with the square of its sets; pairs of lists lose no link either."""
+    monkeypatch.setattr(minhash, "SHORT_LIST", 2)
+    monkeypatch.setattr(minhash, "LONG_LIST", 4)
+    monkeypatch.setattr(minhash, "TRIED", 50, raising=False)
+    monkeypatch.setattr(minhash, "LIST_COST", 0, raising=False)
+
+    def no_blocks(percent):
+        def run(table):
+            raise ValueError("a group was dealt in blocks")
+
+        return run
+
+    monkeypatch.setattr(minhash, "links_of_queries", no_blocks)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for d in range(90):
+        words = list(base)
+        for i in rng.sample(range(300), rng.randint(12, 24)):
+            words[i] = f"x{rng.random()}"
+        rows.append((d, " ".join(words)))
+        if d % 9 == 0:
+            words[rng.randrange(300)] = "other"
+            rows.append((1000 + d, " ".join(words)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 2).collect()
+    want = brute.components(rows, 2)
+    assert {r.doc_id: r.component_id for r in got} == {d: c for d, (_, c) in want.items()}
+
+
+def test_prefixes_begin_with_shingles_of_rare_words():
+    """Else sets that have nothing but frequent shingles in common meet by them, more often the more sets there are."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"often{x}" if rng.random() < 0.7 else f"rare{rng.random()}" for x in rng.integers(0, 20, 200)) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(range(60)), pa.array(texts)], ["rep", "component", "text"])
+    levels = np.zeros(1 << minhash.CELL_BITS, np.uint8)
+    cell, n = np.unique(minhash.cells(kernels.word_hashes(*kernels.utf8(batch.column("text")))[0]), return_counts=True)
+    levels[cell] = np.rint(4 * np.log2(n))
+    (out,) = minhash.prefix_batches(2, 80, np.zeros(0, np.uint64), np.zeros(0, np.int64), levels)([batch])
+    assert Counter(Counter(out.column("shingle").to_pylist()).values()).keys() == {1}
+
+
 def test_estimates_are_of_the_union():
     rng = np.random.default_rng(3)
     for size in (10, 40, 300):
