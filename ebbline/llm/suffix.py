@@ -3,7 +3,7 @@
 Shards hold the spans that several documents share (see spans). Each shard's suffix array comes from Larsson-Sadakane
 refinement (ranks double their depth, only groups that are not yet single are sorted again), Kasai's algorithm in
 vector form gives common prefixes, runs of neighbours with `length` common bytes are equal windows, and windows of
-different shards meet by binary search.
+different shards of one key meet by binary search.
 """
 
 from __future__ import annotations
@@ -74,43 +74,67 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return prefix[last] - (at - last)
 
 
+def shards_of(order: np.ndarray, keys: np.ndarray, n: np.ndarray, shard_bytes: int):
+    """Rows in groups of shards that have no key in common: whole keys up to shard_bytes are one shard, a larger key is several."""
+    heads = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    held, size = [], 0
+    for rows in np.split(order, heads[1:]) if len(heads) else []:
+        total = int(n[rows].sum())
+        if held and size + total > shard_bytes:
+            yield [np.concatenate(held)]
+            held, size = [], 0
+        if total > shard_bytes:
+            begins, filled = [], 0
+            for i, x in enumerate(n[rows].tolist()):
+                if filled and filled + x > shard_bytes:
+                    begins.append(i)
+                    filled = 0
+                filled += x
+            yield np.split(rows, begins)
+        else:
+            held.append(rows)
+            size += total
+    if held:
+        yield [np.concatenate(held)]
+
+
 def array_resolver(shard_bytes: int):
+    """Equal windows have equal keys, so only the shards of one key meet, and a task holds no others."""
+
+    def sorted_windows(units, at, n, ids, length, rows):
+        """Of one shard: position and document of each window in order, the run of equal ones that it is in, and each run's least document."""
+        sizes = n[rows]
+        ends = np.cumsum(sizes + 1)
+        where = np.arange(ends[-1]) - np.repeat(ends - sizes - 1, sizes + 1) + np.repeat(at[rows], sizes + 1)
+        stop = np.zeros(len(where), bool)
+        stop[ends - 1] = True
+        text = np.where(stop, 0, units[np.minimum(where, len(units) - 1)].astype(np.int16) + 1).astype(np.uint16)
+        left = np.repeat(ends - 1, sizes + 1) - np.arange(len(where))
+        order = suffix_array(text, left)
+        # A suffix too short for a window has a short prefix with any other, so it ends a run.
+        same = common_prefixes(text, order)[order] >= length
+        some = left[order] >= length
+        order, same = order[some], same[some]
+        heads = np.flatnonzero(~same)
+        doc = np.repeat(ids[rows], sizes + 1)[order]
+        least = np.minimum.reduceat(doc, heads) if len(order) else doc[:0]
+        return where[order], doc, np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order)))), heads, least
+
     def resolve(units, at, keys, ids, length) -> np.ndarray:
-        order = np.lexsort((ids, keys))
-        n = np.diff(at)
-        shards, size = [[]], 0
-        for row in order.tolist():
-            if size and size + n[row] > shard_bytes:
-                shards.append([])
-                size = 0
-            shards[-1].append(row)
-            size += n[row]
-        sorted_windows, all_hits = [], []
-        for shard in filter(None, shards):
-            rows = np.array(shard)
-            sizes = n[rows]
-            ends = np.cumsum(sizes + 1)
-            where = np.arange(ends[-1]) - np.repeat(ends - sizes - 1, sizes + 1) + np.repeat(at[rows], sizes + 1)
-            stop = np.zeros(len(where), bool)
-            stop[ends - 1] = True
-            text = np.where(stop, 0, units[np.minimum(where, len(units) - 1)].astype(np.int64) + 1).astype(np.uint16)
-            doc = np.repeat(ids[rows], sizes + 1)
-            left = np.repeat(ends - 1, sizes + 1) - np.arange(len(where))
-            order_of = suffix_array(text, left)
-            # A suffix too short for a window has a short prefix with any other, so it ends a run.
-            same = common_prefixes(text, order_of)[order_of] >= length
-            sa, same = order_of[left[order_of] >= length], same[left[order_of] >= length]
-            heads = np.flatnonzero(~same)
-            least = np.minimum.reduceat(doc[sa], heads) if len(sa) else doc[:0]
-            sorted_windows.append((np.lib.stride_tricks.sliding_window_view(units, length)[where[sa[heads]]].copy().view(f"S{length}").ravel() if len(heads) else np.zeros(0, f"S{length}"), least, np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(sa)))), where[sa], doc[sa]))
-        for i, (windows, least, run, position, doc) in enumerate(sorted_windows):
-            lowest = least.copy()
-            for j, (others, other_least, *_) in enumerate(sorted_windows):
-                if i != j and len(others) and len(windows):
-                    found = np.minimum(np.searchsorted(others, windows), len(others) - 1)
-                    met = others[found] == windows
-                    lowest[met] = np.minimum(lowest[met], other_least[found[met]])
-            all_hits.append(position[lowest[run] < doc] if len(run) else position)
+        n, all_hits = np.diff(at), []
+        for shards in shards_of(np.lexsort((ids, keys)), keys, n, shard_bytes):
+            found = [sorted_windows(units, at, n, ids, length, rows) for rows in shards]
+            if len(found) > 1:
+                every = np.lib.stride_tricks.sliding_window_view(units, length)
+                names = [every[position[heads]].view(f"S{length}").ravel() if len(heads) else np.zeros(0, f"S{length}") for position, _, _, heads, _ in found]
+            for i, (position, doc, run, _, least) in enumerate(found):
+                lowest = least.copy()
+                for j, (*_, other_least) in enumerate(found):
+                    if i != j and len(names[j]) and len(names[i]):
+                        place = np.minimum(np.searchsorted(names[j], names[i]), len(names[j]) - 1)
+                        met = names[j][place] == names[i]
+                        lowest[met] = np.minimum(lowest[met], other_least[place[met]])
+                all_hits.append(position[lowest[run] < doc] if len(run) else position)
         return np.unique(np.concatenate(all_hits)) if all_hits else np.zeros(0, np.int64)
 
     return resolve

@@ -110,6 +110,49 @@ def test_resolvers_equal_brute_force():
             assert set(substring.automaton_resolver(shard)(flat.astype(np.uint64), at, keys, ids, n).tolist()) == want
 
 
+def peak_of(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_bucket_is_decided_in_little_memory():
+    """Entries of very many documents, most alone in this bucket: as on a large table."""
+    rng = np.random.default_rng(2)
+    n = 1 << 20
+    entries = spans.Entries(np.arange(n) // 2, np.zeros(n, np.int32), rng.integers(0, 1 << 63, n, np.uint64), rng.integers(0, 1 << 40, n, np.uint64), *[np.zeros(n, np.int64)] * 2)
+    entries.key[1::4], entries.span[5::8] = entries.key[3::4], entries.span[7::8]
+    h, g, ids = (rng.integers(0, 1 << 62, n // 2) for _ in range(3))
+    table = pa.Table.from_batches([entries.batch(h, g, ids)])
+    assert peak_of(lambda: spans.decide(table)) < 90 * n
+    got = {(r["h"], r["verdict"]) for r in spans.decide(table).to_pylist()}
+    want = set()
+    for x, y in zip(range(1, n, 4), range(3, n, 4), strict=True):
+        a, b = sorted((x, y), key=lambda e: ids[e // 2])
+        same = entries.span[x] == entries.span[y]
+        for e, v in ((a, 0 if same else spans.OPEN), (b, spans.FULL if same else spans.OPEN)):
+            if v:
+                want.add((int(h[e // 2]), bytes([0, v])))
+    assert got == want
+
+
+def test_shards_with_other_keys_are_not_held():
+    """Equal windows have equal keys, so a task's memory follows a shard and not its bucket."""
+    rng = np.random.default_rng(2)
+    rows = 40_000
+    text = rng.integers(97, 123, rows * 80).astype(np.uint8)
+    at, keys, ids = np.arange(rows + 1) * 80, np.arange(rows) // 4, np.arange(rows)
+    for x in range(0, rows, 4):
+        text[at[x + 1] + 10 : at[x + 1] + 70] = text[at[x] : at[x] + 60]
+        text[at[x] + 60], text[at[x + 1] + 70] = 65, 66
+    found = []
+    assert peak_of(lambda: found.append(suffix.array_resolver(1 << 18)(text, at, keys, ids, 50))) < 60 << 20
+    assert found[0].tolist() == [at[x + 1] + 10 + p for x in range(0, rows, 4) for p in range(11)]
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(2)
     strings = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(9)]
